@@ -74,7 +74,8 @@ def positive_labels(df: DataFrame, keys, numeric: bool, label_cols=("y_true", "y
                  F.max_by(F.col("label"), as_num).alias("_max_num")]
     per_run = distinct.groupBy(*keys).agg(*aggs)
     fallback = F.col("_max_num") if numeric else F.col("_max_text")
-    pos = F.element_at(cands, F.col("_rank").cast("int"))
+    # guarded: element_at(literal array, NULL) yields the last element in Spark 4.1
+    pos = F.when(F.col("_rank").isNotNull(), F.element_at(cands, F.col("_rank").cast("int")))
     if numeric:
         pos = F.coalesce(F.col("_one"), pos, fallback)
     else:
