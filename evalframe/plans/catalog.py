@@ -129,3 +129,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {k: v for k, v in ORACLES.items() if k in QUERIES}
+
+
+# registrations in the sibling modules (imported for their side effect)
+from evalframe.plans import queries_data  # noqa: E402,F401
