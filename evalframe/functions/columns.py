@@ -57,10 +57,17 @@ def effect_label(c: ColumnOrName) -> Column:
     return out.otherwise(F.lit(EFFECT_LARGE))
 
 
+def fixed(c: ColumnOrName, digits: int) -> Column:
+    """Fixed-point text rounded from the exact binary value, half to even (as
+    Python's and C's ``%.Nf``).  ``format_string('%.Nf')`` is not used: the
+    JVM rounds the shortest decimal string half-up (0.125 -> '0.13')."""
+    return F.regexp_replace(F.format_number(_col(c), digits), ",", "")
+
+
 def fmt_number(c: ColumnOrName, digits: int = 4) -> Column:
     """Fixed-point text with ``digits`` decimals, ``NA`` when not a finite number."""
     v = clean_number(_col(c), DoubleType())
-    return F.when(v.isNull(), F.lit("NA")).otherwise(F.format_string(f"%.{digits}f", v))
+    return F.when(v.isNull(), F.lit("NA")).otherwise(fixed(v, digits))
 
 
 def fmt_p(c: ColumnOrName) -> Column:
@@ -68,7 +75,7 @@ def fmt_p(c: ColumnOrName) -> Column:
     v = clean_number(_col(c), DoubleType())
     return (F.when(v.isNull(), F.lit("NA"))
             .when(v < 0.001, F.lit("<0.001"))
-            .otherwise(F.format_string("%.4f", v)))
+            .otherwise(fixed(v, 4)))
 
 
 def is_float_type(t: DataType) -> bool:

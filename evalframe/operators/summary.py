@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalframe.functions.columns import nan_to_null
+from evalframe.functions.columns import fixed, nan_to_null
 from evalframe.operators._keys import as_list, join_on_keys
 from evalframe.operators.fairness import flag_fairness
 
@@ -108,9 +108,11 @@ def iqr_outliers(results: DataFrame, keys=("dataset", "model", "optimizer"), val
     j = join_on_keys(results, q, keys).where(F.col(value) > F.col("iqr_upper_bound"))
     is_ext = extreme if extreme is not None else F.lit(False)
     v, ub = F.col(value), F.col("iqr_upper_bound")
-    desc = F.when(F.col("is_extreme"), F.format_string(
-        "Extreme runtime observation of %.3fs (~%.2fh) substantially exceeding IQR threshold (%.3fs).",
-        v, v / 3600.0, ub)).otherwise(F.format_string("Runtime of %.3fs exceeds IQR upper bound (%.3fs).", v, ub))
+    # Description texts of the anomaly table.
+    desc = F.when(F.col("is_extreme"), F.concat(
+        F.lit("Extreme runtime observation of "), fixed(v, 3), F.lit("s (~"), fixed(v / 3600.0, 2),
+        F.lit("h) substantially exceeding IQR threshold ("), fixed(ub, 3), F.lit("s)."))).otherwise(F.concat(
+        F.lit("Runtime of "), fixed(v, 3), F.lit("s exceeds IQR upper bound ("), fixed(ub, 3), F.lit("s).")))
     return (j.withColumn("is_extreme", F.coalesce(is_ext, F.lit(False)))
              .select(*keys, *keep, v, "group_q3", "group_iqr", "iqr_upper_bound",
                      F.when(ub > 0, v / ub).alias("exceeds_upper_bound_ratio"),
