@@ -62,3 +62,26 @@ def prefix_sums(df: DataFrame, keys, order_cols, value_cols, bucket: Column | No
                    *[(F.col(f"__o_{v}") + F.coalesce(F.sum(v).over(wi), F.lit(0))).alias(v + suffix)
                      for v in value_cols])
     return out
+
+
+def running_max(df: DataFrame, keys, order_cols, value: str, out: str, bucket: Column | None) -> DataFrame:
+    """Add ``out`` = max of ``value`` over rows of the same keys up to and
+    including the current row (``value`` may be a struct: max by its fields
+    in order).  Same bucketed scheme as ``prefix_sums``: exact, and a hot key
+    is spread over its buckets."""
+    keys = as_list(keys)
+    order_cols = as_list(order_cols)
+    upto = Window.currentRow
+    if bucket is None:
+        w = Window.partitionBy(*keys).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, upto)
+        return df.withColumn(out, F.max(value).over(w))
+    b = df.withColumn("__bucket", bucket)
+    totals = b.groupBy(*keys, "__bucket").agg(F.max(value).alias("__t"))
+    wb = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, "__bucket", F.max("__t").over(wb).alias("__o"))
+    j = join_on_keys(b, offsets, keys + ["__bucket"])
+    wi = Window.partitionBy(*keys, "__bucket").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, upto)
+    within = F.max(value).over(wi)
+    best = F.when(F.col("__o").isNull(), within).when(within.isNull(), F.col("__o")) \
+            .otherwise(F.greatest(F.col("__o"), within))
+    return j.select(*df.columns, best.alias(out))

@@ -134,3 +134,4 @@ def oracle_sql() -> dict[str, str]:
 # registrations in the sibling modules (imported for their side effect)
 from evalframe.plans import queries_data  # noqa: E402,F401
 from evalframe.plans import queries_results  # noqa: E402,F401
+from evalframe.plans import queries_trials  # noqa: E402,F401
