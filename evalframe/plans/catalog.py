@@ -135,3 +135,4 @@ def oracle_sql() -> dict[str, str]:
 from evalframe.plans import queries_data  # noqa: E402,F401
 from evalframe.plans import queries_results  # noqa: E402,F401
 from evalframe.plans import queries_trials  # noqa: E402,F401
+from evalframe.plans import queries_models  # noqa: E402,F401
