@@ -296,3 +296,11 @@ from ({_tests_sql(RES_S, True, False)}) x""", ["effect_size"]))
 def q_effect_label(spark, sf):
     s = PA.paired_summary(_families(spark, sf), _TKEYS)
     return round_doubles(PA.effect_sizes(s, PA.TEST_KEYS))
+
+
+@register("report_rows")
+def q_report_rows(spark, sf):
+    """P13 (rows-only: lines carry p-values, which have no SQL oracle)."""
+    from evalframe.operators.report import report_rows
+    t = PA.run_comparisons(fx.results_fx(spark, sf), F.col("dataset") == "A")
+    return report_rows(t, PA.effect_sizes(t))
