@@ -64,9 +64,13 @@ def load_examples(spark: SparkSession, features, target, schema: StructType | No
 def write_table(df: DataFrame, path: str, partition_by=None, fmt: str = "parquet",
                 mode: str = "overwrite") -> str:
     """Write a table.  Refuses to write over a path the plan reads from."""
-    inputs = set(df.inputFiles())
-    target = path.rstrip("/")
-    if any(f.startswith(target + "/") or f == target or f.endswith(target) for f in inputs):
+    from urllib.parse import urlparse
+
+    def _norm(p: str) -> str:
+        return (urlparse(p).path or p).rstrip("/")
+
+    target = _norm(path)
+    if any(f == target or f.startswith(target + "/") for f in map(_norm, df.inputFiles())):
         raise ValueError(f"refusing to overwrite {path}: the frame reads from it")
     w = df.write.mode(mode)
     if partition_by:
