@@ -38,12 +38,14 @@ def stratified_folds(df: DataFrame, label: str = "y_true", id_col: str = "row_id
 
 def inner_folds(outer: DataFrame, label: str = "y_true", id_col: str = "row_id", k_outer: int = 5,
                 k_inner: int = 3, seed: int = 42, keys=(), outer_col: str = "outer_fold",
-                out: str = "inner_fold") -> DataFrame:
+                out: str = "inner_fold", only: int | None = None) -> DataFrame:
     """For every outer fold f, stratified inner folds over the rows whose
     outer fold is not f.  Output (keys, outer_fold, id, label, inner_fold);
-    each row appears k_outer - 1 times (once per outer training set)."""
+    each row appears k_outer - 1 times (once per outer training set).
+    ``only=f`` computes the inner folds of outer fold f alone."""
     keys = as_list(keys)
-    folds = F.array(*[F.lit(f) for f in range(1, k_outer + 1)])
+    chosen = [only] if only is not None else range(1, k_outer + 1)
+    folds = F.array(*[F.lit(f) for f in chosen])
     train_of = F.filter(folds, lambda f: f != F.col(outer_col))
     exploded = outer.select(*keys, id_col, label, F.explode(train_of).alias("_of")) \
                     .withColumnRenamed("_of", outer_col)

@@ -96,6 +96,25 @@ def positive_labels(df: DataFrame, keys, numeric: bool, label_cols=("y_true", "y
     return per_run.select(*keys, "n_labels", "positive_label", "negative_label")
 
 
+def resolve_label_set(labels: Column, numeric: bool) -> tuple[Column, Column, Column]:
+    """P3 on an array of distinct non-null labels: (n_labels, positive,
+    negative) expressions, same rule as ``positive_labels``."""
+    cands = F.array(*[F.lit(x) for x in POSITIVE_CANDIDATES])
+    n = F.size(labels)
+    rk = F.array_min(F.filter(F.transform(labels, lambda x: F.array_position(cands, x)), lambda r: r > 0))
+    cand = F.when(rk.isNotNull(), F.element_at(cands, rk.cast("int")))
+    max_text, min_text = F.array_max(labels), F.array_min(labels)
+    if numeric:
+        one = F.try_element_at(F.filter(labels, lambda x: x.try_cast("double") == 1.0), F.lit(1))
+        max_num = F.aggregate(labels, F.try_element_at(labels, F.lit(1)),
+                              lambda acc, x: F.when(x.try_cast("double") > acc.try_cast("double"), x).otherwise(acc))
+        pos = F.coalesce(one, cand, max_num)
+    else:
+        pos = F.coalesce(cand, max_text)
+    neg = F.when(pos == max_text, min_text).otherwise(max_text)
+    return n, pos, neg
+
+
 def check_binary(preds: DataFrame, keys, label_cols=("y_true", "y_pred")) -> DataFrame:
     """V8: runs whose label union does not have exactly two values."""
     canon, numeric = canonical_predictions(preds, label_cols)

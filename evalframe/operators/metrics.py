@@ -15,12 +15,12 @@ small.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalframe.functions.columns import nan_to_null
 from evalframe.operators._keys import as_list, join_on_keys
-from evalframe.operators.labels import canonical_predictions, positive_labels
+from evalframe.operators.labels import canonical_predictions, resolve_label_set
 from evalframe.operators.ranking import prefix_sums, unit_interval_bucket
 
 METRICS = (
@@ -47,69 +47,85 @@ def contingency(preds: DataFrame, keys, sensitive: str | None = "sensitive") ->
     return p.groupBy(*cols, "sensitive").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _labelled(preds: DataFrame, keys, positive: str | None, sensitive: str | None):
+def _runs(preds: DataFrame, keys, positive: str | None, sensitive: str | None):
+    """One linear chain over the contingency table:
+
+    contingency aggregate (the only pass over the predictions) -> label set
+    of each run by a window over that run's few contingency rows -> per
+    (run, group) counts -> per run counts, rates and disparities.  The window
+    and both aggregates share the hash partitioning on ``keys``.
+
+    Returns (canonical predictions, per-group table, per-run table)."""
     keys = as_list(keys)
     canon, numeric = canonical_predictions(preds)
     ct = contingency(canon, keys, sensitive)
-    if positive is None:
-        labels = positive_labels(ct, keys, numeric)
-    else:
-        labels = positive_labels(ct, keys, numeric).withColumn("positive_label", F.lit(str(positive)))
-    j = join_on_keys(ct, labels.select(*keys, "positive_label"), keys)
-    j = (j.withColumn("t_pos", F.col("y_true") == F.col("positive_label"))
-          .withColumn("p_pos", F.col("y_pred") == F.col("positive_label")))
-    return canon, j, labels
-
-
-def _confusion_from(j: DataFrame, keys) -> DataFrame:
-    n = F.col("n")
-    return j.groupBy(*keys).agg(
-        F.sum(F.when(F.col("t_pos") & F.col("p_pos"), n).otherwise(0)).cast("long").alias("tp"),
-        F.sum(F.when(~F.col("t_pos") & F.col("p_pos"), n).otherwise(0)).cast("long").alias("fp"),
-        F.sum(F.when(~F.col("t_pos") & ~F.col("p_pos"), n).otherwise(0)).cast("long").alias("tn"),
-        F.sum(F.when(F.col("t_pos") & ~F.col("p_pos"), n).otherwise(0)).cast("long").alias("fn"),
-        F.sum(n).cast("long").alias("n"),
-    )
+    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    labels = F.array_distinct(F.array_union(F.collect_set("y_true").over(w), F.collect_set("y_pred").over(w)))
+    n_labels, pos, neg = resolve_label_set(F.col("_labels"), numeric)
+    if positive is not None:
+        pos = F.lit(str(positive))
+        neg = F.element_at(F.filter(F.col("_labels"), lambda x: x != F.lit(str(positive))), 1)
+    j = (ct.withColumn("_labels", labels)
+           .select(*keys, "sensitive", "n", n_labels.alias("n_labels"), pos.alias("positive_label"),
+                   neg.alias("negative_label"),
+                   (F.col("y_true") == pos).alias("t_pos"), (F.col("y_pred") == pos).alias("p_pos")))
+    n, t, p = F.col("n"), F.col("t_pos"), F.col("p_pos")
+
+    def _sum(cond):
+        return F.sum(F.when(cond, n).otherwise(0)).cast("long")
+
+    groups = j.groupBy(*keys, "sensitive").agg(
+        F.max("n_labels").alias("n_labels"), F.max("positive_label").alias("positive_label"),
+        F.max("negative_label").alias("negative_label"),
+        F.sum(n).cast("long").alias("group_n"), _sum(p).alias("pred_pos"), _sum(t).alias("actual_pos"),
+        _sum(t & p).alias("tp"), _sum(~t & p).alias("fp"), _sum(~t & ~p).alias("tn"), _sum(t & ~p).alias("fn"))
+    real = F.col("sensitive").isNotNull()
+    rate = F.when(real, _ratio(F.col("pred_pos"), F.col("group_n")))
+    tpr = F.when(real, _ratio(F.col("tp"), F.col("actual_pos")))
+    runs = groups.groupBy(*keys).agg(
+        F.max("n_labels").alias("n_labels"), F.max("positive_label").alias("positive_label"),
+        F.max("negative_label").alias("negative_label"),
+        *[F.sum(c).cast("long").alias(c) for c in ("tp", "fp", "tn", "fn")],
+        F.sum("group_n").cast("long").alias("n"),
+        F.count(rate).alias("_n_rate"), (F.max(rate) - F.min(rate)).alias("_dpd"),
+        F.count(tpr).alias("_n_tpr"), (F.max(tpr) - F.min(tpr)).alias("_eod"))
+    msg = F.concat(F.lit("binary metrics need exactly two labels; run "),
+                   F.to_json(F.struct(*keys)) if keys else F.lit("(all)"),
+                   F.lit(" has "), F.col("n_labels").cast("string"))
+    runs = runs.select(
+        *keys, "n_labels",
+        F.when(F.col("n_labels") == 2, F.col("positive_label"))
+         .otherwise(F.raise_error(msg).cast("string")).alias("positive_label"),
+        "negative_label", "tp", "fp", "tn", "fn", "n",
+        F.when(F.col("_n_rate") >= 2, F.col("_dpd")).otherwise(0.0).alias("demographic_parity_difference"),
+        F.when(F.col("_n_tpr") >= 2, F.col("_eod")).otherwise(0.0).alias("equal_opportunity_difference"))
+    return canon, groups, runs
 
 
 def confusion(preds: DataFrame, keys, positive: str | None = None) -> DataFrame:
     """A1: TP, FP, TN, FN and n per run."""
     keys = as_list(keys)
-    _, j, _ = _labelled(preds, keys, positive, None)
-    return _confusion_from(j, keys)
+    _, _, runs = _runs(preds, keys, positive, None)
+    return runs.select(*keys, "tp", "fp", "tn", "fn", "n")
 
 
-def _binary_from_confusion(c: DataFrame, keys) -> DataFrame:
+def _binary_from_confusion(c: DataFrame, keys, extra=()) -> DataFrame:
     tp, fp, tn, fn, n = (F.col(x) for x in ("tp", "fp", "tn", "fn", "n"))
     tpr = _ratio(tp, tp + fn)
     tnr = _ratio(tn, tn + fp)
     bal = (F.when(tpr.isNotNull() & tnr.isNotNull(), (tpr + tnr) / 2.0)
            .otherwise(F.coalesce(tpr, tnr)))
     f1 = F.coalesce(_ratio(2 * tp, 2 * tp + fp + fn), F.lit(0.0))
-    return c.select(*keys,
-                    _ratio(tp + tn, n).alias("accuracy"),
-                    bal.alias("balanced_accuracy"),
-                    f1.alias("f1"))
+    return c.select(*keys, _ratio(tp + tn, n).alias("accuracy"), bal.alias("balanced_accuracy"),
+                    f1.alias("f1"), *extra)
 
 
 def binary_metrics(preds: DataFrame, keys, positive: str | None = None) -> DataFrame:
     """A2-A4: accuracy, balanced accuracy (mean recall over classes present in
     y_true), F1 of the positive label (0 when undefined)."""
     keys = as_list(keys)
-    return _binary_from_confusion(confusion(preds, keys, positive), keys)
-
-
-def _group_stats(j: DataFrame, keys) -> DataFrame:
-    """Per (run, non-null sensitive group): size, predicted positives,
-    actual positives, true positives."""
-    n = F.col("n")
-    g = j.where(F.col("sensitive").isNotNull())
-    return g.groupBy(*keys, "sensitive").agg(
-        F.sum(n).cast("long").alias("group_n"),
-        F.sum(F.when(F.col("p_pos"), n).otherwise(0)).cast("long").alias("pred_pos"),
-        F.sum(F.when(F.col("t_pos"), n).otherwise(0)).cast("long").alias("actual_pos"),
-        F.sum(F.when(F.col("t_pos") & F.col("p_pos"), n).otherwise(0)).cast("long").alias("true_pos"),
-    )
+    _, _, runs = _runs(preds, keys, positive, None)
+    return _binary_from_confusion(runs, keys)
 
 
 def group_rates(preds: DataFrame, keys, positive: str | None = None,
@@ -117,52 +133,27 @@ def group_rates(preds: DataFrame, keys, positive: str | None = None,
     """Per run and sensitive group: n, selection rate, TPR (NULL without
     actual positives).  NULL sensitive values form no group."""
     keys = as_list(keys)
-    _, j, _ = _labelled(preds, keys, positive, sensitive)
-    g = _group_stats(j, keys)
+    _, groups, _ = _runs(preds, keys, positive, sensitive)
+    g = groups.where(F.col("sensitive").isNotNull())
     return g.select(*keys, "sensitive", F.col("group_n").alias("n"),
                     _ratio(F.col("pred_pos"), F.col("group_n")).alias("selection_rate"),
-                    _ratio(F.col("true_pos"), F.col("actual_pos")).alias("tpr"))
-
-
-def _disparities(j: DataFrame, keys) -> DataFrame:
-    g = _group_stats(j, keys)
-    rate = _ratio(F.col("pred_pos"), F.col("group_n"))
-    tpr = _ratio(F.col("true_pos"), F.col("actual_pos"))
-    d = g.groupBy(*keys).agg(
-        F.count(rate).alias("_n_rate"), (F.max(rate) - F.min(rate)).alias("_dpd"),
-        F.count(tpr).alias("_n_tpr"), (F.max(tpr) - F.min(tpr)).alias("_eod"),
-    )
-    return d.select(*keys,
-                    F.when(F.col("_n_rate") >= 2, F.col("_dpd")).otherwise(0.0)
-                     .alias("demographic_parity_difference"),
-                    F.when(F.col("_n_tpr") >= 2, F.col("_eod")).otherwise(0.0)
-                     .alias("equal_opportunity_difference"))
-
-
-def _with_zero_disparities(runs: DataFrame, d: DataFrame, keys) -> DataFrame:
-    out = join_on_keys(runs, d, keys, "left")
-    return (out.withColumn("demographic_parity_difference",
-                           F.coalesce(F.col("demographic_parity_difference"), F.lit(0.0)))
-               .withColumn("equal_opportunity_difference",
-                           F.coalesce(F.col("equal_opportunity_difference"), F.lit(0.0))))
+                    _ratio(F.col("tp"), F.col("actual_pos")).alias("tpr"))
 
 
 def demographic_parity(preds: DataFrame, keys, positive: str | None = None,
                        sensitive: str = "sensitive") -> DataFrame:
     """Max - min selection rate over non-null groups; fewer than two groups -> 0.0."""
     keys = as_list(keys)
-    _, j, labels = _labelled(preds, keys, positive, sensitive)
-    out = _with_zero_disparities(labels.select(*keys), _disparities(j, keys), keys)
-    return out.select(*keys, "demographic_parity_difference")
+    _, _, runs = _runs(preds, keys, positive, sensitive)
+    return runs.select(*keys, "demographic_parity_difference")
 
 
 def equal_opportunity(preds: DataFrame, keys, positive: str | None = None,
                       sensitive: str = "sensitive") -> DataFrame:
     """Max - min TPR over groups that have actual positives; fewer than two -> 0.0."""
     keys = as_list(keys)
-    _, j, labels = _labelled(preds, keys, positive, sensitive)
-    out = _with_zero_disparities(labels.select(*keys), _disparities(j, keys), keys)
-    return out.select(*keys, "equal_opportunity_difference")
+    _, _, runs = _runs(preds, keys, positive, sensitive)
+    return runs.select(*keys, "equal_opportunity_difference")
 
 
 def _auc(canon: DataFrame, labels: DataFrame, keys, resolution: int | None) -> DataFrame:
@@ -172,19 +163,21 @@ def _auc(canon: DataFrame, labels: DataFrame, keys, resolution: int | None) -> D
     scores = canon.groupBy(*keys, "y_true", "y_prob").agg(F.count(F.lit(1)).alias("n"))
     j = join_on_keys(scores, labels.select(*keys, "positive_label"), keys)
     j = j.withColumn("is_pos", F.col("y_true") == F.col("positive_label"))
-    per_score = (j.where(F.col("y_prob").isNotNull())
-                  .groupBy(*keys, "y_prob")
+    # one chain: rows without a score stay as their own (NULL) score group,
+    # contribute nothing to the running sums and are counted as missing
+    has = F.col("y_prob").isNotNull()
+    per_score = (j.groupBy(*keys, "y_prob")
                   .agg(F.sum(F.when(F.col("is_pos"), F.col("n")).otherwise(0)).cast("long").alias("pos"),
-                       F.sum(F.when(~F.col("is_pos"), F.col("n")).otherwise(0)).cast("long").alias("neg")))
+                       F.sum(F.when(~F.col("is_pos"), F.col("n")).otherwise(0)).cast("long").alias("neg"))
+                  .withColumn("neg_nn", F.when(has, F.col("neg")).otherwise(F.lit(0).cast("long"))))
     bucket = None if resolution is None else unit_interval_bucket("y_prob", resolution)
-    ranked = prefix_sums(per_score, keys, "y_prob", "neg", bucket)
+    ranked = prefix_sums(per_score, keys, "y_prob", "neg_nn", bucket)
     dec = "decimal(38,0)"
-    term = F.col("pos").cast(dec) * (F.col("neg_below").cast(dec) * 2 + F.col("neg").cast(dec))
-    totals = ranked.groupBy(*keys).agg(F.sum(term).alias("_num"),
-                                       F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    missing = j.groupBy(*keys).agg(
-        F.sum(F.when(F.col("y_prob").isNull() | F.isnan("y_prob"), F.col("n")).otherwise(0)).alias("_miss"))
-    t = join_on_keys(missing, totals, keys, "left")
+    term = F.col("pos").cast(dec) * (F.col("neg_nn_below").cast(dec) * 2 + F.col("neg").cast(dec))
+    t = ranked.groupBy(*keys).agg(
+        F.sum(F.when(has, term)).alias("_num"),
+        F.sum(F.when(has, F.col("pos"))).alias("_p"), F.sum(F.when(has, F.col("neg"))).alias("_n"),
+        F.sum(F.when(~has, F.col("pos") + F.col("neg")).otherwise(0)).alias("_miss"))
     den = (F.col("_p").cast(dec) * F.col("_n").cast(dec) * 2)
     auc = F.when((F.col("_miss") == 0) & (F.col("_p") > 0) & (F.col("_n") > 0),
                  F.col("_num").cast("double") / den.cast("double"))
@@ -195,29 +188,27 @@ def roc_auc(preds: DataFrame, keys, positive: str | None = None,
             resolution: int | None = 1 << 16) -> DataFrame:
     """A5: exact ROC AUC per run (``resolution=None``: plain per-run window)."""
     keys = as_list(keys)
-    canon, j, labels = _labelled(preds, keys, positive, None)
-    return _auc(canon.withColumn("y_prob", nan_to_null(F.col("y_prob").cast("double"))),
-                labels, keys, resolution)
+    canon, _, runs = _runs(preds, keys, positive, None)
+    return _auc(canon.withColumn("y_prob", nan_to_null(F.col("y_prob").cast("double"))), runs, keys, resolution)
 
 
 def evaluate(preds: DataFrame, keys, positive: str | None = None,
              sensitive: str | None = "sensitive", resolution: int | None = 1 << 16) -> DataFrame:
-    """The six metrics of every run in one pass over the predictions.
+    """The six metrics of every run.
 
     ``preds`` has the key columns, ``y_true``, ``y_pred``, ``y_prob`` (may be
     NULL -> roc_auc NULL) and optionally the ``sensitive`` column (absent ->
-    disparities 0.0).
+    disparities 0.0).  Two aggregations read the predictions: the
+    contingency chain (``_runs``) and the score table (``_auc``).
     """
     keys = as_list(keys)
     if sensitive and sensitive not in preds.columns:
         sensitive = None
-    canon, j, labels = _labelled(preds, keys, positive, sensitive)
+    canon, _, runs = _runs(preds, keys, positive, sensitive)
     canon = canon.withColumn("y_prob", nan_to_null(F.col("y_prob").cast("double")))
-    binary = _binary_from_confusion(_confusion_from(j, keys), keys)
-    auc = _auc(canon, labels, keys, resolution)
-    out = join_on_keys(binary, auc, keys)
-    out = _with_zero_disparities(out, _disparities(j, keys), keys)
-    return out.select(*keys, *METRICS)
+    binary = _binary_from_confusion(runs, keys, ["demographic_parity_difference", "equal_opportunity_difference"])
+    auc = _auc(canon, runs, keys, resolution)
+    return join_on_keys(binary, auc, keys).select(*keys, *METRICS)
 
 
 def mean_over_folds(run_metrics: DataFrame, keys, metrics=METRICS, prefix: str = "mean_") -> DataFrame:

@@ -132,9 +132,9 @@ def inner_splits(examples: DataFrame, outer: DataFrame, outer_fold: int, k_inner
                  id_col: str = "row_id", label: str = "y_true", sensitive: str | None = None) -> list:
     """W2 + J1 + prep: the prepared (inner-train, inner-validation) pairs of
     one outer fold.  Done once and shared by every configuration."""
-    k_outer = int(outer.agg(F.max("outer_fold")).first()[0])
-    inner = (FO.inner_folds(outer, label, id_col, k_outer=k_outer, k_inner=k_inner, seed=seed)
-             .where(F.col("outer_fold") == outer_fold).select(id_col, "inner_fold").persist())
+    # written once to the checkpoint folder: every later plan starts from it
+    inner = cut_lineage(FO.inner_folds(outer, label, id_col, k_inner=k_inner, seed=seed, only=outer_fold)
+                        .select(id_col, "inner_fold"))
     out = []
     for i in range(1, k_inner + 1):
         tr_ids = inner.where(F.col("inner_fold") != i).select(id_col)
@@ -142,7 +142,6 @@ def inner_splits(examples: DataFrame, outer: DataFrame, outer_fold: int, k_inner
         tr = examples.join(tr_ids, id_col, "left_semi")
         va = examples.join(va_ids, id_col, "left_semi")
         out.append(prepare_split(tr, va, id_col, label, sensitive))
-    inner.unpersist()
     return out
 
 
@@ -166,7 +165,8 @@ def refit_outer(model: str, params: dict, examples: DataFrame, outer: DataFrame,
                 sensitive: str | None = None, keys: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """M9: fit the chosen configuration on the whole outer-training part and
     evaluate on the untouched outer fold.  Returns (predictions, metrics)."""
-    train, test = FO.fold_split(examples, outer.drop(label), outer_fold, id_col)
+    folds = cut_lineage(outer.select(id_col, "outer_fold"))
+    train, test = FO.fold_split(examples, folds, outer_fold, id_col)
     fold = prepare_split(train.drop("outer_fold"), test.drop("outer_fold"), id_col, label, sensitive)
     fitted = fit_model(model, params, fold, seed)
     keys = dict(keys or {"outer_fold": outer_fold})

@@ -20,6 +20,7 @@ from evalframe.operators.ranking import prefix_sums
 from evalframe.operators.summary import FAIRNESS_METRICS, PERFORMANCE_METRICS, RUNTIME_METRIC, unpivot_metrics
 
 EXACT_MAX_N = 50          # no ties and no zeros: exact distribution up to this n
+PLAIN_WINDOW_MAX_N = 500_000   # tests up to this size rank in one window task
 ENUMERATE_MAX_N = 13      # ties or zeros: full enumeration up to this n
 
 
@@ -83,43 +84,51 @@ def _abs_bucket(c: Column, per_octave: int = 16) -> Column:
 
 
 def signed_ranks(pairs: DataFrame, test_keys, tie_decimals: int | None = 12,
-                 bucketed: bool = True) -> DataFrame:
+                 bucketed: bool | None = None) -> DataFrame:
     """T5: Wilcoxon signed-rank statistic per test.
 
     Differences right - left (rounded to ``tie_decimals`` before the zero and
     tie tests; ``None`` keeps them as computed).  Zeros are dropped, tied
     |d| share their average rank, W = min(W+, W-).  Output per test: n, m
     (non-zero count), w2 (= 2 W, an exact integer), tie_term (sum t^3 - t),
-    ties flag and the exact flag."""
+    ties flag and the exact flag.
+
+    ``bucketed=None`` measures the largest test first (one small aggregate)
+    and splits the rank window into |d| buckets only when some test has more
+    than ``PLAIN_WINDOW_MAX_N`` pairs; design-sized tests rank in one window
+    each, which costs fewer stages."""
     keys = as_list(test_keys)
+    if bucketed is None:
+        biggest = pairs.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        bucketed = biggest > PLAIN_WINDOW_MAX_N
     p = pairs.where(_finite(F.col("left_value")) & _finite(F.col("right_value")))
     d = F.col("right_value") - F.col("left_value")
     if tie_decimals is not None:
         d = F.round(d, tie_decimals)
-    p = p.select(*keys, d.alias("d"))
-    n = p.groupBy(*keys).agg(F.count(F.lit(1)).cast("long").alias("n"))
-    nz = p.where(F.col("d") != 0)
-    per_abs = nz.groupBy(*keys, F.abs("d").alias("a")).agg(
-        F.count(F.lit(1)).cast("long").alias("cnt"), F.count_if(F.col("d") > 0).cast("long").alias("cnt_pos"))
-    ranked = prefix_sums(per_abs, keys, "a", "cnt", _abs_bucket(F.col("a")) if bucketed else None)
-    rank2 = F.col("cnt_below") * 2 + F.col("cnt") + 1          # twice the average rank
-    ranked = ranked.withColumn("rank2", rank2)
-    stats = ranked.groupBy(*keys).agg(
-        F.sum("cnt").cast("long").alias("m"),
+    # one aggregate per distinct |d| (zeros included as a = 0); zeros add
+    # nothing to the running count, so non-zero ranks start at 1
+    per_abs = p.groupBy(*keys, F.abs(d).alias("a")).agg(
+        F.count(F.lit(1)).cast("long").alias("cnt"), F.count_if(d > 0).cast("long").alias("cnt_pos"))
+    nz = F.col("a") != 0
+    per_abs = per_abs.withColumn("cnt_nz", F.when(nz, F.col("cnt")).otherwise(F.lit(0).cast("long")))
+    bucket = F.when(nz, _abs_bucket(F.col("a"))).otherwise(F.lit(None).cast("long")) if bucketed else None
+    ranked = prefix_sums(per_abs, keys, "a", "cnt_nz", bucket)
+    rank2 = F.col("cnt_nz_below") * 2 + F.col("cnt") + 1          # twice the average rank
+    ranked = ranked.withColumn("rank2", F.when(nz, rank2))
+    out = ranked.groupBy(*keys).agg(
+        F.sum("cnt").cast("long").alias("n"),
+        F.sum("cnt_nz").cast("long").alias("m"),
         F.sum(F.col("cnt_pos") * F.col("rank2")).cast("long").alias("_wp2"),
         F.sum((F.col("cnt") - F.col("cnt_pos")) * F.col("rank2")).cast("long").alias("_wm2"),
-        F.sum(F.pow(F.col("cnt"), 3) - F.col("cnt")).alias("tie_term"),
-        (F.max("cnt") > 1).alias("ties"))
-    out = join_on_keys(n, stats, keys, "left")
-    m = F.coalesce(F.col("m"), F.lit(0)).cast("long")
-    exact = (((m == F.col("n")) & ~F.coalesce(F.col("ties"), F.lit(False)) & (F.col("n") <= EXACT_MAX_N))
-             | (F.col("n") <= ENUMERATE_MAX_N))
-    out = out.select(*keys, "n", m.alias("m"), F.least("_wp2", "_wm2").alias("w2"),
-                     F.coalesce(F.col("tie_term"), F.lit(0.0)).alias("tie_term"),
-                     F.coalesce(F.col("ties"), F.lit(False)).alias("ties"), exact.alias("exact"))
+        F.coalesce(F.sum(F.when(nz, F.pow(F.col("cnt"), 3) - F.col("cnt"))), F.lit(0.0)).alias("tie_term"),
+        F.coalesce(F.max(F.when(nz, F.col("cnt"))) > 1, F.lit(False)).alias("ties"))
+    m = F.col("m")
+    exact = (((m == F.col("n")) & ~F.col("ties") & (F.col("n") <= EXACT_MAX_N)) | (F.col("n") <= ENUMERATE_MAX_N))
+    out = out.select(*keys, "n", "m", F.least("_wp2", "_wm2").alias("w2"), "tie_term", "ties",
+                     exact.alias("exact"))
     # doubled ranks with multiplicity, collected only for exact tests (n bounded)
     small = out.where(F.col("exact") & (F.col("n") <= EXACT_MAX_N) & (F.col("m") >= 2)).select(*keys)
-    rk = join_on_keys(ranked.select(*keys, "rank2", "cnt"), small, keys, "left_semi")
+    rk = join_on_keys(ranked.where(nz).select(*keys, "rank2", "cnt"), small, keys, "left_semi")
     lists = rk.groupBy(*keys).agg(F.flatten(F.collect_list(F.array_repeat("rank2", F.col("cnt").cast("int"))))
                                   .alias("ranks2"))
     return join_on_keys(out, lists, keys, "left")
@@ -157,31 +166,52 @@ ALL_SCOPE = "all_datasets"
 def comparison_pairs(results: DataFrame, fairness_datasets: Column | None = None, study_keys=(),
                      models=("random_forest", "xgboost"), optimizers=("random", "bayesian"),
                      metrics=PERFORMANCE_METRICS + (RUNTIME_METRIC,), fairness_metrics=FAIRNESS_METRICS,
-                     dataset: str = "dataset", fold: str = "outer_fold") -> DataFrame:
+                     dataset: str = "dataset", fold: str = "outer_fold", model: str = "model",
+                     optimizer: str = "optimizer") -> DataFrame:
     """T7 pairs: model and optimizer comparisons over all datasets and per
     dataset, plus fairness comparisons on fairness-applicable datasets only.
 
-    Two aggregations (one per factor) build every pair once; a fixed fan-out
-    of two scopes per pair replaces the reference's repeated filters."""
+    One pass: every unpivoted result row fans out to its two factor views
+    (model view paired on the optimizer, optimizer view paired on the model)
+    and a single conditional aggregation meets the two sides of every pair.
+    A second fixed fan-out gives each pair its two scopes."""
     study_keys = as_list(study_keys)
     applicable = fairness_datasets if fairness_datasets is not None else F.lit(False)
-    fams = []
-    for factor, (left, right), other in (("model", models, "optimizer"), ("optimizer", optimizers, "model")):
-        p = paired(results, factor, left, right, [dataset, other, fold], list(metrics) + list(fairness_metrics),
-                   study_keys)
-        p = p.withColumn("_app", applicable)
-        is_fair = F.col("metric").isin(*fairness_metrics)
-        p = p.where(~is_fair | F.col("_app"))
-        comp = F.when(is_fair, F.lit(f"fairness_{factor}")).otherwise(F.lit(factor))
-        scopes = F.when(is_fair, F.array(F.col(dataset))).otherwise(F.array(F.lit(ALL_SCOPE), F.col(dataset)))
-        p = p.select(*study_keys, comp.alias("comparison"), F.explode(scopes).alias("scope"), "metric",
-                     F.lit(left).alias("left_method"), F.lit(right).alias("right_method"),
-                     F.col(dataset).alias("pair_dataset"), F.col(other).alias("pair_group"),
-                     F.col(fold).alias("pair_fold"), "left_value", "right_value")
-        p = p.withColumn("pairing", F.when(F.col("scope") == ALL_SCOPE, F.lit(f"{dataset} + {other} + {fold}"))
-                         .otherwise(F.lit(f"{other} + {fold}")))
-        fams.append(p)
-    return fams[0].unionByName(fams[1])
+    all_metrics = list(metrics) + list(fairness_metrics)
+    r = results.withColumn("_app", applicable)
+    long = unpivot_metrics(r, study_keys + [dataset, model, optimizer, fold, "_app"], all_metrics)
+    views = F.array(
+        F.struct(F.lit("model").alias("factor"), F.col(model).alias("side"), F.col(optimizer).alias("other"),
+                 F.lit(models[0]).alias("left"), F.lit(models[1]).alias("right"), F.lit(optimizer).alias("other_name")),
+        F.struct(F.lit("optimizer").alias("factor"), F.col(optimizer).alias("side"), F.col(model).alias("other"),
+                 F.lit(optimizers[0]).alias("left"), F.lit(optimizers[1]).alias("right"),
+                 F.lit(model).alias("other_name")))
+    is_fair = F.col("metric").isin(*fairness_metrics)
+    x = (long.where(~is_fair | F.col("_app"))
+             .select(*study_keys, dataset, fold, "metric", "value", F.explode(views).alias("v"))
+             .select(*study_keys, dataset, fold, "metric", "value", "v.*")
+             .where(F.col("side").isin(F.col("left"), F.col("right"))))
+    v = nan_to_null(F.col("value"))
+    is_l, is_r = F.col("side") == F.col("left"), F.col("side") == F.col("right")
+    g = x.groupBy(*study_keys, "factor", "left", "right", "other_name", "metric", dataset, "other", fold).agg(
+        F.max(F.when(is_l, v)).alias("left_value"), F.max(F.when(is_r, v)).alias("right_value"),
+        F.count_if(is_l).alias("_nl"), F.count_if(is_r).alias("_nr"))
+    dup = (F.col("_nl") > 1) | (F.col("_nr") > 1)
+    msg = F.concat(F.lit("duplicate pair key in comparison: "),
+                   F.to_json(F.struct(*study_keys, "factor", "metric", dataset, "other", fold)))
+    g = g.withColumn("left_value", F.when(dup, F.raise_error(msg).cast("double")).otherwise(F.col("left_value")))
+    g = g.where(F.col("left_value").isNotNull() & F.col("right_value").isNotNull())
+    fair = F.col("metric").isin(*fairness_metrics)
+    comp = F.when(fair, F.concat(F.lit("fairness_"), F.col("factor"))).otherwise(F.col("factor"))
+    scopes = F.when(fair, F.array(F.col(dataset))).otherwise(F.array(F.lit(ALL_SCOPE), F.col(dataset)))
+    out = g.select(*study_keys, comp.alias("comparison"), F.explode(scopes).alias("scope"), "metric",
+                   F.col("left").alias("left_method"), F.col("right").alias("right_method"), "other_name",
+                   F.col(dataset).alias("pair_dataset"), F.col("other").alias("pair_group"),
+                   F.col(fold).alias("pair_fold"), "left_value", "right_value")
+    pairing = F.when(F.col("scope") == ALL_SCOPE,
+                     F.concat(F.lit(f"{dataset} + "), F.col("other_name"), F.lit(f" + {fold}"))) \
+               .otherwise(F.concat(F.col("other_name"), F.lit(f" + {fold}")))
+    return out.withColumn("pairing", pairing).drop("other_name")
 
 
 TEST_KEYS = ("comparison", "scope", "metric", "left_method", "right_method", "pairing")
@@ -190,8 +220,11 @@ TEST_KEYS = ("comparison", "scope", "metric", "left_method", "right_method", "pa
 def run_comparisons(results: DataFrame, fairness_datasets: Column | None = None, study_keys=(),
                     tie_decimals: int | None = 12, **kw) -> DataFrame:
     """Every paired test of every family (44 per study in the reference design)."""
+    from pyspark import StorageLevel
     study_keys = as_list(study_keys)
-    pairs = comparison_pairs(results, fairness_datasets, study_keys, **kw)
+    # the pair table feeds several aggregates with different column sets;
+    # persist it once instead of rebuilding it from the results per branch
+    pairs = comparison_pairs(results, fairness_datasets, study_keys, **kw).persist(StorageLevel.MEMORY_AND_DISK)
     return paired_tests(pairs, study_keys + list(TEST_KEYS), tie_decimals)
 
 

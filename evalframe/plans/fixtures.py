@@ -80,10 +80,11 @@ from labels l join documents d on l.doc_id = d.doc_id
 # --- B3: fold-level experiment results, 60 rows at every scale --------------
 
 def _exact_avg(c: str) -> F.Column:
-    # sum of two-decimal values as an exact decimal, one correctly rounded
-    # division: the same double in every engine (no further rounding: a
-    # decimal round at a halfway point differs between engines)
-    return F.sum(F.col(c).cast("decimal(18,2)")).cast("double") / F.count(F.lit(1))
+    # two-decimal values summed exactly as integer hundredths, then two
+    # correctly rounded divisions: the same double in every engine (no
+    # decimal rounding: a round at a halfway point differs between engines)
+    cents = F.sum(F.round(F.col(c) * 100).cast("long")).cast("double")
+    return cents / F.count(F.lit(1)) / F.lit(100.0)
 
 
 def results_fx(spark: SparkSession, sf_dir: str, study: bool = False) -> DataFrame:
@@ -109,7 +110,7 @@ def results_fx(spark: SparkSession, sf_dir: str, study: bool = False) -> DataFra
 def _results_sql(study: bool) -> str:
     s = "l_partkey % 16 as study, " if study else ""
     g = "1, 2, 3, 4, 5" if study else "1, 2, 3, 4"
-    avg = "cast(sum(cast({c} as decimal(18,2))) as double) / count(*)"
+    avg = "cast(sum(cast(round({c} * 100) as bigint)) as double) / count(*) / cast(100 as double)"
     return f"""
 select {s}l_returnflag as dataset,
        case when l_linestatus = 'F' then 'random_forest' else 'xgboost' end as model,

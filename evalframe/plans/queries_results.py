@@ -239,9 +239,10 @@ _T_DOUBLES = ["mean_left", "mean_right", "mean_difference", "median_difference",
 
 
 def _families(spark, sf, study=True, tie_decimals=12):
+    from pyspark import StorageLevel
     r = fx.results_fx(spark, sf, study=study)
     pairs = PA.comparison_pairs(r, F.col("dataset") == "A", ["study"] if study else [])
-    return pairs
+    return pairs.persist(StorageLevel.MEMORY_AND_DISK)   # read by several aggregates
 
 
 _TKEYS = ["study"] + list(PA.TEST_KEYS)

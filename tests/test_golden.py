@@ -153,3 +153,11 @@ def test_compare_methods(results, factor, left, right, gold_name, dm, dmed):
     gold = pd.read_csv(GOLD / f"{gold_name}.csv")
     cols = [c for c in gold.columns if c not in ("dataset", "metric")]
     assert _compare(ours, gold, ["dataset", "metric"], cols) == []
+
+
+def test_bucketed_signed_ranks_equal_plain(results):
+    pairs = PA.comparison_pairs(results, F.col("dataset") == "adult")
+    keys = list(PA.TEST_KEYS)
+    a = PA.signed_ranks(pairs, keys, None, bucketed=True).drop("ranks2")
+    b = PA.signed_ranks(pairs, keys, None, bucketed=False).drop("ranks2")
+    assert sorted(a.collect()) == sorted(b.collect())
