@@ -21,8 +21,10 @@ def join_on_keys(left: DataFrame, right: DataFrame, keys, how: str = "inner") ->
     one copy of each key column.  With no keys both sides are one group."""
     keys = as_list(keys)
     if not keys:
-        # one global group: attach on a constant key (an equi-join, not a product)
-        out = left.withColumn("__all", F.lit(0)).join(right.withColumn("__all", F.lit(0)), "__all", how)
+        # one global group: the right side is a single aggregate row, so it is
+        # broadcast (size bounded by construction) and attached on a constant key
+        r1 = F.broadcast(right.withColumn("__all", F.lit(0)))
+        out = left.withColumn("__all", F.lit(0)).join(r1, "__all", how)
         return out.drop("__all")
     r = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys],
                      *[c for c in right.columns if c not in keys])

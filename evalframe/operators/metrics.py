@@ -23,6 +23,9 @@ from evalframe.operators._keys import as_list, join_on_keys
 from evalframe.operators.labels import canonical_predictions, resolve_label_set
 from evalframe.operators.ranking import prefix_sums, unit_interval_bucket
 
+AUC_PLAIN_MAX_ROWS = 500_000   # runs up to this size sort their scores in one window task
+AUC_BUCKETS = 1 << 16
+
 METRICS = (
     "accuracy", "balanced_accuracy", "f1", "roc_auc",
     "demographic_parity_difference", "equal_opportunity_difference",
@@ -64,7 +67,7 @@ def _runs(preds: DataFrame, keys, positive: str | None, sensitive: str | None):
     n_labels, pos, neg = resolve_label_set(F.col("_labels"), numeric)
     if positive is not None:
         pos = F.lit(str(positive))
-        neg = F.element_at(F.filter(F.col("_labels"), lambda x: x != F.lit(str(positive))), 1)
+        neg = F.try_element_at(F.filter(F.col("_labels"), lambda x: x != F.lit(str(positive))), F.lit(1))
     j = (ct.withColumn("_labels", labels)
            .select(*keys, "sensitive", "n", n_labels.alias("n_labels"), pos.alias("positive_label"),
                    neg.alias("negative_label"),
@@ -184,16 +187,29 @@ def _auc(canon: DataFrame, labels: DataFrame, keys, resolution: int | None) -> D
     return t.select(*keys, auc.alias("roc_auc"))
 
 
-def roc_auc(preds: DataFrame, keys, positive: str | None = None,
-            resolution: int | None = 1 << 16) -> DataFrame:
-    """A5: exact ROC AUC per run (``resolution=None``: plain per-run window)."""
+def _choose_resolution(runs: DataFrame, resolution):
+    """``'auto'``: cache the (one row per run) table, read the largest run and
+    split the score window into buckets only if some run exceeds
+    ``AUC_PLAIN_MAX_ROWS``.  The cached table is reused by the rest of the
+    plan, so the predictions are still aggregated once for counts."""
+    if resolution != "auto":
+        return runs, resolution
+    runs = runs.persist()
+    biggest = runs.agg(F.max("n")).first()[0] or 0
+    return runs, (AUC_BUCKETS if biggest > AUC_PLAIN_MAX_ROWS else None)
+
+
+def roc_auc(preds: DataFrame, keys, positive: str | None = None, resolution: int | str | None = "auto") -> DataFrame:
+    """A5: exact ROC AUC per run (``resolution``: number of score buckets,
+    ``None`` for one plain window per run, ``'auto'`` to decide by run size)."""
     keys = as_list(keys)
     canon, _, runs = _runs(preds, keys, positive, None)
+    runs, resolution = _choose_resolution(runs, resolution)
     return _auc(canon.withColumn("y_prob", nan_to_null(F.col("y_prob").cast("double"))), runs, keys, resolution)
 
 
 def evaluate(preds: DataFrame, keys, positive: str | None = None,
-             sensitive: str | None = "sensitive", resolution: int | None = 1 << 16) -> DataFrame:
+             sensitive: str | None = "sensitive", resolution: int | str | None = "auto") -> DataFrame:
     """The six metrics of every run.
 
     ``preds`` has the key columns, ``y_true``, ``y_pred``, ``y_prob`` (may be
@@ -205,6 +221,7 @@ def evaluate(preds: DataFrame, keys, positive: str | None = None,
     if sensitive and sensitive not in preds.columns:
         sensitive = None
     canon, _, runs = _runs(preds, keys, positive, sensitive)
+    runs, resolution = _choose_resolution(runs, resolution)
     canon = canon.withColumn("y_prob", nan_to_null(F.col("y_prob").cast("double")))
     binary = _binary_from_confusion(runs, keys, ["demographic_parity_difference", "equal_opportunity_difference"])
     auc = _auc(canon, runs, keys, resolution)

@@ -161,3 +161,15 @@ def test_bucketed_signed_ranks_equal_plain(results):
     a = PA.signed_ranks(pairs, keys, None, bucketed=True).drop("ranks2")
     b = PA.signed_ranks(pairs, keys, None, bucketed=False).drop("ranks2")
     assert sorted(a.collect()) == sorted(b.collect())
+
+
+def test_paired_aggregate_equals_inner_join(results):
+    keys = ["dataset", "optimizer", "outer_fold"]
+    agg = PA.paired(results, "model", "random_forest", "xgboost", keys, ["accuracy", "f1"])
+    long = S.unpivot_metrics(results, keys + ["model"], ["accuracy", "f1"])
+    left = long.where("model = 'random_forest'").select(*keys, "metric", F.col("value").alias("left_value"))
+    right = long.where("model = 'xgboost'").select(*keys, "metric", F.col("value").alias("right_value"))
+    join = left.join(right, keys + ["metric"]).where("left_value is not null and right_value is not null")
+    cols = ["metric"] + keys + ["left_value", "right_value"]
+    assert sorted(agg.select(*cols).collect()) == sorted(join.select(*cols).collect())
+    assert agg.count() == 60

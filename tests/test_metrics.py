@@ -122,3 +122,11 @@ def test_bucketed_auc_equals_plain(spark):
     b = sorted(M.roc_auc(df, ["run_id"], resolution=8).collect())
     assert a == b
     assert all(0 < r["roc_auc"] < 1 and not math.isnan(r["roc_auc"]) for r in a)
+
+
+def test_given_positive_label(spark):
+    df = spark.createDataFrame(EXAMPLE, COLS).withColumn("run", F.lit("r"))
+    r = _one(M.evaluate(df, ["run"], positive="0"))
+    assert r["f1"] == pytest.approx(6 / 7)
+    assert r["roc_auc"] == pytest.approx(0.0)   # scores rank class 1, so class 0 gets 1 - 1.0
+    assert r["accuracy"] == pytest.approx(0.875)
