@@ -135,24 +135,29 @@ def inner_splits(examples: DataFrame, outer: DataFrame, outer_fold: int, k_inner
     # written once to the checkpoint folder: every later plan starts from it
     inner = cut_lineage(FO.inner_folds(outer, label, id_col, k_inner=k_inner, seed=seed, only=outer_fold)
                         .select(id_col, "inner_fold"))
-    out = []
-    for i in range(1, k_inner + 1):
-        tr_ids = inner.where(F.col("inner_fold") != i).select(id_col)
-        va_ids = inner.where(F.col("inner_fold") == i).select(id_col)
-        tr = examples.join(tr_ids, id_col, "left_semi")
-        va = examples.join(va_ids, id_col, "left_semi")
-        out.append(prepare_split(tr, va, id_col, label, sensitive))
-    return out
+
+    def one(i: int) -> PreparedFold:
+        tr = examples.join(inner.where(F.col("inner_fold") != i).select(id_col), id_col, "left_semi")
+        va = examples.join(inner.where(F.col("inner_fold") == i).select(id_col), id_col, "left_semi")
+        return prepare_split(tr, va, id_col, label, sensitive)
+
+    # the inner folds are independent jobs: plan and run them concurrently
+    with ThreadPoolExecutor(max_workers=k_inner) as pool:
+        return list(pool.map(one, range(1, k_inner + 1)))
 
 
 def evaluate_config(model: str, params: dict, splits: list, config_id: int = 1, seed: int = 1000) -> DataFrame:
     """M8: fit and predict on every inner split, then one grouped evaluate
     over all inner folds and the mean over folds (A10): one row per config."""
-    preds = None
-    for i, fold in enumerate(splits, start=1):
-        fitted = fit_model(model, params, fold, seed)
-        p = predict(fitted, fold, {"config_id": config_id, "inner_fold": i})
-        preds = p if preds is None else preds.unionByName(p)
+    def one(i_fold):
+        i, fold = i_fold
+        return predict(fit_model(model, params, fold, seed), fold, {"config_id": config_id, "inner_fold": i})
+
+    with ThreadPoolExecutor(max_workers=len(splits)) as pool:   # independent fits
+        parts = list(pool.map(one, enumerate(splits, start=1)))
+    preds = parts[0]
+    for p in parts[1:]:
+        preds = preds.unionByName(p)
     # scored once and cut from the model lineage: evaluate reads the
     # predictions twice (counts and scores) and plans many joins over them
     preds = cut_lineage(preds)

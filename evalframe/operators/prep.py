@@ -55,9 +55,8 @@ def fit_prep(train: DataFrame, numeric=(), categorical=(), keys=(), one_hot: boo
              max_categories: int = 1000) -> PrepModel:
     """M1-M3 fit: medians, modes and vocabularies from ``train`` only."""
     keys, numeric, categorical = as_list(keys), as_list(numeric), as_list(categorical)
-    aggs = [F.median(F.col(c).cast("double")).alias(f"med_{c}") for c in numeric]
-    aggs += [F.mode(_cat_text(train, c), deterministic=True).alias(f"mode_{c}") for c in categorical]
-    stats = train.groupBy(*keys).agg(*aggs) if aggs else train.select(*keys).distinct()
+    # one row per fit group, read by the vocabulary step and every apply
+    stats = _fit_stats(train, keys, numeric, categorical).persist()
     vocab = {}
     if one_hot and categorical:
         if keys:
@@ -74,6 +73,33 @@ def fit_prep(train: DataFrame, numeric=(), categorical=(), keys=(), one_hot: boo
     return PrepModel(keys, numeric, categorical, stats, vocab)
 
 
+def _fit_stats(train: DataFrame, keys, numeric, categorical) -> DataFrame:
+    """Medians and modes of every column in two distributed pipelines: the
+    columns are unpivoted so the column name is one more grouping key, then
+    ``exact_quantiles`` / ``mode`` (no group is held in one task) and a
+    conditional aggregate turns them back into one row per fit group."""
+    from evalframe.operators.quantiles import exact_quantiles, mode
+    parts = []
+    if numeric:
+        long = train.select(*keys, *[F.col(c).cast("double").alias(c) for c in numeric]).unpivot(
+            keys, numeric, "__col", "__val")
+        med = exact_quantiles(long, keys + ["__col"], "__val", [0.5], names=["__q"])
+        parts.append(med.groupBy(*keys).agg(*[F.max(F.when(F.col("__col") == c, F.col("__q"))).alias(f"med_{c}")
+                                              for c in numeric]))
+    if categorical:
+        long = train.select(*keys, *[_cat_text(train, c).alias(c) for c in categorical]).unpivot(
+            keys, categorical, "__col", "__val")
+        mo = mode(long, keys + ["__col"], "__val", out="__m")
+        parts.append(mo.groupBy(*keys).agg(*[F.max(F.when(F.col("__col") == c, F.col("__m"))).alias(f"mode_{c}")
+                                             for c in categorical]))
+    if not parts:
+        return train.select(*keys).distinct()
+    out = parts[0]
+    for p in parts[1:]:
+        out = join_on_keys(out, p, keys)
+    return out
+
+
 def onehot_name(col: str, value: str) -> str:
     return f"{col}_{value}"
 
