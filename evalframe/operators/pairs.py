@@ -73,7 +73,9 @@ def paired_summary(pairs: DataFrame, test_keys) -> DataFrame:
         F.avg(d).alias("mean_difference"), F.median(d).alias("median_difference"),
         F.stddev_samp(d).alias("_sd"))
     ok = (F.col("n") >= 2) & (F.col("_sd") > 0)
-    return (g.withColumn("t_statistic", F.when(ok, -F.col("mean_difference") / (F.col("_sd") / F.sqrt(F.col("n")))))
+    # 0 - mean (not -mean): a zero mean gives t = +0.0, as left - right does
+    t = (F.lit(0.0) - F.col("mean_difference")) / (F.col("_sd") / F.sqrt(F.col("n")))
+    return (g.withColumn("t_statistic", F.when(ok, t))
              .withColumn("cohens_dz", F.when(ok, F.col("mean_difference") / F.col("_sd")))
              .drop("_sd"))
 

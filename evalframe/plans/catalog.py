@@ -3,7 +3,7 @@
 Every query reads the driver tables (through a fixture) and runs the library
 operator over the whole table.  Oracle SQL is written independently with
 plain joins, GROUP BY and unsplit windows.  Doubles that come out of sums of
-doubles (whose order differs between engines) are rounded to 9 decimals on
+doubles (whose order differs between engines) are snapped to a 2^-30 grid on
 both sides, in the query only.
 """
 
@@ -25,7 +25,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-ROUND = 9
+SNAP_BITS = 30          # query-side grid: 2^-30 (about 1e-9)
+SNAP_LIMIT = 2.0 ** 20  # larger magnitudes are left as computed
 
 
 def register(name: str, sql: str | None = None):
@@ -37,16 +38,32 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-def round_doubles(df: DataFrame, digits: int = ROUND) -> DataFrame:
-    """Round every double column (query-side only, for engine-independent hashes)."""
-    return df.select(*[F.round(F.col(f.name), digits).alias(f.name)
+def _snap(c):
+    """Snap a double onto the 2^-30 grid: scaling by a power of two, adding
+    one half and flooring are exact, so equal inputs give equal outputs in
+    every engine, and unlike a decimal round there are no decimal ties
+    (values such as 0.2577734375 that engines break differently).  Also turns
+    -0.0 into 0.0."""
+    scale = float(2 ** SNAP_BITS)
+    snapped = F.floor(c * scale + 0.5).cast("double") / scale
+    return F.when(F.abs(c) < SNAP_LIMIT, snapped).otherwise(c)
+
+
+def round_doubles(df: DataFrame) -> DataFrame:
+    """Snap every double column (query-side only, for engine-independent
+    hashes of values computed by sums in different orders)."""
+    return df.select(*[_snap(F.col(f.name)).alias(f.name)
                        if isinstance(f.dataType, (DoubleType, FloatType)) else F.col(f.name)
                        for f in df.schema.fields])
 
 
-def round_sql(sql: str, cols, digits: int = ROUND) -> str:
-    """Wrap an oracle so the named double columns are rounded like ``round_doubles``."""
-    repl = ", ".join(f"round({c}, {digits}) as {c}" for c in cols)
+def round_sql(sql: str, cols) -> str:
+    """Wrap an oracle so the named double columns are snapped like ``round_doubles``."""
+    scale = f"cast({2 ** SNAP_BITS} as double)"
+    lim = f"cast({int(SNAP_LIMIT)} as double)"
+    repl = ", ".join(
+        f"case when abs({c}) < {lim} then floor({c} * {scale} + 0.5) / {scale} else {c} end as {c}"
+        for c in cols)
     return f"select * replace ({repl}) from ({sql}) r"
 
 

@@ -229,7 +229,8 @@ w as (select {tk}, count(*) as m, least(sum(case when d > 0 then r else 0 end),
 t as (select {tk}, cast(count(*) as bigint) as n, avg(left_value) as mean_left, avg(right_value) as mean_right,
         avg(right_value - left_value) as mean_difference, median(right_value - left_value) as median_difference,
         stddev_samp(right_value - left_value) as sd from f group by all){w_cte if with_w else ''}
-select t.*, case when n >= 2 and sd > 0 then -mean_difference / (sd / sqrt(n)) end as t_statistic,
+select t.*, case when n >= 2 and sd > 0 then (cast(0 as double) - mean_difference) / (sd / sqrt(n)) end
+    as t_statistic,
   case when n >= 2 and sd > 0 then mean_difference / sd end as cohens_dz
   {', case when w.m is null then 0.0 when w.m >= 2 then w.w end as wilcoxon_statistic' if with_w else ''}
 from t {f'left join w on {on}' if with_w else ''}"""
