@@ -10,6 +10,7 @@ grouped ``evaluate``.
 
 from __future__ import annotations
 
+import json
 import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -194,7 +195,6 @@ def run_search(examples: DataFrame, outer: DataFrame, outer_fold: int, model: st
                             (i, c)) for i, c in enumerate(configs, start=1)]
         rows = [f.result() for f in futs]
     spark = examples.sparkSession
-    import json
     hist = spark.createDataFrame(
         [(i, json.dumps(c), *[r[f"mean_{m}"] for m in M.METRICS]) for i, (c, r) in enumerate(zip(configs, rows), 1)],
         "iteration int, params string, " + ", ".join(f"mean_{m} double" for m in M.METRICS))

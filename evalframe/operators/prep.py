@@ -61,9 +61,9 @@ def fit_prep(train: DataFrame, numeric=(), categorical=(), keys=(), one_hot: boo
     if one_hot and categorical:
         if keys:
             raise ValueError("one-hot vocabularies are fitted per training set: call once per fold")
-        filled = train.select(*[F.coalesce(_cat_text(train, c), F.lit(None)).alias(c) for c in categorical])
-        filled = join_on_keys(filled, stats.select(*[f"mode_{c}" for c in categorical]), [])
-        filled = filled.select(*[F.coalesce(F.col(c), F.col(f"mode_{c}")).alias(c) for c in categorical])
+        # the imputed value (the mode) is itself an observed value, so the
+        # vocabulary after imputation is the set of observed non-null values
+        filled = train.select(*[_cat_text(train, c).alias(c) for c in categorical])
         sizes = filled.agg(*[F.count_distinct(c).alias(c) for c in categorical]).first().asDict()
         too_big = {c: n for c, n in sizes.items() if n > max_categories}
         if too_big:
