@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from evalframe.functions.columns import effect_label, nan_to_null
 from evalframe.functions.pvalues import t_pvalue_udf, wilcoxon_p_udf
 from evalframe.operators._keys import as_list, join_on_keys
+from evalframe.operators.quantiles import exact_quantiles, needs_bounded
 from evalframe.operators.ranking import prefix_sums
 from evalframe.operators.summary import FAIRNESS_METRICS, PERFORMANCE_METRICS, RUNTIME_METRIC, unpivot_metrics
 
@@ -67,11 +68,16 @@ def paired_summary(pairs: DataFrame, test_keys) -> DataFrame:
     keys = as_list(test_keys)
     p = pairs.where(_finite(F.col("left_value")) & _finite(F.col("right_value")))
     d = F.col("right_value") - F.col("left_value")
-    g = p.groupBy(*keys).agg(
-        F.count(F.lit(1)).cast("long").alias("n"),
-        F.avg("left_value").alias("mean_left"), F.avg("right_value").alias("mean_right"),
-        F.avg(d).alias("mean_difference"), F.median(d).alias("median_difference"),
-        F.stddev_samp(d).alias("_sd"))
+    base = [F.count(F.lit(1)).cast("long").alias("n"),
+            F.avg("left_value").alias("mean_left"), F.avg("right_value").alias("mean_right"),
+            F.avg(d).alias("mean_difference"), F.stddev_samp(d).alias("_sd")]
+    if needs_bounded(p, keys):      # a pooled test too large for one percentile buffer
+        g = join_on_keys(p.groupBy(*keys).agg(*base),
+                         exact_quantiles(p.select(*keys, d.alias("d")), keys, "d", [0.5],
+                                         names=["median_difference"]), keys)
+    else:
+        g = p.groupBy(*keys).agg(*base, F.median(d).alias("median_difference"))
+    g = g.select(*keys, "n", "mean_left", "mean_right", "mean_difference", "median_difference", "_sd")
     ok = (F.col("n") >= 2) & (F.col("_sd") > 0)
     # 0 - mean (not -mean): a zero mean gives t = +0.0, as left - right does
     t = (F.lit(0.0) - F.col("mean_difference")) / (F.col("_sd") / F.sqrt(F.col("n")))

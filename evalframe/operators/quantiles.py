@@ -88,3 +88,28 @@ def mode(df: DataFrame, keys, value: str, out: str = "mode") -> DataFrame:
     m = c.groupBy(*keys).agg(best.alias(out))
     groups = df.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
     return join_on_keys(groups, m, keys, "left")
+
+
+BUFFER_MAX_ROWS = 1_000_000   # Spark's exact percentile is used only below this group size
+
+
+def needs_bounded(df: DataFrame, keys, limit: int | None = None) -> bool:
+    """True when some group has more than ``limit`` rows (one small aggregate
+    job).  Below the limit Spark's single-buffer exact ``percentile`` has a
+    proven size bound; above it ``exact_quantiles`` is used."""
+    keys = as_list(keys)
+    limit = BUFFER_MAX_ROWS if limit is None else limit
+    biggest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] if keys else df.count()
+    return (biggest or 0) > limit
+
+
+def wide_quantiles(df: DataFrame, keys, cols, probs, names) -> DataFrame:
+    """``exact_quantiles`` of several columns at once: the columns are
+    unpivoted (column name as one more key) and pivoted back to
+    ``names[i].format(col=c)`` columns, one row per group."""
+    keys = as_list(keys)
+    cols = list(cols)
+    long = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(keys, cols, "__col", "__val")
+    q = exact_quantiles(long, keys + ["__col"], "__val", probs, names=[f"__q{i}" for i in range(len(probs))])
+    return q.groupBy(*keys).agg(*[F.max(F.when(F.col("__col") == c, F.col(f"__q{i}"))).alias(n.format(col=c))
+                                  for c in cols for i, n in enumerate(names)])

@@ -2,8 +2,10 @@
 
 Each is one aggregation (partial + final) over the results table, plus a
 join back to the fact rows where a per-group fence is needed (G3, G4, G10).
-Percentiles are exact (``percentile`` / ``median``, linear interpolation as
-pandas and NumPy).
+Percentiles are exact (linear interpolation as pandas and NumPy): Spark's
+single-buffer ``percentile``/``median`` when the largest group is measured
+below ``quantiles.BUFFER_MAX_ROWS`` rows, ``quantiles.exact_quantiles``
+(no group held in one task) above it.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from evalframe.functions.columns import fixed, nan_to_null
 from evalframe.operators._keys import as_list, join_on_keys
 from evalframe.operators.fairness import flag_fairness
+from evalframe.operators.quantiles import exact_quantiles, needs_bounded, wide_quantiles
 
 # Metric families of the results table.
 PERFORMANCE_METRICS = ("accuracy", "balanced_accuracy", "f1", "roc_auc")
@@ -39,8 +42,14 @@ def summarize(results: DataFrame, keys=("dataset", "model", "optimizer"), metric
               stats=STATS) -> DataFrame:
     """G1: ``<metric>_<stat>`` for count, mean, sample std, median, min, max."""
     keys = as_list(keys)
-    aggs = [_stat(s, nan_to_null(F.col(m).cast("double"))).alias(f"{m}_{s}") for m in metrics for s in stats]
-    return results.groupBy(*keys).agg(*aggs)
+    bounded = "median" in stats and needs_bounded(results, keys)
+    aggs = [_stat(s, nan_to_null(F.col(m).cast("double"))).alias(f"{m}_{s}") for m in metrics for s in stats
+            if not (bounded and s == "median")]
+    out = results.groupBy(*keys).agg(*aggs)
+    if bounded:
+        clean = results.select(*keys, *[nan_to_null(F.col(m).cast("double")).alias(m) for m in metrics])
+        out = join_on_keys(out, wide_quantiles(clean, keys, metrics, [0.5], ["{col}_median"]), keys)
+    return out.select(*keys, *[f"{m}_{s}" for m in metrics for s in stats])
 
 
 def fairness_summary(results: DataFrame, dim: DataFrame, keys=("dataset", "model", "optimizer"),
@@ -51,6 +60,8 @@ def fairness_summary(results: DataFrame, dim: DataFrame, keys=("dataset", "model
     keys = as_list(keys)
     flagged = flag_fairness(results, dim)
     app = F.col("fairness_applicable")
+    gkeys = keys + ["fairness_applicable", "fairness_status", "methodology_note"]
+    bounded = "median" in stats and needs_bounded(results, keys)
     aggs = []
     for m in metrics:
         v = nan_to_null(F.col(m).cast("double"))
@@ -58,18 +69,27 @@ def fairness_summary(results: DataFrame, dim: DataFrame, keys=("dataset", "model
             if s == "count":
                 aggs.append(F.when(F.max(app), F.count(v)).otherwise(F.count(F.lit(1))).cast("long")
                             .alias(f"{m}_count"))
-            else:
+            elif not (bounded and s == "median"):
                 aggs.append(_stat(s, F.when(app, v)).alias(f"{m}_{s}"))
-    return flagged.groupBy(*keys, "fairness_applicable", "fairness_status", "methodology_note").agg(*aggs)
+    out = flagged.groupBy(*gkeys).agg(*aggs)
+    if bounded:
+        clean = flagged.select(*keys, *[F.when(app, nan_to_null(F.col(m).cast("double"))).alias(m) for m in metrics])
+        out = join_on_keys(out, wide_quantiles(clean, keys, metrics, [0.5], ["{col}_median"]), keys, "left")
+    return out.select(*gkeys, *[f"{m}_{s}" for m in metrics for s in stats])
 
 
 def _quartiles(results: DataFrame, keys, value: str) -> DataFrame:
     v = nan_to_null(F.col(value).cast("double"))
-    q = results.groupBy(*keys).agg(
-        F.count(F.lit(1)).cast("long").alias("count"),
-        F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.median(v).alias("median"),
-        F.min(v).alias("min"), F.max(v).alias("max"),
-        F.percentile(v, F.lit(0.25)).alias("q1"), F.percentile(v, F.lit(0.75)).alias("q3"))
+    base = [F.count(F.lit(1)).cast("long").alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+            F.min(v).alias("min"), F.max(v).alias("max")]
+    if needs_bounded(results, keys):
+        q = join_on_keys(results.groupBy(*keys).agg(*base),
+                         exact_quantiles(results, keys, value, [0.25, 0.5, 0.75], names=["q1", "median", "q3"]),
+                         keys)
+    else:
+        q = results.groupBy(*keys).agg(*base, F.median(v).alias("median"),
+                                       F.percentile(v, F.lit(0.25)).alias("q1"),
+                                       F.percentile(v, F.lit(0.75)).alias("q3"))
     return (q.withColumn("iqr", F.col("q3") - F.col("q1"))
              .withColumn("upper_bound", F.col("q3") + F.lit(1.5) * F.col("iqr"))
              .withColumn("lower_bound", F.col("q1") - F.lit(1.5) * F.col("iqr")))
@@ -136,10 +156,23 @@ def compare_methods(results: DataFrame, factor: str, left: str, right: str, by=(
     v = nan_to_null(F.col("value"))
     lv = F.when(F.col(factor) == left, v)
     rv = F.when(F.col(factor) == right, v)
-    g = long.groupBy(*by, "metric").agg(
-        F.avg(lv).alias(f"{left}_mean"), F.stddev_samp(lv).alias(f"{left}_std"), F.median(lv).alias(f"{left}_median"),
-        F.avg(rv).alias(f"{right}_mean"), F.stddev_samp(rv).alias(f"{right}_std"),
-        F.median(rv).alias(f"{right}_median"))
+    if needs_bounded(long, by + ["metric"]):
+        g = long.groupBy(*by, "metric").agg(
+            F.avg(lv).alias(f"{left}_mean"), F.stddev_samp(lv).alias(f"{left}_std"),
+            F.avg(rv).alias(f"{right}_mean"), F.stddev_samp(rv).alias(f"{right}_std"))
+        sides = long.where(F.col(factor).isin(left, right)).select(*by, "metric", factor, v.alias("value"))
+        med = exact_quantiles(sides, by + ["metric", factor], "value", [0.5], names=["m"])
+        med = med.groupBy(*by, "metric").agg(F.max(F.when(F.col(factor) == left, F.col("m"))).alias(f"{left}_median"),
+                                             F.max(F.when(F.col(factor) == right, F.col("m"))).alias(f"{right}_median"))
+        g = join_on_keys(g, med, by + ["metric"], "left").select(
+            *by, "metric", f"{left}_mean", f"{left}_std", f"{left}_median",
+            f"{right}_mean", f"{right}_std", f"{right}_median")
+    else:
+        g = long.groupBy(*by, "metric").agg(
+            F.avg(lv).alias(f"{left}_mean"), F.stddev_samp(lv).alias(f"{left}_std"),
+            F.median(lv).alias(f"{left}_median"),
+            F.avg(rv).alias(f"{right}_mean"), F.stddev_samp(rv).alias(f"{right}_std"),
+            F.median(rv).alias(f"{right}_median"))
     return (g.withColumn("diff_mean", F.col(f"{right}_mean") - F.col(f"{left}_mean"))
              .withColumn("diff_median", F.col(f"{right}_median") - F.col(f"{left}_median")))
 
