@@ -36,3 +36,31 @@ def test_failures_are_isolated(spark):
     assert res is None
     f = fails.collect()
     assert len(f) == 1 and "Unknown model" in f[0]["error"]
+
+
+def test_probability_is_for_the_resolved_positive_label(spark):
+    # 'yes' is the positive label by rule, but it sorts before 'zzz', so the
+    # model's class-1 probability belongs to 'zzz' and must be flipped
+    rows = [(i, float(i % 10), "yes" if i % 10 >= 5 else "zzz") for i in range(400)]
+    ex = spark.createDataFrame(rows, "row_id long, x double, y_true string")
+    train = ex.where("row_id % 4 != 0")
+    test = ex.where("row_id % 4 = 0")
+    fold = MO.prepare_split(train, test)
+    assert fold.mapping.first()["positive_label"] == "yes"
+    preds = MO.predict(MO.fit_model("random_forest", {"n_estimators": 10, "max_depth": 3}, fold), fold)
+    hi = preds.where("y_true = 'yes'").agg(F.avg("y_prob")).first()[0]
+    lo = preds.where("y_true = 'zzz'").agg(F.avg("y_prob")).first()[0]
+    assert hi > 0.8 and lo < 0.2
+
+
+def test_decode_and_positive_probability(spark):
+    from pyspark.ml.linalg import Vectors, VectorUDT
+    from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+
+    from evalframe.operators.labels import decode_predictions, positive_probability
+    schema = StructType([StructField("run", IntegerType()), StructField("prediction", DoubleType()),
+                         StructField("probability", VectorUDT())])
+    df = spark.createDataFrame([(1, 1.0, Vectors.dense([0.3, 0.7])), (1, 0.0, Vectors.dense([0.9, 0.1]))], schema)
+    mapping = spark.createDataFrame([(1, "no", "yes")], "run int, label_0 string, label_1 string")
+    out = positive_probability(decode_predictions(df, mapping, ["run"])).orderBy("prediction").collect()
+    assert [(r["y_pred"], r["y_prob"]) for r in out] == [("no", 0.1), ("yes", 0.7)]
