@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from evalframe.functions.columns import effect_label, nan_to_null
 from evalframe.functions.pvalues import t_pvalue_udf, wilcoxon_p_udf
 from evalframe.operators._keys import as_list, join_on_keys
-from evalframe.operators.quantiles import exact_quantiles, needs_bounded
+from evalframe.operators.quantiles import checked_groups, exact_quantiles
 from evalframe.operators.ranking import prefix_sums
 from evalframe.operators.summary import FAIRNESS_METRICS, PERFORMANCE_METRICS, RUNTIME_METRIC, unpivot_metrics
 
@@ -71,7 +71,8 @@ def paired_summary(pairs: DataFrame, test_keys) -> DataFrame:
     base = [F.count(F.lit(1)).cast("long").alias("n"),
             F.avg("left_value").alias("mean_left"), F.avg("right_value").alias("mean_right"),
             F.avg(d).alias("mean_difference"), F.stddev_samp(d).alias("_sd")]
-    if needs_bounded(p, keys):      # a pooled test too large for one percentile buffer
+    p, bounded = checked_groups(p, keys)
+    if bounded:                     # a pooled test too large for one percentile buffer
         g = join_on_keys(p.groupBy(*keys).agg(*base),
                          exact_quantiles(p.select(*keys, d.alias("d")), keys, "d", [0.5],
                                          names=["median_difference"]), keys)

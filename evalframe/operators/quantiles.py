@@ -103,6 +103,15 @@ def needs_bounded(df: DataFrame, keys, limit: int | None = None) -> bool:
     return (biggest or 0) > limit
 
 
+def checked_groups(df: DataFrame, keys, limit: int | None = None) -> tuple[DataFrame, bool]:
+    """Materialise ``df`` once (reliable checkpoint) and report whether a
+    group exceeds the single-buffer limit.  The check and the computation
+    that follows read the checkpoint, so the input's lineage runs once."""
+    from evalframe.session import cut_lineage
+    m = cut_lineage(df)
+    return m, needs_bounded(m, keys, limit)
+
+
 def wide_quantiles(df: DataFrame, keys, cols, probs, names) -> DataFrame:
     """``exact_quantiles`` of several columns at once: the columns are
     unpivoted (column name as one more key) and pivoted back to

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from evalframe.functions.columns import fixed, nan_to_null
 from evalframe.operators._keys import as_list, join_on_keys
 from evalframe.operators.fairness import flag_fairness
-from evalframe.operators.quantiles import exact_quantiles, needs_bounded, wide_quantiles
+from evalframe.operators.quantiles import checked_groups, exact_quantiles, wide_quantiles
 
 # Metric families of the results table.
 PERFORMANCE_METRICS = ("accuracy", "balanced_accuracy", "f1", "roc_auc")
@@ -42,7 +42,9 @@ def summarize(results: DataFrame, keys=("dataset", "model", "optimizer"), metric
               stats=STATS) -> DataFrame:
     """G1: ``<metric>_<stat>`` for count, mean, sample std, median, min, max."""
     keys = as_list(keys)
-    bounded = "median" in stats and needs_bounded(results, keys)
+    bounded = False
+    if "median" in stats:
+        results, bounded = checked_groups(results, keys)
     aggs = [_stat(s, nan_to_null(F.col(m).cast("double"))).alias(f"{m}_{s}") for m in metrics for s in stats
             if not (bounded and s == "median")]
     out = results.groupBy(*keys).agg(*aggs)
@@ -58,10 +60,12 @@ def fairness_summary(results: DataFrame, dim: DataFrame, keys=("dataset", "model
     fairness-applicable; elsewhere every statistic is NULL except the count,
     which is the group size."""
     keys = as_list(keys)
+    bounded = False
+    if "median" in stats:
+        results, bounded = checked_groups(results, keys)
     flagged = flag_fairness(results, dim)
     app = F.col("fairness_applicable")
     gkeys = keys + ["fairness_applicable", "fairness_status", "methodology_note"]
-    bounded = "median" in stats and needs_bounded(results, keys)
     aggs = []
     for m in metrics:
         v = nan_to_null(F.col(m).cast("double"))
@@ -78,11 +82,13 @@ def fairness_summary(results: DataFrame, dim: DataFrame, keys=("dataset", "model
     return out.select(*gkeys, *[f"{m}_{s}" for m in metrics for s in stats])
 
 
-def _quartiles(results: DataFrame, keys, value: str) -> DataFrame:
+def _quartiles(results: DataFrame, keys, value: str) -> tuple[DataFrame, DataFrame]:
+    """(materialised results, per-group count/mean/std/min/max/Q1/median/Q3/IQR/fences)."""
     v = nan_to_null(F.col(value).cast("double"))
     base = [F.count(F.lit(1)).cast("long").alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
             F.min(v).alias("min"), F.max(v).alias("max")]
-    if needs_bounded(results, keys):
+    results, bounded = checked_groups(results, keys)
+    if bounded:
         q = join_on_keys(results.groupBy(*keys).agg(*base),
                          exact_quantiles(results, keys, value, [0.25, 0.5, 0.75], names=["q1", "median", "q3"]),
                          keys)
@@ -90,9 +96,9 @@ def _quartiles(results: DataFrame, keys, value: str) -> DataFrame:
         q = results.groupBy(*keys).agg(*base, F.median(v).alias("median"),
                                        F.percentile(v, F.lit(0.25)).alias("q1"),
                                        F.percentile(v, F.lit(0.75)).alias("q3"))
-    return (q.withColumn("iqr", F.col("q3") - F.col("q1"))
-             .withColumn("upper_bound", F.col("q3") + F.lit(1.5) * F.col("iqr"))
-             .withColumn("lower_bound", F.col("q1") - F.lit(1.5) * F.col("iqr")))
+    return results, (q.withColumn("iqr", F.col("q3") - F.col("q1"))
+                      .withColumn("upper_bound", F.col("q3") + F.lit(1.5) * F.col("iqr"))
+                      .withColumn("lower_bound", F.col("q1") - F.lit(1.5) * F.col("iqr")))
 
 
 def runtime_profile(results: DataFrame, keys=("dataset", "model", "optimizer"),
@@ -100,7 +106,7 @@ def runtime_profile(results: DataFrame, keys=("dataset", "model", "optimizer"),
     """Count (group size), mean, std, median, min, max, Q1, Q3, IQR,
     upper fence Q3 + 1.5 IQR and the number of values strictly above it."""
     keys = as_list(keys)
-    q = _quartiles(results, keys, value)
+    results, q = _quartiles(results, keys, value)
     j = join_on_keys(results.select(*keys, value), q.select(*keys, "upper_bound"), keys)
     n_out = j.groupBy(*keys).agg(F.count_if(F.col(value) > F.col("upper_bound")).cast("long").alias("outlier_count"))
     out = join_on_keys(q, n_out, keys)
@@ -122,9 +128,9 @@ def iqr_outliers(results: DataFrame, keys=("dataset", "model", "optimizer"), val
     category (``extreme`` is the caller's predicate) and a description."""
     keys = as_list(keys)
     keep = [c for c in as_list(keep) if c not in keys]
-    q = _quartiles(results, keys, value).select(*keys, F.col("q3").alias("group_q3"),
-                                                F.col("iqr").alias("group_iqr"),
-                                                F.col("upper_bound").alias("iqr_upper_bound"))
+    results, q = _quartiles(results, keys, value)
+    q = q.select(*keys, F.col("q3").alias("group_q3"), F.col("iqr").alias("group_iqr"),
+                 F.col("upper_bound").alias("iqr_upper_bound"))
     j = join_on_keys(results, q, keys).where(F.col(value) > F.col("iqr_upper_bound"))
     is_ext = extreme if extreme is not None else F.lit(False)
     v, ub = F.col(value), F.col("iqr_upper_bound")
@@ -156,7 +162,8 @@ def compare_methods(results: DataFrame, factor: str, left: str, right: str, by=(
     v = nan_to_null(F.col("value"))
     lv = F.when(F.col(factor) == left, v)
     rv = F.when(F.col(factor) == right, v)
-    if needs_bounded(long, by + ["metric"]):
+    long, bounded = checked_groups(long, by + ["metric"])
+    if bounded:
         g = long.groupBy(*by, "metric").agg(
             F.avg(lv).alias(f"{left}_mean"), F.stddev_samp(lv).alias(f"{left}_std"),
             F.avg(rv).alias(f"{right}_mean"), F.stddev_samp(rv).alias(f"{right}_std"))
@@ -190,7 +197,7 @@ def box_data(results: DataFrame, keys, value: str) -> DataFrame:
     """Box plot numbers per group: Q1, median, Q3, whiskers (most extreme
     values within 1.5 IQR of the box) and the count beyond them."""
     keys = as_list(keys)
-    q = _quartiles(results, keys, value)
+    results, q = _quartiles(results, keys, value)
     j = join_on_keys(results.select(*keys, value), q.select(*keys, "lower_bound", "upper_bound"), keys)
     v = F.col(value)
     inside = (v >= F.col("lower_bound")) & (v <= F.col("upper_bound"))
