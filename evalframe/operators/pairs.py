@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from evalframe.functions.columns import effect_label, nan_to_null
 from evalframe.functions.pvalues import t_pvalue_udf, wilcoxon_p_udf
 from evalframe.operators._keys import as_list, join_on_keys
+from evalframe.operators import quantiles
 from evalframe.operators.quantiles import checked_groups, exact_quantiles
 from evalframe.operators.ranking import prefix_sums
 from evalframe.operators.summary import FAIRNESS_METRICS, PERFORMANCE_METRICS, RUNTIME_METRIC, unpivot_metrics
@@ -61,7 +62,7 @@ def _finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf")))
 
 
-def paired_summary(pairs: DataFrame, test_keys) -> DataFrame:
+def paired_summary(pairs: DataFrame, test_keys, bounded: bool | None = None) -> DataFrame:
     """N, means, mean and median of right - left, t statistic
     (left - right convention, so t = -dz * sqrt(n)) and Cohen's dz; t and dz
     are NULL unless n >= 2 and the sd of the differences is > 0."""
@@ -71,7 +72,8 @@ def paired_summary(pairs: DataFrame, test_keys) -> DataFrame:
     base = [F.count(F.lit(1)).cast("long").alias("n"),
             F.avg("left_value").alias("mean_left"), F.avg("right_value").alias("mean_right"),
             F.avg(d).alias("mean_difference"), F.stddev_samp(d).alias("_sd")]
-    p, bounded = checked_groups(p, keys)
+    if bounded is None:             # measure the largest test (input materialised once)
+        p, bounded = checked_groups(p, keys)
     if bounded:                     # a pooled test too large for one percentile buffer
         g = join_on_keys(p.groupBy(*keys).agg(*base),
                          exact_quantiles(p.select(*keys, d.alias("d")), keys, "d", [0.5],
@@ -143,11 +145,12 @@ def signed_ranks(pairs: DataFrame, test_keys, tie_decimals: int | None = 12,
     return join_on_keys(out, lists, keys, "left")
 
 
-def wilcoxon(pairs: DataFrame, test_keys, tie_decimals: int | None = 12) -> DataFrame:
+def wilcoxon(pairs: DataFrame, test_keys, tie_decimals: int | None = 12,
+             bucketed: bool | None = None) -> DataFrame:
     """T5 + T6: W and its two-sided p per test.  All differences zero -> W 0,
     p 1; a single non-zero difference -> NULL."""
     keys = as_list(test_keys)
-    s = signed_ranks(pairs, keys, tie_decimals)
+    s = signed_ranks(pairs, keys, tie_decimals, bucketed)
     p = wilcoxon_p_udf(F.col("m"), F.col("w2"), F.col("tie_term"), F.col("exact"), F.col("ranks2"))
     return s.select(
         *keys,
@@ -158,10 +161,13 @@ def wilcoxon(pairs: DataFrame, test_keys, tie_decimals: int | None = 12) -> Data
 def paired_tests(pairs: DataFrame, test_keys, tie_decimals: int | None = 12) -> DataFrame:
     """T1-T6 in one table per test."""
     keys = as_list(test_keys)
-    summ = paired_summary(pairs, keys)
+    # one measurement of the largest test decides both the median path and
+    # the rank-window split (the pair table is small next to its source)
+    biggest = pairs.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    summ = paired_summary(pairs, keys, bounded=biggest > quantiles.BUFFER_MAX_ROWS)
     summ = summ.withColumn("t_pvalue", nan_to_null(t_pvalue_udf(F.col("t_statistic"),
                                                                 (F.col("n") - 1).cast("double"))))
-    w = wilcoxon(pairs, keys, tie_decimals)
+    w = wilcoxon(pairs, keys, tie_decimals, bucketed=biggest > PLAIN_WINDOW_MAX_N)
     out = join_on_keys(summ, w, keys, "left")
     return out.select(*keys, "n", "mean_left", "mean_right", "mean_difference", "median_difference",
                       "t_statistic", "t_pvalue", "wilcoxon_statistic", "wilcoxon_pvalue", "cohens_dz")
