@@ -110,3 +110,18 @@ def test_objective_score_rules(spark):
     assert got[0] == pytest.approx(0.75) and got[1] == float("-inf")
     with pytest.raises(ValueError):
         TR.objective_score(t, "accuracy")
+
+
+def test_bucketed_incumbents_and_numbering_equal_plain(spark):
+    t = fx.trials_fx(spark, SF_MID)
+    a = TR.incumbents(t, ["run_id"], bucket_size=8)
+    b = TR.incumbents(t, ["run_id"], bucket_size=None)
+    assert sorted(a.collect()) == sorted(b.collect())
+    ev = spark.read.parquet(f"{SF_MID}/events.parquet").select(F.col("user_id").alias("run_id"), "event_id", "ts")
+    hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(3_600_000_000)).cast("long")
+    x = TR.number_trials(ev, ["run_id"], ["ts", "event_id"], bucket=hour)
+    y = TR.number_trials(ev, ["run_id"], ["ts", "event_id"])
+    assert sorted(x.collect()) == sorted(y.collect())
+    first = x.join(t.select("run_id", "event_id", "iteration").withColumnRenamed("iteration", "ref"),
+                   ["run_id", "event_id"])
+    assert first.where("iteration != ref").count() == 0
