@@ -7,6 +7,7 @@ reads what the session has.  ``local_session`` is for tests and the bench.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -15,17 +16,25 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint folder named by the session.
+    """Return the shared scratch folder of the session.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is.  Only when it is unset (local tests) a scratch folder is created.
+    A folder that the caller already gave to the SparkContext wins and is
+    never replaced; otherwise ``spark.checkpoint.dir`` names it.  Only a
+    ``local`` master (tests, bench) may fall back to a scratch folder of its
+    own: on a cluster a machine-local folder would lose data, so it raises.
     """
-    path = spark.conf.get(CHECKPOINT_CONF, None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="evalframe-ckpt-", dir="/tmp")
-        spark.conf.set(CHECKPOINT_CONF, path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    configured = spark.conf.get(CHECKPOINT_CONF, None)
+    if current:
+        return configured or current
+    if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that driver and executors share")
+        configured = tempfile.mkdtemp(prefix="evalframe-ckpt-")
+        spark.conf.set(CHECKPOINT_CONF, configured)
+    sc.setCheckpointDir(configured)
+    return configured
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
