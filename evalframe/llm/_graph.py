@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from evalframe.llm._store import stored
 
+HUB_ROUNDS = 4      # how often hubs are drawn anew at most, before all remaining pairs are tried
+NEW_LINKS = 0.05    # a round that links less than this share of the pairs it tries is the last
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, comp) for every node of ``edges`` (a, b); comp is the smallest id
@@ -43,54 +46,62 @@ def _is_star(e: DataFrame) -> bool:
     return e.join(child.select("u").withColumnRenamed("u", "v"), "v", "left_semi").isEmpty()
 
 
-def linked_components(index: DataFrame, probe: DataFrame, possible, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def linked_components(index: DataFrame, probe: DataFrame, possible, verify: Callable[[DataFrame], DataFrame],
+                      prefixes: Callable[[DataFrame], DataFrame] | None = None, agree=None) -> DataFrame:
     """Components of all verified links between bucket mates.
 
     ``index`` and ``probe`` have (key, id, *facts): a link (i, p) can only be
     between an index and a probe entry of one key.  ``possible(i, p)`` is a
     cheap necessary condition on the facts of two aliases, ``verify`` maps
-    distinct pairs (a, b) to the linked ones.
+    distinct pairs (a, b) to the linked ones.  ``prefixes`` may give, for a
+    table of ids, (id, prefix), and ``agree(i, p)`` a necessary condition on
+    these; they keep step 3 from forming pairs just below the threshold.
 
     Pairs are tried in three steps, and a pair whose ends are connected
-    already is never tried: (1) every entry with one hub of its buckets,
-    (2) with the hubs of its other buckets, (3) all that is left within
+    already is never tried: (1) every entry with one hub of its buckets, the
+    one that its family agrees on; (2) with a hub that is drawn anew for each
+    bucket, again while that still finds links; (3) all that is left within
     buckets that still hold several components.  A big family of copies is one
-    component after (1) and (2), so its pairs are never formed; yet no pair
-    that could join two components is left out.
+    component after (1) and (2), so its pairs are hardly ever formed; yet no
+    pair that could join two components is left out.
     """
     facts = [c for c in index.columns if c not in ("key", "id")]
-    hub = index.groupBy("key").agg(F.min_by(F.struct("id", *facts), F.xxhash64("id")).alias("hub"),
-                                   F.count("*").alias("n_index"))
     i_hub = lambda c: F.col(f"hub.{c}")
     p_own = lambda c: F.col(c)
-    star = stored(probe.join(hub, "key").filter((F.col("id") != F.col("hub.id")) & possible(i_hub, p_own))
-                  .groupBy("id", F.col("hub.id").alias("hub")).agg(F.max("n_index").alias("n_index")), "link-star")
-    # (1) one hub each: the one with the smallest hash, so that a family agrees on few
-    first = stored(verify(star.groupBy("id").agg(F.min_by("hub", F.xxhash64("hub")).alias("b"))
-                          .select(F.col("id").alias("a"), "b")), "link-first")
-    comp = components(first)
-    # (2) the other hubs, where they would join components
-    rest = _across(star.select(F.col("id").alias("a"), F.col("hub").alias("b")), comp)
-    rest = rest.join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = stored(verify(rest), "link-second")
-    links = first.union(second)
-    if not second.isEmpty():
-        comp = components(links)
+
+    def star(*draw):
+        hub = index.groupBy("key").agg(F.min_by(F.struct("id", *facts), F.xxhash64("id", *draw)).alias("hub"))
+        return (probe.join(hub, "key").filter((F.col("id") != F.col("hub.id")) & possible(i_hub, p_own))
+                .select(F.col("id").alias("a"), F.col("hub.id").alias("b")).distinct())
+
+    links = stored(verify(star().groupBy("a").agg(F.min_by("b", F.xxhash64("b")).alias("b"))), "link-first")
+    comp = stored(components(links), "link-comp")
+    for draw in range(HUB_ROUNDS):
+        tried = stored(_across(star("key", F.lit(draw)), comp), f"link-star{draw}")
+        found = stored(verify(tried), f"link-hub{draw}")
+        n_found = found.count()
+        if n_found:
+            links = links.union(found)
+            comp = stored(components(links), "link-comp")
+        if n_found <= NEW_LINKS * tried.count():
+            break
     # (3) pairs without a hub: only keys with further index entries, in buckets of several components
-    comp = stored(comp, "link-comp")
     own = F.coalesce("comp", "id").alias("comp")
-    wide = (index.join(hub.filter("n_index > 1").select("key", F.col("hub.id").alias("_hub")), "key")
-            .filter("id <> _hub").drop("_hub").join(comp, "id", "left").select("key", "id", *facts, own))
+    wide = index.join(comp, "id", "left").select("key", "id", *facts, own)
     open_probe = (probe.join(wide.select("key").distinct(), "key", "left_semi")
                   .join(comp, "id", "left").select("key", "id", *facts, own))
     mixed = (wide.select("key", "comp").union(open_probe.select("key", "comp")).groupBy("key")
              .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key"))
-    wide = wide.join(mixed, "key", "left_semi")
+    wide, open_probe = wide.join(mixed, "key", "left_semi"), open_probe.join(mixed, "key", "left_semi")
+    if prefixes is not None:
+        wide, open_probe = stored(wide, "link-index"), stored(open_probe, "link-probe")
+        prefix = stored(prefixes(wide.select("id").union(open_probe.select("id")).distinct()), "link-prefix")
+        wide, open_probe = wide.join(prefix, "id"), open_probe.join(prefix, "id")
     i, p = wide.alias("i"), open_probe.alias("p")
     i_row = lambda c: F.col(f"i.{c}")
     p_row = lambda c: F.col(f"p.{c}")
     left = (i.join(p, (F.col("i.key") == F.col("p.key")) & (F.col("i.comp") != F.col("p.comp"))
-                   & possible(i_row, p_row))
+                   & possible(i_row, p_row) & (agree(i_row, p_row) if agree else F.lit(True)))
             .select(F.greatest("i.id", "p.id").alias("a"), F.least("i.id", "p.id").alias("b")).distinct())
     third = stored(verify(left), "link-third")
     if third.isEmpty():

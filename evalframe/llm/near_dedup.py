@@ -30,6 +30,7 @@ from evalframe.llm._store import stored
 BANDS, ROWS = 26, 4
 BATCH = 13                # signature values compared at a time
 MISS = 1e-7               # posterior probability below which a pair is dropped
+BROADCAST_ROWS = 100_000  # (id, text key) pairs: under 10 MB
 SHINGLE_BLOCK = 1 << 18   # shingles hashed at a time
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -121,6 +122,33 @@ def _signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _low_bits(sig: np.ndarray) -> list[np.ndarray]:
+    """Two bits of each signature value, 32 values in a long."""
+    out = []
+    for at in range(0, sig.shape[1], 32):
+        part = sig[:, at:at + 32].astype(np.uint64) & np.uint64(3)
+        out.append((part << (np.arange(part.shape[1], dtype=np.uint64) * np.uint64(2))).sum(axis=1, dtype=np.uint64).view(np.int64))
+    return out
+
+
+LOW = [f"low{k}" for k in range(-(-BANDS * ROWS // 32))]
+
+
+@functools.cache
+def most_low_mismatches(similarity: float, miss: float) -> int:
+    """How many of the two-bit values may differ: a pair at the threshold
+    differs in more with probability ``miss`` at most (each differs with 3/4
+    of one minus the similarity)."""
+    n, p = BANDS * ROWS, 0.75 * (1 - similarity)
+    tail, k = 0.0, n
+    while k > 0:
+        tail += math.comb(n, k) * p ** k * (1 - p) ** (n - k)
+        if tail > miss:
+            return k
+        k -= 1
+    return 0
+
+
 def _features(size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -135,7 +163,8 @@ def _features(size: int):
                 bands = _mix(bands + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)).view(np.int64)
                 return pd.DataFrame({
                     "text_key": [k[0] for k in keys], "doc_id": [k[1] for k in keys],
-                    "n": [s.size for s in sets], "sig": [r.tobytes() for r in sig], "bands": list(bands)})
+                    "n": [s.size for s in sets], "sig": [r.tobytes() for r in sig], "bands": list(bands),
+                    **{f"low{k}": v for k, v in enumerate(_low_bits(sig))}})
 
             for key, doc, text in zip(batch["text_key"], batch["doc_id"], batch["text"]):
                 h = _shingle_hashes(text, size) if text is not None else np.empty(0, np.uint64)
@@ -151,6 +180,15 @@ def _features(size: int):
     return run
 
 
+def _shingle_rows(size: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key, text in zip(batch["id"], batch["text"]):
+                h = _shingle_hashes(text, size)
+                yield pd.DataFrame({"id": np.full(h.size, key, np.int64), "h": h.view(np.int64)})
+    return run
+
+
 @functools.cache
 def fewest_matches(similarity: float, miss: float) -> tuple[int, ...]:
     """For n = 0, 1, ... compared values: the fewest equal ones with which
@@ -218,32 +256,62 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80, id_col
     raw = docs.select(F.col("_text_key").alias("text_key"), F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
     id_type = docs.schema[id_col].dataType.simpleString()
     features = stored(raw.mapInPandas(
-        _features(shingle), f"text_key string, doc_id {id_type}, n long, sig binary, bands array<long>"), "near-features")
+        _features(shingle), f"text_key string, doc_id {id_type}, n long, sig binary, bands array<long>, "
+        + ", ".join(f"{c} long" for c in LOW)), "near-features")
     classes = stored(features.groupBy("text_key").agg(
         F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"),
-        F.first("bands").alias("bands")).withColumn("id", F.monotonically_increasing_id()), "near-classes")
-    members = classes.select(F.posexplode("bands").alias("band", "hash"), "id", "n").select(
-        F.xxhash64("band", "hash").alias("key"), "id", "n")
-    shared = stored(members.join(members.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"),
-                                 "key", "left_semi"), "near-buckets")
-
-    def possible(i, p):   # sizes too different for the threshold
-        return (100 * F.least(i("n"), p("n")) >= percent * F.greatest(i("n"), p("n"))) & (i("id") != p("id"))
+        F.first("bands").alias("bands"), *[F.first(c).alias(c) for c in LOW]).withColumn("id", F.monotonically_increasing_id()), "near-classes")
+    members = classes.select(F.posexplode("bands").alias("band", "hash"), "id").select(
+        F.xxhash64("band", "hash").alias("key"), "id")
+    mates = members.join(members.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"),
+                         "key", "left_semi")
+    shared = stored(mates.join(classes.select("id", "n", *LOW), "id").select("key", "id", "n", *LOW), "near-buckets")
+
+    def possible(i, p):
+        """First look inside the join: sizes, and two bits of each signature value."""
+        differ = F.lit(0)
+        for c in LOW:
+            x = i(c).bitwiseXOR(p(c))
+            differ = differ + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+        return ((100 * F.least(i("n"), p("n")) >= percent * F.greatest(i("n"), p("n"))) & (i("id") != p("id"))
+                & (differ <= most_low_mismatches(percent / 100, MISS)))
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        """(id, text) of classes.  Few ids are broadcast, so that the texts of
+        all others stay where they are; many are joined by a shuffle."""
+        keys = stored(ids.join(classes.select("id", "text_key"), "id"), "near-keys")
+        keys = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+        return raw.select("text_key", "text").join(keys, "text_key").dropDuplicates(["id"]).select("id", "text")
+
+    def prefixes(ids: DataFrame) -> DataFrame:
+        """The rarest shingles of each set, so many that two sets above the
+        threshold have one in common (any order that all sets share will do;
+        rarity here counts within ``ids``)."""
+        rows = stored(texts_of(ids).mapInPandas(_shingle_rows(shingle), "id long, h long"), "near-shingles")
+        ranked = rows.join(rows.groupBy("h").agg(F.count("*").alias("n")), "h").groupBy("id").agg(
+            F.array_sort(F.collect_list(F.struct("n", "h"))).alias("s"))
+        size = F.size("s")
+        return ranked.select("id", F.transform(F.slice("s", F.lit(1), size - F.ceil(size * percent / 100).cast("int") + 1),
+                                               lambda x: x["h"]).alias("prefix"))
+
+    def agree(i, p):
+        """Prefixes meet, and early enough: what both sets hold from their first
+        common shingle on must suffice for the threshold."""
+        first = F.get(F.array_intersect(i("prefix"), p("prefix")), F.lit(0))
+        most = F.least(i("n") - F.array_position(i("prefix"), first), p("n") - F.array_position(p("prefix"), first)) + 1
+        return F.arrays_overlap(i("prefix"), p("prefix")) & (most * (100 + percent) >= percent * (i("n") + p("n")))
 
     def verify(pairs: DataFrame) -> DataFrame:
         sig = classes.select("id", "sig")
         pairs = (pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a")
                  .join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b"))
         left = stored(pairs.mapInPandas(_prune(percent / 100), "a long, b long"), "near-pruned")
-        ids = left.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        keys = ids.join(classes.select("id", "text_key"), "id")
-        full = raw.select("text_key", "text").join(keys, "text_key").dropDuplicates(["id"]).select("id", "text")
-        full = stored(full, "near-texts")
+        full = stored(texts_of(left.select("a").union(left.select("b")).distinct().withColumnRenamed("a", "id")), "near-texts")
         both = (left.join(full.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
                 .join(full.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b"))
         return both.mapInPandas(_confirm(shingle, percent), "a long, b long")
 
-    comp = linked_components(shared, shared, possible, verify)
+    comp = linked_components(shared, shared, possible, verify, prefixes, agree)
     named = classes.select("id", "text_key", "n", "doc_id").join(comp, "id", "left").withColumn(
         "comp", F.coalesce("comp", "id"))
     smallest = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
