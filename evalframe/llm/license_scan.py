@@ -7,8 +7,8 @@ bands is derived, so that a window that holds the required share of a template
 collides with it with probability 1 - ``MISS`` at least, whatever the
 template's length.
 
-Only windows around anchor words are formed: from every shingle of a template
-one word at least is an anchor, so a window without any holds no shingle.
+Only windows around anchors are formed: every shingle of a template holds an
+anchor (two adjacent words), so a window without any holds no shingle.
 """
 
 from __future__ import annotations
@@ -83,11 +83,13 @@ def _band_keys(sh: Column, length: Column, bands: Column) -> Column:
 
 
 def _anchors(texts: list[list[str]]) -> list[list[str]]:
-    """For each template (a list of words) words that hit all its shingles: the
-    one in most uncovered shingles first, longer words before shorter."""
+    """For each template (a list of words) pairs of adjacent words that hit all
+    its shingles: the one in most uncovered shingles first, longer ones before
+    shorter.  A template of one word is its own anchor."""
     out = []
     for w in texts:
-        open_ = [set(w[i:i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))]
+        pairs = [" ".join(w[i:i + 2]) for i in range(max(1, len(w) - 1))]
+        open_ = [set(pairs[i:i + SHINGLE - 1]) for i in range(max(1, len(w) - SHINGLE + 1))]
         chosen = []
         while open_:
             best = max(sorted(set().union(*open_)), key=lambda x: (sum(x in s for s in open_), len(x)))
@@ -132,17 +134,23 @@ def scan_licenses(docs: DataFrame, templates: DataFrame | None = None, text: str
         by_length[length] = (n_bands(length), by_length.get(length, (0, set()))[1] | set(a))
     body = F.lower(F.col("t"))
     screen = F.lit(False)
-    for word in sorted(set().union(*(a for _, a in by_length.values()))):
-        screen = screen | F.contains(body, F.lit(word))
+    for anchor in sorted(set().union(*(a for _, a in by_length.values()))):
+        has = F.lit(True)
+        for word in sorted(anchor.split(" "), key=len, reverse=True):
+            has = has & F.contains(body, F.lit(word))
+        screen = screen | has
     texts = docs.select("_text_key", F.col(text).alias("t")).filter(screen).dropDuplicates(["_text_key"])
-    texts = stored(texts.select("_text_key", words(F.col("t")).alias("w")), "license-texts")
+    texts = texts.select("_text_key", words(F.col("t")).alias("w"))
+    texts = stored(texts.withColumn("pairs", F.transform("w", lambda x, i: F.concat_ws(
+        " ", x, F.get("w", i + 1)))), "license-texts")
 
     windows = None
     for length, (bands, own) in sorted(by_length.items()):
         stride = _stride(length)
         size = length + stride - 1
-        at = F.filter(F.transform("w", lambda x, i: F.when(
-            F.array_contains(F.array(*[F.lit(a) for a in sorted(own)]), x), i)), lambda i: i.isNotNull())
+        single = [a for a in own if " " not in a]
+        at = F.filter(F.transform("pairs", lambda x, i: F.when(
+            x.isin(sorted(own)) | F.get("w", i).isin(single), i)), lambda i: i.isNotNull())
         # windows start at multiples of the stride; those with an anchor inside
         starts = F.array_distinct(F.flatten(F.transform(at, lambda p: F.sequence(
             F.ceil(F.greatest(p - (size - 1), F.lit(0)) / stride).cast("int"), F.floor(p / stride).cast("int")))))
