@@ -97,11 +97,14 @@ def linked_components(index: DataFrame, probe: DataFrame, possible, verify: Call
         wide, open_probe = stored(wide, "link-index"), stored(open_probe, "link-probe")
         prefix = stored(prefixes(wide.select("id").union(open_probe.select("id")).distinct()), "link-prefix")
         wide, open_probe = wide.join(prefix, "id"), open_probe.join(prefix, "id")
-    i, p = wide.alias("i"), open_probe.alias("p")
+    # a pair counts under the smallest key that it shares, so that it comes once
+    keys = lambda df: df.groupBy("id").agg(F.collect_set("key").alias("keys"))
+    i, p = wide.join(keys(wide), "id").alias("i"), open_probe.join(keys(open_probe), "id").alias("p")
     i_row = lambda c: F.col(f"i.{c}")
     p_row = lambda c: F.col(f"p.{c}")
     left = (i.join(p, (F.col("i.key") == F.col("p.key")) & (F.col("i.comp") != F.col("p.comp"))
-                   & possible(i_row, p_row) & (agree(i_row, p_row) if agree else F.lit(True)))
+                   & possible(i_row, p_row) & (agree(i_row, p_row) if agree else F.lit(True))
+                   & (F.col("i.key") == F.array_min(F.array_intersect("i.keys", "p.keys"))))
             .select(F.greatest("i.id", "p.id").alias("a"), F.least("i.id", "p.id").alias("b")).distinct())
     third = stored(verify(left), "link-third")
     if third.isEmpty():
