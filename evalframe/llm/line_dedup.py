@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalframe.llm._graph import linked_components
@@ -85,15 +85,14 @@ def _pieces(edits: int, min_chars: int):
         up, down = _power(c.size + 1)
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((c + np.uint64(1)) * up[:c.size])))
         first = np.cumsum(sizes) - sizes
-        parity = np.bitwise_xor.reduceat(np.uint64(1) << (c * np.uint64(0x9E3779B1) >> np.uint64(7) & np.uint64(63)), first)
+        parity = np.bitwise_xor.reduceat(np.uint64(1) << (c * np.uint64(0x9E3779B1) >> np.uint64(7) & np.uint64(31)), first).astype(np.uint32)
 
         def entries(at, size, segment, length, row, is_index):
             h = (sums[first[row] + at + size] - sums[first[row] + at]) * down[first[row] + at]
             tag = (length.astype(np.uint64) * np.uint64(edits + 1) + segment.astype(np.uint64)) * np.uint64(0xD1B54A32D192ED03)
             h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + tag
             h ^= h >> np.uint64(29)
-            return pd.DataFrame({"key": h.view(np.int64), "id": ids[row], "sig": parity[row].view(np.int64),
-                                 "is_index": np.full(row.size, is_index, np.int8)})
+            return pd.DataFrame({"key": h.view(np.int64), "entry": 2 * ids[row] + is_index, "sig": parity[row].view(np.int32)})
 
         start, size = segments(sizes, edits)
         rows = np.arange(sizes.size)
@@ -189,11 +188,13 @@ def _verify(edits: int):
 
 def line_classes(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """(id, comp) for the lines (id long, line; distinct) that have a near copy."""
-    pieces = lines.mapInPandas(_pieces(edits, min_chars), "key long, id long, sig long, is_index byte")
-    # only keys where an index entry meets another entry
-    per_key = pieces.groupBy("key").agg(F.count("*").alias("n"), F.max("is_index").alias("any")).filter(
-        "n > 1 and any = 1").select("key")
-    met = stored(pieces.join(per_key, "key", "left_semi"), "line-met")
+    pieces = lines.mapInPandas(_pieces(edits, min_chars), "key long, entry long, sig int")   # entry: 2 * id + is index
+    # only keys where an index entry meets another entry; the window spills, it holds no group in memory
+    own = Window.partitionBy("key")
+    met = stored(pieces.withColumn("n", F.count("*").over(own)).filter("n > 1")
+                 .withColumn("any", F.max(F.col("entry").bitwiseAND(F.lit(1))).over(own)).filter("any = 1")
+                 .select("key", F.shiftright("entry", 1).alias("id"), "sig",
+                         F.col("entry").bitwiseAND(F.lit(1)).cast("byte").alias("is_index")), "line-met")
 
     def possible(i, p):
         return (i("id") != p("id")) & (F.bit_count(i("sig").bitwiseXOR(p("sig"))) <= 2 * edits)
