@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from evalframe.session import ensure_checkpoint_dir
 
@@ -19,3 +21,34 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+BROADCAST_BYTES = 32 << 20     # text that every executor may hold a copy of
+
+
+def with_texts(pairs: DataFrame, texts: DataFrame, text: str) -> DataFrame:
+    """``pairs`` (a, b) with the texts of both ends as ``{text}_a``, ``{text}_b``.
+
+    ``texts`` is (id, ``text``), stored.  Its size is measured: a small table
+    is broadcast, so that no text travels once for each pair; a bigger one is
+    joined by shuffles.
+    """
+    size = texts.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    side = lambda c: texts.select(F.col("id").alias(c), F.col(text).alias(f"{text}_{c}"))
+    a, b = side("a"), side("b")
+    if size <= BROADCAST_BYTES:
+        a, b = F.broadcast(a), F.broadcast(b)
+    return pairs.join(a, "a").join(b, "b")
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 256):
+    """Fewer rows in an Arrow batch, for what is computed inside the block:
+    pairs of long texts must not meet in one batch by the ten thousand."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

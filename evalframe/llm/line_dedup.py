@@ -22,10 +22,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalframe.llm._graph import linked_components
-from evalframe.llm._store import stored
+from evalframe.llm._store import small_batches, stored, with_texts
 
 EDITS = 2
 MIN_CHARS = 24
+BROADCAST_ROWS = 500_000     # ids: 4 MB
 _BASE = 0x9E3779B97F4A7C15
 _MAX_BLOCK = 1 << 21        # characters hashed at a time
 _cache: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -200,8 +201,13 @@ def line_classes(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
         return (i("id") != p("id")) & (F.bit_count(i("sig").bitwiseXOR(p("sig"))) <= 2 * edits)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        side = lambda c: lines.select(F.col("id").alias(c), F.col("line").alias(f"line_{c}"))
-        return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_verify(edits), "a long, b long")
+        pairs = stored(pairs, "line-pairs")
+        ids = stored(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id"), "line-ids")
+        # few ids are broadcast, so that all other lines stay where they are
+        few = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+        texts = stored(lines.join(few, "id"), "line-texts")
+        with small_batches(lines.sparkSession):
+            return stored(with_texts(pairs, texts, "line").mapInPandas(_verify(edits), "a long, b long"), "line-links")
 
     # an index entry is also the probe of its own length at its own place
     return linked_components(met.filter("is_index = 1").select("key", "id", "sig"), met.select("key", "id", "sig"),

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalframe.llm._graph import linked_components
-from evalframe.llm._store import stored
+from evalframe.llm._store import small_batches, stored, with_texts
 
 BANDS, ROWS = 26, 4
 BATCH = 13                # signature values compared at a time
@@ -307,9 +307,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80, id_col
                  .join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b"))
         left = stored(pairs.mapInPandas(_prune(percent / 100), "a long, b long"), "near-pruned")
         full = stored(texts_of(left.select("a").union(left.select("b")).distinct().withColumnRenamed("a", "id")), "near-texts")
-        both = (left.join(full.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-                .join(full.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b"))
-        return both.mapInPandas(_confirm(shingle, percent), "a long, b long")
+        with small_batches(docs.sparkSession):
+            return stored(with_texts(left, full, "text").mapInPandas(_confirm(shingle, percent), "a long, b long"),
+                          "near-links")
 
     comp = linked_components(shared, shared, possible, verify, prefixes, agree)
     named = classes.select("id", "text_key", "n", "doc_id").join(comp, "id", "left").withColumn(
