@@ -27,6 +27,7 @@ WINDOW = 10
 SHARD_BYTES = 6_000_000
 SAMPLE = 8
 BLOCK_WORDS = 500_000
+HASH_WORDS = 1 << 16
 
 # A-Z to a-z; words are 0-9, a-z and all bytes of non-ASCII characters
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -37,7 +38,7 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = max(1 << 20, 1 << (n - 1).bit_length())
+    size = max(1 << 19, 1 << (n - 1).bit_length())
     if size not in _powers:
         _powers.clear()
         made = []
@@ -56,14 +57,21 @@ def word_bounds(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word, from prefix sums of a polynomial over the bytes."""
-    up, down = _power(b.size + 1)
-    total = np.empty(b.size + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(b * up[:b.size], out=total[1:])
-    h = (total[end] - total[start]) * down[start]
-    h = (h ^ (h >> np.uint64(29)) ^ (end - start).astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
+    """64-bit hash of each word, from prefix sums of a polynomial over the bytes
+    (taken up anew every ``HASH_WORDS`` words, which bounds the tables)."""
+    out = np.empty(start.size, np.uint64)
+    for at in range(0, start.size, HASH_WORDS):
+        s, e = start[at:at + HASH_WORDS], end[at:at + HASH_WORDS]
+        part = b[s[0]:e[-1]]
+        s, e = s - s[0], e - s[0]
+        up, down = _power(part.size + 1)
+        total = np.empty(part.size + 1, np.uint64)
+        total[0] = 0
+        np.cumsum(part * up[:part.size], out=total[1:])
+        h = (total[e] - total[s]) * down[s]
+        h = (h ^ (h >> np.uint64(29)) ^ (e - s).astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+        out[at:at + HASH_WORDS] = h ^ (h >> np.uint64(32))
+    return out
 
 
 def _lowered(text: str) -> np.ndarray:
