@@ -20,10 +20,20 @@ def nan_to_null(c: ColumnOrName) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+# decimal numbers as text; what else the JVM parses (1.5d, 3f, 0x1p3) is not a number here
+NUMBER = r"(?i)^\s*[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?|inf(?:inity)?|nan)\s*$"
+
+
+def parse_number(c: ColumnOrName) -> Column:
+    """Text -> double, NULL when it is not a decimal number (or inf, nan)."""
+    c = _col(c).cast("string")
+    return F.when(c.rlike(NUMBER), c.try_cast("double"))
+
+
 def clean_number(c: ColumnOrName, source_type: DataType | None = None) -> Column:
     """P10: text or number -> double; unparsable, NaN and +-inf become NULL."""
     c = _col(c)
-    d = c.cast("double") if isinstance(source_type, NumericType) else c.try_cast("double")
+    d = c.cast("double") if isinstance(source_type, NumericType) else parse_number(c)
     return F.when(~F.isnan(d) & (F.abs(d) != F.lit(float("inf"))), d)
 
 

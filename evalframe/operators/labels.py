@@ -36,21 +36,31 @@ def canonical_label(df: DataFrame, col: str) -> Column:
 def canonical_predictions(preds: DataFrame, label_cols=("y_true", "y_pred")) -> tuple[DataFrame, bool]:
     """Cast label columns to canonical text; return the frame and whether the
     labels came from a numeric source."""
+    present = [c for c in label_cols if c in preds.columns]
     numeric = label_is_numeric(preds, label_cols[0])
+    # numbers of different types (1 and 1.0) are compared by value
+    mixed = all(label_is_numeric(preds, c) for c in present) and len({preds.schema[c].dataType for c in present}) > 1
     out = preds
-    for c in label_cols:
-        if c in preds.columns:
-            out = out.withColumn(c, canonical_label(preds, c))
+    for c in present:
+        out = out.withColumn(c, _number_text(preds, c) if mixed else canonical_label(preds, c))
     return out, numeric
 
 
+def _number_text(df: DataFrame, col: str) -> Column:
+    """The same text for the same number, whatever its type."""
+    c = F.col(col).cast("int") if isinstance(df.schema[col].dataType, BooleanType) else F.col(col)
+    d = c.cast("double")
+    whole = (d == F.floor(d)) & (F.abs(d) < F.lit(2.0 ** 53))
+    return F.when(whole, d.cast("long").cast("string")).otherwise(d.cast("string"))
+
+
 def positive_labels(df: DataFrame, keys, numeric: bool, label_cols=("y_true", "y_pred"),
                     on_invalid: str = "error") -> DataFrame:
     """P3 + V8: one row per run with ``n_labels``, ``positive_label``,
     ``negative_label``.
 
-    Labels are the union of the label columns (NULL ignored).  Exactly two are
-    required: ``on_invalid='error'`` fails the job naming the run, ``'null'``
+    Labels are the union of the label columns; a missing label counts as one
+    more.  Exactly two are required: ``on_invalid='error'`` fails the job naming the run, ``'null'``
     returns NULL labels for that run, ``'keep'`` returns the row as is.
     Rule: with a numeric source the label equal to 1 wins; else the first
     entry of ``POSITIVE_CANDIDATES`` present; else the larger label (numeric
@@ -59,7 +69,7 @@ def positive_labels(df: DataFrame, keys, numeric: bool, label_cols=("y_true", "y
     keys = as_list(keys)
     stacked = df.select(*keys, F.explode(F.array(*[F.col(c) for c in label_cols])).alias("label"))
     # partial aggregation collapses the rows to distinct labels per task
-    distinct = stacked.where(F.col("label").isNotNull()).select(*keys, "label").distinct()
+    distinct = stacked.select(*keys, "label").distinct()
     cands = F.array(*[F.lit(x) for x in POSITIVE_CANDIDATES])
     rank = F.array_position(cands, F.col("label"))
     as_num = F.col("label").try_cast("double")

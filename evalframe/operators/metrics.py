@@ -65,10 +65,12 @@ def _runs(preds: DataFrame, keys, positive: str | None, sensitive: str | None):
     w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     labels = F.array_distinct(F.array_union(F.collect_set("y_true").over(w), F.collect_set("y_pred").over(w)))
     n_labels, pos, neg = resolve_label_set(F.col("_labels"), numeric)
+    n_labels = n_labels + F.col("_missing")       # a missing label is a third one: an error, as in check_binary
     if positive is not None:
         pos = F.lit(str(positive))
         neg = F.try_element_at(F.filter(F.col("_labels"), lambda x: x != F.lit(str(positive))), F.lit(1))
-    j = (ct.withColumn("_labels", labels)
+    missing = F.max((F.col("y_true").isNull() | F.col("y_pred").isNull()).cast("int")).over(w)
+    j = (ct.withColumns({"_labels": labels, "_missing": missing})
            .select(*keys, "sensitive", "n", n_labels.alias("n_labels"), pos.alias("positive_label"),
                    neg.alias("negative_label"),
                    (F.col("y_true") == pos).alias("t_pos"), (F.col("y_pred") == pos).alias("p_pos")))

@@ -14,6 +14,7 @@ import json
 import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,27 +27,45 @@ from evalframe.operators.labels import encode_target, label_is_numeric, positive
 from evalframe.operators.trials import best_trial, objective_score
 from evalframe.session import cut_lineage
 
-MAX_TREE_DEPTH = 30   # Spark ML's limit; unlimited depth maps here
+MAX_TREE_DEPTH = 30   # Spark ML's limit
+# parameters that are applied, and two that only steer how a fit runs
+KNOWN = {"random_forest": {"n_estimators", "max_depth", "min_samples_split", "min_samples_leaf", "max_features",
+                           "random_state", "n_jobs"},
+         "xgboost": {"n_estimators", "max_depth", "learning_rate", "subsample", "colsample_bytree", "min_child_weight",
+                     "random_state", "n_jobs"}}
+
+
+def _depth(depth) -> int:
+    """Unlimited (None) is the deepest tree that Spark grows; more is an error."""
+    if depth is None:
+        return MAX_TREE_DEPTH
+    if int(depth) > MAX_TREE_DEPTH:
+        raise ValueError(f"max_depth {depth} is beyond {MAX_TREE_DEPTH}, the limit of Spark's trees")
+    return int(depth)
 
 
 def spark_params(model: str, params: dict) -> dict:
     """Map the reference's hyperparameter names onto Spark ML estimator
-    parameters (``min_samples_split`` has no Spark counterpart: recorded, not
-    applied)."""
+    parameters.  A split of ``min_samples_split`` rows is enforced by half of
+    them in each child.  Unknown names are an error."""
+    unknown = set(params or {}) - KNOWN.get("xgboost" if model == "gbt" else model, set(params or {}))
+    if unknown:
+        raise ValueError(f"unknown parameters of {model}: {sorted(unknown)}")
     p = {k: v for k, v in (params or {}).items() if v is not None or k == "max_depth"}
     if model == "random_forest":
         out = {"numTrees": int(p.get("n_estimators", 100))}
         depth = p.get("max_depth")
-        out["maxDepth"] = MAX_TREE_DEPTH if depth is None else min(int(depth), MAX_TREE_DEPTH)
-        if p.get("min_samples_leaf") is not None:
-            out["minInstancesPerNode"] = int(p["min_samples_leaf"])
+        out["maxDepth"] = _depth(depth)
+        leaf, split = int(p.get("min_samples_leaf") or 1), int(p.get("min_samples_split") or 2)
+        if p.get("min_samples_leaf") is not None or p.get("min_samples_split") is not None:
+            out["minInstancesPerNode"] = max(leaf, -(-split // 2))
         mf = p.get("max_features", "sqrt")
         out["featureSubsetStrategy"] = str(mf) if mf in ("sqrt", "log2", "all", "onethird", "auto") else str(float(mf))
         return out
     if model in ("xgboost", "gbt"):
         out = {"maxIter": int(p.get("n_estimators", 100))}
         depth = p.get("max_depth", 6)
-        out["maxDepth"] = MAX_TREE_DEPTH if depth is None else min(int(depth), MAX_TREE_DEPTH)
+        out["maxDepth"] = _depth(depth)
         if p.get("learning_rate") is not None:
             out["stepSize"] = float(p["learning_rate"])
         if p.get("subsample") is not None:
@@ -226,7 +245,7 @@ def run_experiments(plan: list, examples: DataFrame, outer: DataFrame, configs_f
             r.count()
             results = r if results is None else results.unionByName(r)
         except Exception as e:  # noqa: BLE001 - isolation is the feature
-            failures.append((row["dataset"], int(row["outer_fold"]), row["model"], row["optimizer"], str(e)[:1000]))
+            failures.append((row["dataset"], int(row["outer_fold"]), row["model"], row["optimizer"], str(e)))
     fail_df = spark.createDataFrame(failures, "dataset string, outer_fold int, model string, optimizer string, "
                                               "error string")
     return results, fail_df
@@ -243,11 +262,24 @@ def propose(history: DataFrame, candidates: DataFrame, param_cols, k: int = 5, k
     cols = as_list(param_cols)
     s = F.col(score).cast("double")
     valid = history.where(s.isNotNull() & ~F.isnan(s) & (s != F.lit(float("-inf"))))
-    va = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="skip")
-    train = va.transform(valid.select(*[F.col(c).cast("double").alias(c) for c in cols], s.alias("label")))
+    # text parameters become the number of their value (parameter spaces are small); a NULL is a value of its own
+    text = [c for c in cols if dict(candidates.dtypes)[c] == "string"]
+    codes = {c: sorted(r[0] for r in candidates.select(c).union(valid.select(c)).distinct().collect() if r[0] is not None)
+             for c in text}
+
+    def encoded(df):
+        value = lambda c: (F.array_position(F.array(*[F.lit(v) for v in codes[c]]), F.col(c)) if c in codes
+                           else F.col(c)).cast("double")
+        return df.withColumns({f"__x_{c}": F.coalesce(value(c), F.lit(-1.0)) for c in cols}
+                              | {f"__null_{c}": F.col(c).isNull().cast("double") for c in cols})
+
+    inputs = [f"__{kind}_{c}" for c in cols for kind in ("x", "null")]
+    va = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="error")
+    train = va.transform(encoded(valid).withColumn("label", s))
     rf = RandomForestRegressor(numTrees=num_trees, maxDepth=8, seed=seed, featureSubsetStrategy="all",
                                subsamplingRate=1.0, bootstrap=True).fit(train)
-    cand = va.transform(candidates.withColumns({c: F.col(c).cast("double") for c in cols}))
+    as_given = {c: F.col(c).cast("double") for c in cols if c not in text}
+    cand = va.transform(encoded(candidates.withColumns(as_given).dropDuplicates(cols)))
     preds = []
     scored = cand
     for i, tree in enumerate(rf.trees):
@@ -260,7 +292,8 @@ def propose(history: DataFrame, candidates: DataFrame, param_cols, k: int = 5, k
     var = F.aggregate(arr, F.lit(0.0), lambda a, x: a + (x - F.col("surrogate_mean")) * (x - F.col("surrogate_mean"))) / n
     scored = scored.withColumn("surrogate_sd", F.sqrt(var)).withColumn(
         "acquisition", F.col("surrogate_mean") + F.lit(kappa) * F.col("surrogate_sd"))
-    tried = history.select(*[F.col(c).cast("double").alias(c) for c in cols]).distinct()
-    fresh = scored.join(tried, cols, "left_anti")
-    out = fresh.drop("features", *[f"__t{i}" for i in range(len(preds))])
+    tried = history.withColumns(as_given).select(*[F.col(c).alias(f"__h_{c}") for c in cols]).distinct()
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__h_{c}")) for c in cols])
+    fresh = scored.join(tried, same, "left_anti")
+    out = fresh.drop("features", *inputs, *[f"__t{i}" for i in range(len(preds))])
     return out.orderBy(F.col("acquisition").desc(), *cols).limit(k)

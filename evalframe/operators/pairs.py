@@ -94,11 +94,11 @@ def _abs_bucket(c: Column, per_octave: int = 16) -> Column:
     return F.floor(F.log2(c) * per_octave).cast("long")
 
 
-def signed_ranks(pairs: DataFrame, test_keys, tie_decimals: int | None = 12,
+def signed_ranks(pairs: DataFrame, test_keys, tie_decimals: int | None = None,
                  bucketed: bool | None = None) -> DataFrame:
     """T5: Wilcoxon signed-rank statistic per test.
 
-    Differences right - left (rounded to ``tie_decimals`` before the zero and
+    Differences right - left (rounded to ``tie_decimals`` if given, before the zero and
     tie tests; ``None`` keeps them as computed).  Zeros are dropped, tied
     |d| share their average rank, W = min(W+, W-).  Output per test: n, m
     (non-zero count), w2 (= 2 W, an exact integer), tie_term (sum t^3 - t),
@@ -145,7 +145,7 @@ def signed_ranks(pairs: DataFrame, test_keys, tie_decimals: int | None = 12,
     return join_on_keys(out, lists, keys, "left")
 
 
-def wilcoxon(pairs: DataFrame, test_keys, tie_decimals: int | None = 12,
+def wilcoxon(pairs: DataFrame, test_keys, tie_decimals: int | None = None,
              bucketed: bool | None = None) -> DataFrame:
     """T5 + T6: W and its two-sided p per test.  All differences zero -> W 0,
     p 1; a single non-zero difference -> NULL."""
@@ -158,7 +158,7 @@ def wilcoxon(pairs: DataFrame, test_keys, tie_decimals: int | None = 12,
         F.when(F.col("m") == 0, F.lit(1.0)).when(F.col("m") >= 2, nan_to_null(p)).alias("wilcoxon_pvalue"))
 
 
-def paired_tests(pairs: DataFrame, test_keys, tie_decimals: int | None = 12) -> DataFrame:
+def paired_tests(pairs: DataFrame, test_keys, tie_decimals: int | None = None) -> DataFrame:
     """T1-T6 in one table per test."""
     keys = as_list(test_keys)
     # one measurement of the largest test decides both the median path and
@@ -233,7 +233,7 @@ TEST_KEYS = ("comparison", "scope", "metric", "left_method", "right_method", "pa
 
 
 def run_comparisons(results: DataFrame, fairness_datasets: Column | None = None, study_keys=(),
-                    tie_decimals: int | None = 12, **kw) -> DataFrame:
+                    tie_decimals: int | None = None, **kw) -> DataFrame:
     """Every paired test of every family (44 per study in the reference design)."""
     from pyspark import StorageLevel
     study_keys = as_list(study_keys)

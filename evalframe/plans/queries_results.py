@@ -239,7 +239,11 @@ from t {f'left join w on {on}' if with_w else ''}"""
 _T_DOUBLES = ["mean_left", "mean_right", "mean_difference", "median_difference", "t_statistic", "cohens_dz"]
 
 
-def _families(spark, sf, study=True, tie_decimals=12):
+# the oracles round differences to 12 decimals, as engines add doubles in different orders
+TIES = 12
+
+
+def _families(spark, sf, study=True):
     from pyspark import StorageLevel
     r = fx.results_fx(spark, sf, study=study)
     pairs = PA.comparison_pairs(r, F.col("dataset") == "A", ["study"] if study else [])
@@ -271,21 +275,21 @@ def q_cohens_dz(spark, sf):
 
 @register("wilcoxon_w", f"select study, {_TK}, wilcoxon_statistic from ({_tests_sql(RES_S, True, True)}) x")
 def q_wilcoxon_w(spark, sf):
-    return PA.wilcoxon(_families(spark, sf), _TKEYS).select(*_TKEYS, "wilcoxon_statistic")
+    return PA.wilcoxon(_families(spark, sf), _TKEYS, TIES).select(*_TKEYS, "wilcoxon_statistic")
 
 
 @register("comparison_families", round_sql(f"""
 select {_TK}, n, mean_left, mean_right, mean_difference, median_difference, t_statistic, wilcoxon_statistic, cohens_dz
 from ({_tests_sql(RES, False, True)}) x""", _T_DOUBLES))
 def q_comparison_families(spark, sf):
-    t = PA.run_comparisons(fx.results_fx(spark, sf), F.col("dataset") == "A")
+    t = PA.run_comparisons(fx.results_fx(spark, sf), F.col("dataset") == "A", tie_decimals=TIES)
     return round_doubles(t.drop("t_pvalue", "wilcoxon_pvalue"))
 
 
 @register("paired_pvalues")
 def q_paired_pvalues(spark, sf):
     """T3 + T6 per test and study (rows-only; p-values are gold-checked in tests)."""
-    t = PA.paired_tests(_families(spark, sf), _TKEYS)
+    t = PA.paired_tests(_families(spark, sf), _TKEYS, TIES)
     return t.select(*_TKEYS, "n", "t_pvalue", "wilcoxon_pvalue")
 
 
@@ -304,5 +308,5 @@ def q_effect_label(spark, sf):
 def q_report_rows(spark, sf):
     """P13 (rows-only: lines carry p-values, which have no SQL oracle)."""
     from evalframe.operators.report import report_rows
-    t = PA.run_comparisons(fx.results_fx(spark, sf), F.col("dataset") == "A")
+    t = PA.run_comparisons(fx.results_fx(spark, sf), F.col("dataset") == "A", tie_decimals=TIES)
     return report_rows(t, PA.effect_sizes(t))

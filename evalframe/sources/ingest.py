@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from evalframe.functions.columns import lower_trim
+from evalframe.functions.columns import lower_trim, parse_number
 from evalframe.operators._keys import as_list
 
 ROW_ID = "row_id"
@@ -99,9 +99,9 @@ def coerce_results(df: DataFrame, key_cols=("dataset", "model", "optimizer"),
         if c in df.columns:
             out = out.withColumn(c, lower_trim(c))
     for c in as_list(numeric_cols):
-        out = out.withColumn(c, F.col(c).cast("string").try_cast("double"))
+        out = out.withColumn(c, parse_number(c))
     if fold_col:
-        v = F.col(fold_col).cast("string").try_cast("double")
+        v = parse_number(fold_col)
         ok = v.isNotNull() & (v == F.floor(v))
         out = out.withColumn(fold_col, F.when(ok, v.cast("int")).otherwise(
             F.raise_error(F.concat(F.lit(f"{fold_col} is not numeric: "),
@@ -121,7 +121,7 @@ def read_results(spark: SparkSession, path: str, numeric_cols=(), fold_col="oute
 def check_metrics(df: DataFrame, metric_cols) -> DataFrame:
     """V7: metric columns without a single usable number (one aggregate)."""
     cols = as_list(metric_cols)
-    agg = df.agg(*[F.count(F.col(c).cast("string").try_cast("double")).alias(c) for c in cols])
+    agg = df.agg(*[F.count(parse_number(c)).alias(c) for c in cols])
     stacked = agg.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("metric"), F.col(c).cast("long").alias("n_usable")) for c in cols])).alias("s"))
     return stacked.select("s.*").where(F.col("n_usable") == 0)
@@ -152,7 +152,7 @@ def parse_params(c, names=None, as_double: bool = True):
     out = {}
     for n in names:
         v = m[n]
-        out[n] = v.try_cast("double") if as_double else v
+        out[n] = parse_number(v) if as_double else v
     return m, out
 
 
