@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalframe.llm._graph import linked_components
-from evalframe.llm._store import small_batches, stored, with_texts
+from evalframe.llm._store import BROADCAST_BYTES, small_batches, stored, with_texts
 
 EDITS = 2
 MIN_CHARS = 24
@@ -216,8 +216,10 @@ def line_classes(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
 
 def _places(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """Every non-empty line with its place: (doc_id, text_key, line_no)."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.md5(text).alias("text_key"),
-                       F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line")).filter(F.length("line") > 0)
+    # the key first, below the generator: once for each text and not for each line
+    keyed = docs.select(F.col(id_col).alias("doc_id"), F.md5(text).alias("text_key"), F.col(text).alias("text"))
+    return keyed.select("doc_id", "text_key",
+                       F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).filter(F.length("line") > 0)
 
 
 def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id",
@@ -253,7 +255,10 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
     gone = (repeated_lines(docs, edits, min_chars, id_col, text)
             .groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("line_no", "first_doc", "first_line")))
                                                .alias("removed")))
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "removed")
+    gone = stored(gone.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "removed"), "line-gone")
+    n_docs, n_gone = gone.agg(F.count("*"), F.sum(F.size("removed"))).first()
+    if 64 * n_docs + 40 * (n_gone or 0) <= BROADCAST_BYTES:      # else the texts are joined by a shuffle
+        gone = F.broadcast(gone)
     out = docs.withColumn("_text_key", F.md5(text))
     out = out.join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left").drop(
         "_id", "_key", "_text_key")
