@@ -7,7 +7,7 @@ from typing import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalframe.llm._store import stored
+from evalframe.llm._store import stored, swept_shuffles
 
 HUB_ROUNDS = 4      # how often hubs are drawn anew at most, before all remaining pairs are tried
 NEW_LINKS = 0.05    # a round that links less than this share of the pairs it tries is the last
@@ -41,9 +41,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _is_star(e: DataFrame) -> bool:
     child = e.groupBy("u").agg(F.count("*").alias("n"))
-    if not child.filter("n > 1").isEmpty():
-        return False
-    return e.join(child.select("u").withColumnRenamed("u", "v"), "v", "left_semi").isEmpty()
+    with swept_shuffles(e.sparkSession):
+        if not child.filter("n > 1").isEmpty():
+            return False
+        return e.join(child.select("u").withColumnRenamed("u", "v"), "v", "left_semi").isEmpty()
 
 
 def linked_components(index: DataFrame, probe: DataFrame, possible, verify: Callable[[DataFrame], DataFrame],

@@ -19,10 +19,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with swept_shuffles(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def swept_shuffles(spark: SparkSession):
+    """Jobs of this block remove their shuffle files as soon as they end.
+
+    A table that is written or a number that is fetched needs them no more;
+    else they stay until the driver happens to collect its garbage.  For
+    actions of one run only: a DataFrame that is made in the block and run
+    twice would repeat its map stages.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 BROADCAST_BYTES = 32 << 20     # text that every executor may hold a copy of
 
 
@@ -33,7 +52,8 @@ def with_texts(pairs: DataFrame, texts: DataFrame, text: str) -> DataFrame:
     is broadcast, so that no text travels once for each pair; a bigger one is
     joined by shuffles.
     """
-    size = texts.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    with swept_shuffles(texts.sparkSession):
+        size = texts.agg(F.sum(F.octet_length(text))).first()[0] or 0
     side = lambda c: texts.select(F.col("id").alias(c), F.col(text).alias(f"{text}_{c}"))
     a, b = side("a"), side("b")
     if size <= BROADCAST_BYTES:
