@@ -45,12 +45,13 @@ def swept_shuffles(spark: SparkSession):
 BROADCAST_BYTES = 32 << 20     # text that every executor may hold a copy of
 
 
-def with_texts(pairs: DataFrame, texts: DataFrame, text: str) -> DataFrame:
+def with_texts(pairs: DataFrame, texts: DataFrame, text: str, spread: bool = False) -> DataFrame:
     """``pairs`` (a, b) with the texts of both ends as ``{text}_a``, ``{text}_b``.
 
     ``texts`` is (id, ``text``), stored.  Its size is measured: a small table
     is broadcast, so that no text travels once for each pair; a bigger one is
-    joined by shuffles.
+    joined by shuffles.  ``spread`` deals broadcast pairs out to all tasks: a
+    file of pairs is small for the work that it holds.
     """
     with swept_shuffles(texts.sparkSession):
         size = texts.agg(F.sum(F.octet_length(text))).first()[0] or 0
@@ -58,6 +59,8 @@ def with_texts(pairs: DataFrame, texts: DataFrame, text: str) -> DataFrame:
     a, b = side("a"), side("b")
     if size <= BROADCAST_BYTES:
         a, b = F.broadcast(a), F.broadcast(b)
+        if spread:
+            pairs = pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return pairs.join(a, "a").join(b, "b")
 
 

@@ -207,7 +207,7 @@ def line_classes(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
         few = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
         texts = stored(lines.join(few, "id"), "line-texts")
         with small_batches(lines.sparkSession):
-            return stored(with_texts(pairs, texts, "line").mapInPandas(_verify(edits), "a long, b long"), "line-links")
+            return stored(with_texts(pairs, texts, "line", spread=True).mapInPandas(_verify(edits), "a long, b long"), "line-links")
 
     # an index entry is also the probe of its own length at its own place
     return linked_components(met.filter("is_index = 1").select("key", "id", "sig"), met.select("key", "id", "sig"),
