@@ -198,7 +198,9 @@ def line_classes(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
                          F.col("entry").bitwiseAND(F.lit(1)).cast("byte").alias("is_index")), "line-met")
 
     def possible(i, p):
-        return (i("id") != p("id")) & (F.bit_count(i("sig").bitwiseXOR(p("sig"))) <= 2 * edits)
+        # bit_count widens an int with its sign: only the low 32 bits count
+        differ = i("sig").bitwiseXOR(p("sig")).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
+        return (i("id") != p("id")) & (F.bit_count(differ) <= 2 * edits)
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = stored(pairs, "line-pairs")
