@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import re
+from collections import Counter
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -137,8 +138,10 @@ def repeated_lines(docs, edits, min_chars, near):
             if line:
                 places.setdefault(line, set()).add((doc, no))
     lines = sorted(places)
-    links = [(a, b) for a, b in itertools.combinations([x for x in lines if len(x) >= min_chars], 2)
-             if abs(len(a) - len(b)) <= edits and near(a, b)]
+    counts = {x: Counter(x) for x in lines if len(x) >= min_chars}
+    # an edit adds one character at most and takes one away at most
+    links = [(a, b) for (a, x), (b, y) in itertools.combinations(counts.items(), 2)
+             if abs(len(a) - len(b)) <= edits and (x - y).total() <= edits and (y - x).total() <= edits and near(a, b)]
     comp = classes(lines, links)
     by_class = {}
     for line in lines:
