@@ -6,11 +6,13 @@ written as Parquet and read again as the next one's ``docs``.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalframe.llm import decontam, language, mixing, near_dedup, sharding
-from evalframe.llm._store import stored
+from evalframe.llm._store import settled
 from evalframe.sources.tables import read_table
 
 
@@ -54,7 +56,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = read_table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs, f"pipeline-{name}")
+        made = functools.partial(stage, spark, docs, sf_dir)
+        docs = settled(spark, made, f"pipeline-{name}") if k < len(STAGES) - 1 else made()
     return docs

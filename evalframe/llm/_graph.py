@@ -7,7 +7,7 @@ from typing import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalframe.llm._store import stored, swept_shuffles
+from evalframe.llm._store import settled, stored, swept_shuffles
 
 HUB_ROUNDS = 4      # how often hubs are drawn anew at most, before all remaining pairs are tried
 NEW_LINKS = 0.05    # a round that links less than this share of the pairs it tries is the last
@@ -75,15 +75,16 @@ def linked_components(index: DataFrame, probe: DataFrame, possible, verify: Call
         return (probe.join(hub, "key").filter((F.col("id") != F.col("hub.id")) & possible(i_hub, p_own))
                 .select(F.col("id").alias("a"), F.col("hub.id").alias("b")).distinct())
 
+    spark = index.sparkSession
     links = stored(verify(star().groupBy("a").agg(F.min_by("b", F.xxhash64("b")).alias("b"))), "link-first")
-    comp = stored(components(links), "link-comp")
+    comp = settled(spark, lambda: components(links), "link-comp")
     for draw in range(HUB_ROUNDS):
         tried = stored(_across(star("key", F.lit(draw)), comp), f"link-star{draw}")
         found = stored(verify(tried), f"link-hub{draw}")
         n_found = found.count()
         if n_found:
             links = links.union(found)
-            comp = stored(components(links), "link-comp")
+            comp = settled(spark, lambda: components(links), "link-comp")
         if n_found <= NEW_LINKS * tried.count():
             break
     # (3) pairs without a hub: only keys with further index entries, in buckets of several components

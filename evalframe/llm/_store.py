@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
+from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 from evalframe.session import ensure_checkpoint_dir
 
 
+_steps: list[list[str]] = []     # paths stored inside each open ``settled`` call
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below ``spark.checkpoint.dir`` and read it back.
 
@@ -21,9 +25,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     with swept_shuffles(spark):
         df.write.parquet(path)
+    if _steps:
+        _steps[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str, rows: int | None = None) -> DataFrame:
+    """``stored(make())``; the tables that ``make`` stored on its way are removed then.
+    ``rows`` sets the Arrow batch of the last table alone.
+
+    Only for tables that nothing but the result reads: no DataFrame on them
+    may be used afterwards.
+    """
+    _steps.append([])
+    try:
+        result = make()
+    finally:
+        done = _steps.pop()
+    with small_batches(spark, rows) if rows else nullcontext():
+        out = stored(result, name)
+    for path in done:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return out
+
+
 @contextmanager
 def swept_shuffles(spark: SparkSession):
     """Jobs of this block remove their shuffle files as soon as they end.
@@ -64,8 +90,11 @@ def with_texts(pairs: DataFrame, texts: DataFrame, text: str, spread: bool = Fal
     return pairs.join(a, "a").join(b, "b")
 
 
+FEW_ROWS = 256                 # pairs of texts in an Arrow batch
+
+
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 256):
+def small_batches(spark: SparkSession, rows: int = FEW_ROWS):
     """Fewer rows in an Arrow batch, for what is computed inside the block:
     pairs of long texts must not meet in one batch by the ten thousand."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalframe.llm._graph import linked_components
-from evalframe.llm._store import BROADCAST_BYTES, small_batches, stored, with_texts
+from evalframe.llm._store import BROADCAST_BYTES, FEW_ROWS, settled, stored, with_texts
 
 EDITS = 2
 MIN_CHARS = 24
@@ -203,13 +203,15 @@ def line_classes(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
         return (i("id") != p("id")) & (F.bit_count(differ) <= 2 * edits)
 
     def verify(pairs: DataFrame) -> DataFrame:
+        return settled(lines.sparkSession, lambda: compared(pairs), "line-links", rows=FEW_ROWS)
+
+    def compared(pairs: DataFrame) -> DataFrame:
         pairs = stored(pairs, "line-pairs")
         ids = stored(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id"), "line-ids")
         # few ids are broadcast, so that all other lines stay where they are
         few = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
         texts = stored(lines.join(few, "id"), "line-texts")
-        with small_batches(lines.sparkSession):
-            return stored(with_texts(pairs, texts, "line", spread=True).mapInPandas(_verify(edits), "a long, b long"), "line-links")
+        return with_texts(pairs, texts, "line", spread=True).mapInPandas(_verify(edits), "a long, b long")
 
     # an index entry is also the probe of its own length at its own place
     return linked_components(met.filter("is_index = 1").select("key", "id", "sig"), met.select("key", "id", "sig"),

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalframe.llm._graph import linked_components
-from evalframe.llm._store import small_batches, stored, with_texts
+from evalframe.llm._store import FEW_ROWS, settled, stored, with_texts
 
 BANDS, ROWS = 26, 4
 BATCH = 13                # signature values compared at a time
@@ -302,14 +302,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80, id_col
         return F.arrays_overlap(i("prefix"), p("prefix")) & (most * (100 + percent) >= percent * (i("n") + p("n")))
 
     def verify(pairs: DataFrame) -> DataFrame:
+        return settled(docs.sparkSession, lambda: compared(pairs), "near-links", rows=FEW_ROWS)
+
+    def compared(pairs: DataFrame) -> DataFrame:
         sig = classes.select("id", "sig")
         pairs = (pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a")
                  .join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b"))
         left = stored(pairs.mapInPandas(_prune(percent / 100), "a long, b long"), "near-pruned")
         full = stored(texts_of(left.select("a").union(left.select("b")).distinct().withColumnRenamed("a", "id")), "near-texts")
-        with small_batches(docs.sparkSession):
-            return stored(with_texts(left, full, "text").mapInPandas(_confirm(shingle, percent), "a long, b long"),
-                          "near-links")
+        return with_texts(left, full, "text").mapInPandas(_confirm(shingle, percent), "a long, b long")
 
     comp = linked_components(shared, shared, possible, verify, prefixes, agree)
     named = classes.select("id", "text_key", "n", "doc_id").join(comp, "id", "left").withColumn(
