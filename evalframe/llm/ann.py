@@ -4,8 +4,11 @@ Largest inner product becomes smallest distance with one more component,
 sqrt(M^2 - |x|^2) for rows and 0 for queries (M: the largest norm).  Vectors
 are rotated at random, so that after ``d`` of ``D`` components the partial
 distance times D / d estimates the whole.  Rows lie in lists around centroids
-fitted on a bounded sample.  Within each probed list the columns are read in
-blocks, and after each block a candidate is given up when its scaled partial
+fitted on a bounded sample.  How many of them a query reads follows from the
+data: for a bounded set of queries the true nearest are found by brute force,
+and as many lists are probed as hold ``RECALL`` of them.  The first ``PROBES`` give
+each query a score to beat, so that the others return few rows.  Within each
+probed list the columns are read in blocks, and after each block a candidate is given up when its scaled partial
 distance is beyond the query's k-th best by more than the test allows.
 What remains is scored exactly on the original vectors.
 
@@ -27,7 +30,9 @@ from evalframe.llm._store import stored
 K = 20
 ROWS_PER_LIST = 400        # lists grow in number with the table
 MAX_LISTS = 4096           # bound of the centroids that are broadcast
-PROBES = 24                # lists read for each query
+PROBES = 24                # lists read first for each query, and the fewest
+RECALL = 0.95              # share of the true nearest that the probed lists hold; the column test may lose a little more
+MEASURED = 256             # queries that it is measured on
 SAMPLE_ROWS = 50_000       # bound of the sample the centroids are fitted on
 COLUMNS = 16               # components read between two tests
 EPSILON = 2.1              # of the test: larger gives up fewer near ones
@@ -84,10 +89,12 @@ def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return s
 
 
-def _scan(rows: np.ndarray, queries: np.ndarray, k: int, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _scan(rows: np.ndarray, queries: np.ndarray, k: int, width: np.ndarray,
+          limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(query, row) pairs that may be among a query's ``k`` nearest in this list.
 
     ``width``: ids that an entry stands for, so that the k-th best counts copies.
+    ``limit``: squared distance beyond which a row is of no use to a query.
     """
     dim = rows.shape[1]
     n = len(rows)
@@ -95,7 +102,7 @@ def _scan(rows: np.ndarray, queries: np.ndarray, k: int, width: np.ndarray) -> t
     # the k-th best of the first rows, read in full, is where each query starts
     d = ((queries * queries).sum(1)[:, None] - 2 * queries @ rows[:first].T + (rows[:first] ** 2).sum(1))
     d = np.maximum(d, 0)
-    bar = _kth(d, width[:first], k)
+    bar = np.minimum(_kth(d, width[:first], k), limit)
     q_at, r_at = [np.nonzero(d <= bar[:, None])[0]], [np.nonzero(d <= bar[:, None])[1]]
     for at in range(first, n, 4096):
         block = rows[at:at + 4096]
@@ -141,16 +148,22 @@ def _kth(d: np.ndarray, width: np.ndarray, k: int) -> np.ndarray:
     return np.take_along_axis(d, np.take_along_axis(order, reach[:, None], 1), 1)[:, 0] * (1 + 1e-9) + 1e-12
 
 
-def _group_search(k: int):
+def _group_search(k: int, top: float):
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"qvec": [], "ids": [], "score": []}).astype({"qvec": "int64", "score": "float64"})
         rows = np.stack(left["r"].to_numpy())
         queries = np.stack(right["r"].to_numpy())
         ids = left["ids"].to_numpy()
-        qi, ri = _scan(rows, queries, k, np.array([len(i) for i in ids]))
         x, q = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
+        beat = right["beat"].to_numpy()
+        size = (q * q).sum(1) + top             # the distance of a score is size - 2 * score
+        qi, ri = _scan(rows, queries, k, np.array([len(i) for i in ids]), size - 2 * beat + 1e-9 * size)
         score = _exact(q[qi], x[ri])
+        useful = score >= beat[qi]
+        qi, ri, score = qi[useful], ri[useful], score[useful]
+        if not qi.size:
+            return pd.DataFrame({"qvec": [], "ids": [], "score": []}).astype({"qvec": "int64", "score": "float64"})
         # of a query's pairs only its best k can be in the result
         by = np.lexsort((ri, -score, qi))
         qi, ri, score = qi[by], ri[by], score[by]
@@ -162,6 +175,37 @@ def _group_search(k: int):
     return run
 
 
+def _best_entries(qvec: np.ndarray, queries: np.ndarray, k: int):
+    """(of, qvec, n, list, score): each query's best entries of a batch, by brute force."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                s = queries @ np.stack(b["v"].to_numpy()).T
+                top = min(k, len(b))
+                at = np.argpartition(-s, top - 1, axis=1)[:, :top]
+                own = at.ravel()
+                yield pd.DataFrame({"of": np.repeat(qvec, top), "qvec": b["qvec"].to_numpy()[own],
+                                    "n": b["n"].to_numpy()[own], "list": b["list"].to_numpy()[own],
+                                    "score": np.take_along_axis(s, at, 1).ravel()})
+    return run
+
+
+def _probes_needed(true: pd.DataFrame, qvec: np.ndarray, order: np.ndarray, k: int) -> int:
+    """The fewest lists that hold ``RECALL`` of the ``k`` nearest ids of the measured queries.
+
+    ``order``: for each of them all lists, nearest first.
+    """
+    row = {q: i for i, q in enumerate(qvec.tolist())}
+    rank = np.argsort(order, axis=1)
+    held = np.zeros(order.shape[1] + 1)
+    for of, own in true.sort_values(["of", "score", "qvec"], ascending=[True, False, True]).groupby("of"):
+        n = own["n"].to_numpy() - (own["qvec"].to_numpy() == of)      # one id of its own entry is the query
+        n = np.minimum(n, np.maximum(k - (np.cumsum(n) - n), 0))
+        np.add.at(held, rank[row[of], own["list"].to_numpy()] + 1, n)
+    reached = np.cumsum(held)
+    return int(np.argmax(reached >= RECALL * reached[-1]))
+
+
 def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 20, k: int = K,
             probes: int = PROBES) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` rows of largest inner product
@@ -169,7 +213,9 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
 
     Null, zero and non-finite vectors and those of another length than most
     take no part.  Ties go to the smaller id.  A row that repeats an id and
-    its vector counts once.  An empty table has no result.
+    its vector counts once.  An empty table has no result.  At least
+    ``probes`` lists are read for a query, more where the measured recall
+    needs more.
     """
     spark = vectors.sparkSession
     rows = clean(vectors, id_col, vec_col).distinct()
@@ -207,40 +253,66 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
                 r = rotated(np.stack(b["v"].to_numpy()), True)
                 yield b.assign(list=_nearest(r, shared.value, 1)[:, 0], r=list(r))
 
-    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                r = rotated(np.stack(b["v"].to_numpy()), False)
-                b = b.assign(r=list(r), list=list(_nearest(r, shared.value, probes)))
-                yield b.explode("list").astype({"list": "int32"})
-
     is_query = F.col("id") % every == 0
     queries_of = stored(rows.filter(is_query).join(entries.select("v", "qvec"), "v").select("id", "qvec"), "ann-queries")
     asked = entries.join(queries_of.select("qvec").distinct(), "qvec", "left_semi")
     placed = stored(entries.mapInPandas(
         assign, "v array<double>, ids array<long>, qvec long, list int, r array<double>"), "ann-placed")
+    if probes < n_lists:
+        some = asked.orderBy(F.xxhash64("v"), "qvec").limit(MEASURED).select("qvec", "v").toPandas()
+        if len(some):
+            qvec, v = some["qvec"].to_numpy(), np.stack(some["v"].to_numpy())
+            by_score = Window.partitionBy("of").orderBy(F.desc("score"), F.col("qvec"))
+            true = (placed.select("v", "qvec", F.size("ids").alias("n"), "list")
+                    .mapInPandas(_best_entries(qvec, v, k + 1), "of long, qvec long, n long, list int, score double")
+                    .withColumn("nth", F.row_number().over(by_score)).filter(F.col("nth") <= k + 1).toPandas())
+            order = _nearest(rotated(v, False), shared.value, n_lists)
+            probes = max(probes, _probes_needed(true, qvec, order, k))
+
+    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                r = rotated(np.stack(b["v"].to_numpy()), False)
+                yield b.assign(r=list(r), lists=list(_nearest(r, shared.value, probes)))
+
+    # a query's vectors are stored once, however many lists it reads
     probed = stored(asked.select("qvec", "v").mapInPandas(
-        probe, "qvec long, v array<double>, r array<double>, list int"), "ann-probed")
-    # big lists in chunks of rows, and their queries in chunks: every pair of chunks is one group
-    chunks = (placed.groupBy("list").agg(F.count("*").alias("n_rows"))
-              .join(probed.groupBy("list").agg(F.count("*").alias("n_queries")), "list")
-              .select("list", F.ceil(F.col("n_rows") / CHUNK_ROWS).cast("int").alias("row_chunks"),
-                      F.ceil(F.col("n_queries") / CHUNK_QUERIES).cast("int").alias("query_chunks")))
-    left = (placed.join(chunks, "list")
-            .withColumn("rc", F.pmod(F.xxhash64("qvec"), "row_chunks").cast("int"))
-            .withColumn("qc", F.explode(F.sequence(F.lit(0), F.col("query_chunks") - 1)))
-            .select("list", "rc", "qc", "ids", "v", "r"))
-    right = (probed.join(chunks, "list")
-             .withColumn("qc", F.pmod(F.xxhash64("qvec"), "query_chunks").cast("int"))
-             .withColumn("rc", F.explode(F.sequence(F.lit(0), F.col("row_chunks") - 1)))
-             .select("list", "rc", "qc", "qvec", "v", "r"))
-    key = ["list", "rc", "qc"]
-    # of k + 1 ids one may be the query's own
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(
-        _group_search(k + 1), "qvec long, ids array<long>, score double")
+        probe, "qvec long, v array<double>, r array<double>, lists array<int>"), "ann-probed")
     best = Window.partitionBy("qvec").orderBy(F.desc("score"), F.col("vec_id"))
-    found = (found.select("qvec", "score", F.explode("ids").alias("vec_id"))
-             .withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= k + 1).drop("nth"))
+
+    def best_of(found: DataFrame) -> DataFrame:
+        # of k + 1 ids one may be the query's own
+        return found.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= k + 1).drop("nth")
+
+    def search(probed: DataFrame) -> DataFrame:
+        """(qvec, score, vec_id) from the lists in ``probed`` (qvec, v, r, beat, lists), of scores that reach ``beat``."""
+        probed = probed.withColumn("list", F.explode("lists")).drop("lists")
+        # big lists in chunks of rows, and their queries in chunks: every pair of chunks is one group
+        chunks = (placed.groupBy("list").agg(F.count("*").alias("n_rows"))
+                  .join(probed.groupBy("list").agg(F.count("*").alias("n_queries")), "list")
+                  .select("list", F.ceil(F.col("n_rows") / CHUNK_ROWS).cast("int").alias("row_chunks"),
+                          F.ceil(F.col("n_queries") / CHUNK_QUERIES).cast("int").alias("query_chunks")))
+        left = (placed.join(chunks, "list")
+                .withColumn("rc", F.pmod(F.xxhash64("qvec"), "row_chunks").cast("int"))
+                .withColumn("qc", F.explode(F.sequence(F.lit(0), F.col("query_chunks") - 1)))
+                .select("list", "rc", "qc", "ids", "v", "r"))
+        right = (probed.join(chunks, "list")
+                 .withColumn("qc", F.pmod(F.xxhash64("qvec"), "query_chunks").cast("int"))
+                 .withColumn("rc", F.explode(F.sequence(F.lit(0), F.col("row_chunks") - 1)))
+                 .select("list", "rc", "qc", "qvec", "v", "r", "beat"))
+        key = ["list", "rc", "qc"]
+        found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(
+            _group_search(k + 1, top), "qvec long, ids array<long>, score double")
+        return best_of(found.select("qvec", "score", F.explode("ids").alias("vec_id")))
+
+    first = min(probes, PROBES)
+    found = search(probed.withColumns({"beat": F.lit(float("-inf")), "lists": F.slice("lists", 1, first)}))
+    if probes > first:
+        found = stored(found, "ann-first")
+        reached = found.groupBy("qvec").agg(F.when(F.count("*") > k, F.min("score")).alias("beat"))
+        rest = (probed.join(reached, "qvec", "left").withColumn("beat", F.coalesce("beat", F.lit(float("-inf"))))
+                .withColumn("lists", F.slice("lists", first + 1, probes - first)))
+        found = best_of(found.unionByName(search(rest)))
     per_query = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("vec_id"))
     return (queries_of.withColumnRenamed("id", "query_id").join(found, "qvec").filter("query_id <> vec_id")
             .withColumn("rank", F.row_number().over(per_query)).filter(F.col("rank") <= k)

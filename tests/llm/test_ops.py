@@ -162,6 +162,24 @@ def test_ann_recall(spark):
     assert found >= 0.9 * 20 * (ids % 20 == 0).sum()
 
 
+def test_ann_recall_many_lists(spark, monkeypatch):
+    """300 lists of random unit vectors, of which the fewest probes read 24."""
+    monkeypatch.setattr(ann, "ROWS_PER_LIST", 40)
+    x = np.random.default_rng(8).standard_normal((12_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x)}),
+                               "vec_id long, embedding array<double>")
+    got = ann.nearest(df, every=60).toPandas().groupby("query_id")["vec_id"].agg(set)
+    assert len(got) == 200
+    found = 0
+    for q, mine in got.items():
+        s = x @ x[q]
+        s[q] = -np.inf
+        found += len(mine & set(np.argpartition(-s, 20)[:20].tolist()))
+    print("recall", found / (20 * len(got)))
+    assert found >= 0.9 * 20 * len(got)
+
+
 def test_ann_messy(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [1.0]),
             (6, [0.5, None]), (None, [1.0, 1.0]), (7, [0.0, 2.0]), (20, [1.0, 1.0]), (20, [1.0, 1.0])]
