@@ -5,11 +5,14 @@ and all shards should hold the same number of documents.  From a random,
 even start each round lets documents move to the shard where most of their
 group is, but only so many from shard i to shard j as come back from j to i:
 members of groups that want the opposite move, and documents of j without a
-group, which lose nothing.  A last step makes the counts exactly even.
+group, which lose nothing.  Rounds go on as long as they bring group members
+to where most of their group is.  A last step makes the counts exactly even.
 """
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,22 +20,28 @@ from evalframe.llm._rank import prefix_sums, unit_hash
 from evalframe.llm._store import stored
 
 
-def propagate(nodes: DataFrame, n_shards: int, rounds: int = 4, tolerance: float = 0.002) -> DataFrame:
+STALLED = 3       # rounds without progress after which the rest counts as stuck
+
+
+def propagate(nodes: DataFrame, n_shards: int) -> DataFrame:
     """``nodes`` (group: string or null, u: double in [0, 1), any others) with ``shard``.
 
     Each round is one join of the nodes with their groups' shard counts; what
     reaches the driver is the shard-to-shard table of wished moves
     (``n_shards`` squared).  Quotas are kept on average, by comparing a fresh
-    hash of the node with the admitted share.
+    hash of the node with the admitted share.  A move never takes a member from
+    the shard that holds most of its group, so the wished moves only get fewer;
+    it ends when none is left, none is admitted, or ``STALLED`` rounds in a row
+    bring no fewer.
     """
     nodes = stored(nodes.withColumn("shard", F.least(F.floor(F.col("u") * n_shards), F.lit(n_shards - 1)).cast("int")),
                    "shard-start")
-    n = nodes.count()
     linked = (nodes.filter(F.col("group").isNotNull()).groupBy("group").agg(F.count("*").alias("n"))
               .filter(F.col("n") > 1).select("group"))
     nodes = stored(nodes.join(linked.withColumn("linked", F.lit(True)), "group", "left")
                    .withColumn("linked", F.coalesce("linked", F.lit(False))), "shard-linked")
-    for k in range(rounds):
+    fewest, stalled = None, 0
+    for k in itertools.count():
         held = nodes.filter("linked").groupBy("group", "shard").agg(F.count("*").alias("n"))
         # most members first; equal counts go by a hash, the same for all members
         wish = held.groupBy("group").agg(F.max_by(
@@ -42,10 +51,15 @@ def propagate(nodes: DataFrame, n_shards: int, rounds: int = 4, tolerance: float
         counts = {(r["shard"], r["wish"], r["linked"]): r["n"] for r in
                   wishing.groupBy("shard", "wish", "linked").agg(F.count("*").alias("n")).collect()}
         moves = {(i, j): c for (i, j, linked), c in counts.items() if linked and i != j}
-        if sum(moves.values()) <= tolerance * n:
+        left = sum(moves.values())
+        stalled = stalled + 1 if fewest is not None and left >= fewest else 0
+        fewest = left if fewest is None else min(left, fewest)
+        if not left or stalled == STALLED:
             break
         free = {i: counts.get((i, i, False), 0) for i in range(n_shards)}
         admitted, swaps = _quotas(moves, free, n_shards)
+        if not any(admitted.values()):
+            break
         go = F.lit(None)
         u = unit_hash(F.col("u"), F.col("group"), F.lit(k))
         for i in range(n_shards):

@@ -92,6 +92,18 @@ def test_sharding(spark, docs, messy):
     assert len(small) == len(MESSY) and small.groupby("shard").size().max() == 1
 
 
+def test_sharding_few_copies(spark):
+    """0.1% copies: every pair ends in one shard."""
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.when(
+        F.col("id") < 20, (F.col("id") / 2).cast("long")).otherwise(F.col("id")).cast("string")).alias("text"))
+    got = sharding.shard_documents(df).toPandas()
+    counts = got.groupby("shard").size()
+    assert len(counts) == 16 and counts.max() == counts.min()
+    pairs = got[got["doc_id"] < 20].assign(pair=lambda g: g["doc_id"] // 2).groupby("pair")["shard"].nunique()
+    print("split pairs", (pairs > 1).sum(), "of", len(pairs))
+    assert (pairs == 1).all()
+
+
 def test_decontamination(spark, docs, messy):
     bench = [(r["item_id"], r["text"]) for r in read_table(spark, SF_SMALL, "benchmark").collect()]
     rows = docs.orderBy("doc_id").collect()
