@@ -241,18 +241,10 @@ def _confirm(size: int, percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80, id_col: str = "doc_id",
-                    text: str = "text") -> DataFrame:
-    """``docs`` with ``n_shingles``, ``component_id`` and ``kept``.
-
-    Two documents are linked when 100 * intersection >= ``percent`` * union of
-    their shingle sets; ``component_id`` is the smallest id in the connected
-    component, ``kept`` says that the row has it.  Equal texts are one class
-    throughout and never compared.  Null text, no words: no shingles, no
-    links, a component of its own.  Rows with equal ids and texts are all kept
-    or all not (``drop_near_duplicates`` leaves one).
-    """
-    docs = docs.drop("n_shingles", "component_id", "kept", "_text_key").withColumn("_text_key", F.md5(text))
+def _in_components(docs: DataFrame, shingle: int, percent: int, id_col: str, text: str) -> DataFrame:
+    """The result of ``near_duplicates`` with ``_text_key`` and ``_component``:
+    a number of the component whatever its ids are, null for no shingles."""
+    docs = docs.drop("_component").drop("n_shingles", "component_id", "kept", "_text_key").withColumn("_text_key", F.md5(text))
     raw = docs.select(F.col("_text_key").alias("text_key"), F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
     id_type = docs.schema[id_col].dataType.simpleString()
     features = stored(raw.mapInPandas(
@@ -317,19 +309,42 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80, id_col
         "comp", F.coalesce("comp", "id"))
     smallest = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     verdict = named.join(smallest, "comp").select(
-        F.col("text_key").alias("_text_key"), F.col("n").alias("n_shingles"), "component_id")
-    out = docs.join(verdict, "_text_key", "left").drop("_text_key")
+        F.col("text_key").alias("_text_key"), F.col("n").alias("n_shingles"), F.col("comp").alias("_component"), "component_id")
+    out = docs.join(verdict, "_text_key", "left")
     return (out.withColumn("n_shingles", F.coalesce("n_shingles", F.lit(0)).cast("long"))
             .withColumn("component_id", F.coalesce("component_id", id_col))
             .withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"),
                                            F.col(id_col).isNull() & F.col("component_id").isNull())))
 
 
+def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80, id_col: str = "doc_id",
+                    text: str = "text") -> DataFrame:
+    """``docs`` with ``n_shingles``, ``component_id`` and ``kept``.
+
+    Two documents are linked when 100 * intersection >= ``percent`` * union of
+    their shingle sets; ``component_id`` is the smallest id in the connected
+    component, ``kept`` says that the row has it.  Equal texts are one class
+    throughout and never compared.  Null text, no words: no shingles, no
+    links, a component of its own.  Rows with equal ids and texts are all kept
+    or all not (``drop_near_duplicates`` leaves one).
+    """
+    return _in_components(docs, shingle, percent, id_col, text).drop("_text_key", "_component")
+
+
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id",
                          text: str = "text") -> DataFrame:
-    """One document of each group, with the columns of ``docs``."""
+    """One document of each group, with the columns of ``docs``.
+
+    Documents that share an id, or have none, are as different as their texts:
+    one row of each component is left.  Texts without words are no group; there
+    only rows that repeat id and text count once.
+    """
     cols = docs.columns
-    kept = near_duplicates(docs, shingle, percent, id_col, text).filter("kept").select(*cols)
+    kept = _in_components(docs, shingle, percent, id_col, text).filter("kept")
     # only rows that repeat an id are left more than once
     repeated = docs.groupBy(id_col).agg(F.count("*").alias("_n")).filter("_n > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates([id_col])
+    if not repeated.isEmpty():
+        alone = F.col("_component").isNull()
+        kept = kept.withColumns({"_id": F.when(alone, F.col(id_col)), "_key": F.when(alone, F.col("_text_key"))})
+        kept = kept.dropDuplicates(["_component", "_id", "_key"])
+    return kept.select(*cols)

@@ -144,6 +144,16 @@ def test_near_duplicates(spark, texts, messy):
     assert by_id[2] == 2 and by_id[3] == 3 and by_id[7] == 7     # one shingle against two
 
 
+def test_drop_near_duplicates_null_and_shared_ids(spark):
+    words = lambda w: " ".join(f"{w}{i}" for i in range(30))
+    rows = [(None, words("a")), (None, words("b")), (None, words("b") + " more"), (5, words("c")), (5, words("d")),
+            (5, words("d")), (6, words("e")), (7, words("e")), (8, ""), (8, ""), (9, ""), (None, None)]
+    got = near_dedup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    left = sorted((r["doc_id"] or 0, (r["text"] or "")[:2]) for r in got)
+    print("left", left)
+    assert left == [(0, ""), (0, "a0"), (0, "b0"), (5, "c0"), (5, "d0"), (6, "e0"), (8, ""), (9, "")]
+
+
 def test_posterior_bound():
     need = near_dedup.fewest_matches(0.8, near_dedup.MISS)
     assert need[0] == 0 and list(need) == sorted(need) and need[-1] < 0.8 * len(need)
