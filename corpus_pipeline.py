@@ -17,11 +17,11 @@ from evalframe.sources.tables import read_table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop texts without a letter, and those that no language explains better
-    than letters at random."""
+    """Drop texts without a letter, and those long enough to tell that no
+    language explains them better than letters at random."""
     parser = language.fit(docs.filter(F.col("doc_id").isNotNull() & ~language.held_out("doc_id")))
-    scored = language.predict(docs, parser)
-    return scored.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("bits") < parser.letter_bits)).select(*docs.columns)
+    scored = language.predict(docs, parser, foreign="_foreign")
+    return scored.filter((F.col("lang_pred") != language.UNKNOWN) & ~F.col("_foreign")).select(*docs.columns)
 
 
 def near_dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

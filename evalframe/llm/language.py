@@ -31,6 +31,7 @@ SAMPLE_CHARS = 20_000      # bound of the training sample, for each language
 SAMPLE_DOCS = 24           # documents drawn for it, for each language
 MAX_LANGUAGES = 500        # beyond, the labels are not languages: an error
 UNKNOWN = "und"
+MARGIN = 16                # phrases beyond letters at random before a text counts as foreign
 
 
 class Parser:
@@ -107,8 +108,8 @@ class Parser:
                     table[state, c] = 4 * q * a
         return table.ravel()
 
-    def parse(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(bits a symbol for each text and language, number of letters)."""
+    def parse(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bits a symbol for each text and language, number of letters, of symbols)."""
         sym = [self.symbols(t.lower()) for t in texts]
         sizes = np.array([s.size for s in sym])
         letters = np.array([int(np.count_nonzero(s)) for s in sym])
@@ -136,31 +137,35 @@ class Parser:
             phrases += state > 0
             total = np.bincount(owner, phrases, minlength=len(sym))
             bits[:, k] = total * self.log_n[k] / np.maximum(sizes, 1)
-        return bits, letters
+        return bits, letters, sizes
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float | None]]:
-        """Language, score and bits a symbol of each text."""
-        langs, scores, best_bits = [], [], []
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float | None], list[bool]]:
+        """Language, score and bits a symbol of each text, and whether it is
+        foreign: the best language needs more bits for it than letters at
+        random, by ``MARGIN`` phrases.  Short texts cannot reach the margin."""
+        langs, scores, best_bits, foreign = [], [], [], []
         at = 0
         while at < len(texts):
             to, total = at, 0
             while to < len(texts) and (to == at or total + len(texts[to] or "") <= BLOCK):
                 total += len(texts[to] or "")
                 to += 1
-            bits, letters = self.parse([t or "" for t in texts[at:to]])
-            for row, n in zip(bits, letters):
+            bits, letters, sizes = self.parse([t or "" for t in texts[at:to]])
+            for row, n, size in zip(bits, letters, sizes):
                 if n == 0 or row.size == 0:
                     langs.append(UNKNOWN)
                     scores.append(0.0)
                     best_bits.append(None)
+                    foreign.append(False)
                     continue
                 k = int(np.argmin(row))
                 other = np.delete(row, k).min() if row.size > 1 else math.log2(max(2, self.size))
                 langs.append(self.names[k])
                 scores.append(float(min(1.0, max(0.0, 1.0 - row[k] / other))) if other > 0 else 0.0)
                 best_bits.append(float(row[k]))
+                foreign.append(bool((row[k] - self.letter_bits) * size > MARGIN * self.log_n[k]))
             at = to
-        return langs, scores, best_bits
+        return langs, scores, best_bits, foreign
 
     @property
     def letter_bits(self) -> float:
@@ -190,25 +195,29 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", lang: s
     return Parser({k: "\n".join(v) for k, v in samples.items()}, sample_chars)
 
 
-def predict(docs: DataFrame, parser: Parser, text: str = "text") -> DataFrame:
+def predict(docs: DataFrame, parser: Parser, text: str = "text", foreign: str | None = None) -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` (0 to 1: how far behind the
     second language is) and ``bits`` (a symbol, of the winner).
 
     Null text or text without a letter: ``und``, score 0, null bits; so is
     everything if there was nothing to learn from.  Columns that clash with
     the results are replaced, all others are passed on untouched.
+    ``foreign`` names one more column: is the text long enough to tell that no
+    language explains it (``Parser.predict``)?
     """
-    docs = docs.drop("lang_pred", "score", "bits")
+    docs = docs.drop("lang_pred", "score", "bits", *([foreign] if foreign else []))
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()),
-                           T.StructField("score", T.DoubleType()), T.StructField("bits", T.DoubleType())])
+                           T.StructField("score", T.DoubleType()), T.StructField("bits", T.DoubleType()),
+                           *([T.StructField(foreign, T.BooleanType())] if foreign else [])])
     shared = docs.sparkSession.sparkContext.broadcast(parser)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs, scores, bits = shared.value.predict(b.column(text).to_pylist())
+            langs, scores, bits, beyond = shared.value.predict(b.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(bits, pa.float64())],
-                names=[*b.schema.names, "lang_pred", "score", "bits"])
+                [*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(bits, pa.float64()),
+                 *([pa.array(beyond, pa.bool_())] if foreign else [])],
+                names=[*b.schema.names, "lang_pred", "score", "bits", *([foreign] if foreign else [])])
 
     return docs.mapInArrow(run, schema)
 

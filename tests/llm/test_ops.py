@@ -170,6 +170,17 @@ def test_language(spark, docs, messy):
     assert {r["lang_pred"] for r in language.predict(messy, language.fit(messy.limit(0))).collect()} == {"und"}
 
 
+def test_language_stage_keeps_clean_documents(spark, docs):
+    short = [(-1, "A."), (-2, "A.\nAll rights reserved."), (-3, "mail bob.k@example.org, token 40d78a45c41"), (-4, "Q Xz")]
+    foreign = [(-5, "".join(chr(0x4E00 + 37 * i) for i in range(60))), (-6, "12 34")]
+    df = docs.select("doc_id", "text", "lang").unionByName(
+        spark.createDataFrame([(i, t, None) for i, t in short + foreign], "doc_id long, text string, lang string"))
+    kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, df, SF_SMALL).select("doc_id").collect()}
+    want = {r["doc_id"] for r in docs.collect() if any(c.isalpha() for c in r["text"] or "")} | {i for i, _ in short}
+    print("lost", sorted(want - kept))
+    assert kept == want
+
+
 def test_ann_recall(spark):
     e = read_table(spark, SF_SMALL, "embeddings").toPandas()
     x, ids = np.stack(e["embedding"]).astype(float), e["vec_id"].to_numpy()
