@@ -9,7 +9,9 @@ signature of the characters (an edit flips two bits at most) drops nearly all
 chance meetings inside the join; the rest is verified by a banded
 bit-parallel edit distance.
 
-Lines shorter than ``MIN_CHARS`` are classes of equal lines only.
+Lines are near copies when both have ``MIN_CHARS`` characters and at most
+``EDITS`` edits between them (2 in 24).  Shorter ones are classes of equal lines
+only: two edits make another word of them, and classes are transitive.
 """
 
 from __future__ import annotations

@@ -234,6 +234,17 @@ def test_line_dedup(spark, texts, messy):
     assert len(out) == len(MESSY) and all(r["text"] is None for r in out if r["doc_id"] == 2)
 
 
+def test_line_rule_over_all_lengths(spark):
+    """Against brute force that leaves no line out: two edits, both lines of 24 characters."""
+    base = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, base[:n]) for i, n in enumerate(range(1, 27))]
+    rows += [(100 + i, t) for i, t in enumerate(["And.", "On.", "Con.", "And.", base[1:25], base[:23] + "!", base[2:] + "!"])]
+    near = lambda a, b: min(len(a), len(b)) >= 24 and brute.edit_distance(a, b) <= 2
+    want = brute.repeated_lines(rows, 2, 1, near)
+    got = line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["line_no"]): (r["first_doc"], r["first_line"]) for r in got} == want
+
+
 def test_banded_edit_distance():
     rng = np.random.default_rng(5)
     pairs = []
