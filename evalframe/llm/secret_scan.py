@@ -93,3 +93,14 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, text: str = "text",
     out = docs.join(per_blob, "blob", "left").withColumn(
         "secret_spans", F.coalesce("secret_spans", F.expr(f"cast(array() as {SPAN_TYPE})")))
     return out, scanned
+
+
+def scan_with_ledger(docs: DataFrame, path: str, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``scan`` against the ledger table (Parquet) at ``path``, to which the
+    rows of this scan are appended; the first scan makes it."""
+    spark = docs.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    known = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    out, scanned = scan(docs, spark.read.schema(LEDGER_SCHEMA).parquet(path) if known else None, text, rules)
+    scanned.write.mode("append").parquet(path)
+    return out

@@ -80,6 +80,19 @@ def test_ledger_scans_only_unseen_pairs(messy):
     assert {(r["rule"], r["version"]) for r in more.collect()} == {("hex", 2)}
 
 
+def test_ledger_table(spark, messy, tmp_path):
+    path = str(tmp_path / "ledger")
+    pairs = lambda: sorted((r["blob"], r["rule"]) for r in spark.read.parquet(path).collect())
+    spans = lambda df: sorted(map(str, df.select("doc_id", "secret_spans").collect()))
+    secret_scan.scan_with_ledger(messy.limit(3), path)
+    few = pairs()
+    out = secret_scan.scan_with_ledger(messy, path)
+    blobs = {r["blob"] for r in out.select("blob").collect()}
+    assert spans(out) == spans(secret_scan.scan(messy)[0])
+    assert 0 < len(few) < len(pairs()) == len(set(pairs())) == len(blobs) * len(secret_scan.RULES)
+    assert spans(secret_scan.scan_with_ledger(messy, path)) == spans(out) and len(pairs()) == len(set(pairs()))
+
+
 def test_sharding(spark, docs, messy):
     got = sharding.shard_documents(docs).toPandas()
     counts = got.groupby("shard").size()
