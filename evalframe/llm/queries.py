@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evalframe.llm import (ann, decontam, language, license_scan, line_dedup, mixing, near_dedup, pii, secret_scan,
-                           sharding)
+from evalframe.llm import (ann, clustering, decontam, filter_audit, imatch, language, license_scan, line_dedup, mixing,
+                           near_dedup, oracles, pii, secret_scan, sharding)
+from evalframe.llm._order import in_ranges
 from evalframe.llm._spans import joined
 from evalframe.llm._store import stored
 from evalframe.sources.tables import read_table
@@ -97,7 +98,37 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I-Match fingerprints of every document and of its edited text (second half from the next document)."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    lexicon = imatch.fit_lexicon(docs)
+    rows = in_ranges(docs, "doc_id", "text")
+    n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
+    edited = F.when(~F.col("guest"), F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)))
+    rows = rows.select("bucket", "pos", "guest", "id", "text", n.cast("long").alias("n_chars"), edited.alias("edited"))
+    rows = rows.withColumn("edited_sha256", F.sha2("edited", 256))
+    fps = imatch.fingerprint(rows, lexicon, ["bucket", "pos"], {"fp": "text", "edited_fp": "edited"})
+    fps = fps.withColumn("next_fp", F.lead("fp").over(Window.partitionBy("bucket").orderBy("pos"))).filter(~F.col("guest"))
+    return fps.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", imatch.shown(F.col("fp")).alias("fingerprint"),
+                      imatch.shown(F.col("edited_fp")).alias("edited_fingerprint"),
+                      imatch.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
+                      imatch.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """16 clusters of all embeddings after three rounds."""
+    assigned, centroids = clustering.cluster(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return clustering.describe(assigned, centroids).select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove of each language, in all 120 orders."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return filter_audit.audit(filter_audit.text_masks(docs, read_table(spark, sf_dir, "labels")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_pii, op3_secret_scan, op4_sharding, op5_decontaminate, op6_near_dedup, op7_language, op8_ann,
-    op9_line_dedup, op10_mixing)}
-ORACLES: dict[str, str] = {}
+    op9_line_dedup, op10_mixing, op11_imatch, op12_clusters, op13_filter_audit)}
+ORACLES: dict[str, str] = {"op12_clusters": oracles.CLUSTERS, "op13_filter_audit": oracles.FILTER_AUDIT}
