@@ -55,9 +55,9 @@ def _number_text(df: DataFrame, col: str) -> Column:
 
 
 def positive_labels(df: DataFrame, keys, numeric: bool, label_cols=("y_true", "y_pred"),
-                    on_invalid: str = "error") -> DataFrame:
+                    on_invalid: str = "error", weight: str | None = None) -> DataFrame:
     """P3 + V8: one row per run with ``n_labels``, ``positive_label``,
-    ``negative_label``.
+    ``negative_label``.  ``weight``: a column of row counts (of a table of counts).
 
     Labels are the union of the label columns; a missing label counts as one
     more.  Exactly two are required: ``on_invalid='error'`` fails the job naming the run, ``'null'``
@@ -67,14 +67,15 @@ def positive_labels(df: DataFrame, keys, numeric: bool, label_cols=("y_true", "y
     order for numeric sources, text order otherwise).
     """
     keys = as_list(keys)
-    stacked = df.select(*keys, F.explode(F.array(*[F.col(c) for c in label_cols])).alias("label"))
+    rows = F.col(weight) if weight else F.lit(1)
+    stacked = df.select(*keys, rows.alias("_n"), F.explode(F.array(*[F.col(c) for c in label_cols])).alias("label"))
     # partial aggregation collapses the rows to distinct labels per task
-    distinct = stacked.select(*keys, "label").distinct()
+    distinct = stacked.groupBy(*keys, "label").agg(F.sum("_n").alias("_n"))
     cands = F.array(*[F.lit(x) for x in POSITIVE_CANDIDATES])
     rank = F.array_position(cands, F.col("label"))
     as_num = F.col("label").try_cast("double")
     aggs = [
-        F.count(F.lit(1)).alias("n_labels"),
+        F.count(F.lit(1)).alias("n_labels"), (F.sum("_n") / len(label_cols)).cast("long").alias("n_rows"),
         F.min(F.when(rank > 0, rank)).alias("_rank"),
         F.max("label").alias("_max_text"),
         F.min("label").alias("_min_text"),
@@ -97,7 +98,8 @@ def positive_labels(df: DataFrame, keys, numeric: bool, label_cols=("y_true", "y
     if on_invalid == "error":
         msg = F.concat(F.lit("binary metrics need exactly two labels; run "),
                        F.to_json(F.struct(*keys)) if keys else F.lit("(all)"),
-                       F.lit(" has "), F.col("n_labels").cast("string"))
+                       F.lit(" has "), F.col("n_labels").cast("string"), F.lit(" in "), F.col("n_rows").cast("string"),
+                       F.lit(" rows"))
         per_run = per_run.withColumn("positive_label",
                                      F.when(ok, F.col("positive_label")).otherwise(F.raise_error(msg).cast("string")))
     elif on_invalid == "null":
@@ -106,25 +108,6 @@ def positive_labels(df: DataFrame, keys, numeric: bool, label_cols=("y_true", "y
     return per_run.select(*keys, "n_labels", "positive_label", "negative_label")
 
 
-def resolve_label_set(labels: Column, numeric: bool) -> tuple[Column, Column, Column]:
-    """P3 on an array of distinct non-null labels: (n_labels, positive,
-    negative) expressions, same rule as ``positive_labels``."""
-    cands = F.array(*[F.lit(x) for x in POSITIVE_CANDIDATES])
-    n = F.size(labels)
-    rk = F.array_min(F.filter(F.transform(labels, lambda x: F.array_position(cands, x)), lambda r: r > 0))
-    cand = F.when(rk.isNotNull(), F.element_at(cands, rk.cast("int")))
-    max_text, min_text = F.array_max(labels), F.array_min(labels)
-    if numeric:
-        one = F.try_element_at(F.filter(labels, lambda x: x.try_cast("double") == 1.0), F.lit(1))
-        max_num = F.aggregate(labels, F.try_element_at(labels, F.lit(1)),
-                              lambda acc, x: F.when(x.try_cast("double") > acc.try_cast("double"), x).otherwise(acc))
-        pos = F.coalesce(one, cand, max_num)
-    else:
-        pos = F.coalesce(cand, max_text)
-    neg = F.when(pos == max_text, min_text).otherwise(max_text)
-    return n, pos, neg
-
-
 def check_binary(preds: DataFrame, keys, label_cols=("y_true", "y_pred")) -> DataFrame:
     """V8: runs whose label union does not have exactly two values."""
     canon, numeric = canonical_predictions(preds, label_cols)

@@ -1,30 +1,30 @@
 """Classification and fairness metrics per run (A1-A10).
 
-Two aggregations over the prediction table do all the heavy work, both with
-map-side partial aggregation so a hot run never lands whole in one task:
-
-* the contingency table ``(keys, y_true, y_pred, sensitive) -> n`` feeds
-  labels, confusion counts, accuracy, balanced accuracy, F1, group
-  selection rates, demographic parity and equal opportunity;
-* the score table ``(keys, y_true, y_prob) -> n`` feeds the exact ROC AUC
-  through bucketed running sums (``ranking.prefix_sums``).
-
-Everything after those two aggregations is per run or per (run, group) and
-small.
+One aggregation over the prediction table does the heavy work, with map-side
+partial aggregation so that a hot run never lands whole in one task: the count
+table ``(keys, y_true, y_pred, sensitive, y_prob) -> n``.  From its shuffled
+rows come both
+
+* the contingency table ``(keys, y_true, y_pred, sensitive) -> n``: labels,
+  confusion counts, accuracy, balanced accuracy, F1, group selection rates,
+  demographic parity and equal opportunity;
+* the score table ``(keys, y_prob) -> pos, neg``: the exact ROC AUC through
+  running sums over ranges cut at quantiles of the scores
+  (``ranking.ranked_sums``).
+
+The two labels of a run are found by counting its distinct labels, so a label
+column that is not binary costs a count and an error, not a set in memory.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalframe.functions.columns import nan_to_null
 from evalframe.operators._keys import as_list, join_on_keys
-from evalframe.operators.labels import canonical_predictions, resolve_label_set
-from evalframe.operators.ranking import prefix_sums, unit_interval_bucket
-
-AUC_PLAIN_MAX_ROWS = 500_000   # runs up to this size sort their scores in one window task
-AUC_BUCKETS = 1 << 16
+from evalframe.operators.labels import canonical_predictions, positive_labels
+from evalframe.operators.ranking import range_cuts, ranked_sums
 
 METRICS = (
     "accuracy", "balanced_accuracy", "f1", "roc_auc",
@@ -38,79 +38,71 @@ def _ratio(num, den):
     return F.when(den != 0, num.cast("double") / den.cast("double"))
 
 
-def contingency(preds: DataFrame, keys, sensitive: str | None = "sensitive") -> DataFrame:
-    """(keys, y_true, y_pred, sensitive) -> n.  Rows are canonical text labels."""
+def contingency(preds: DataFrame, keys, sensitive: str | None = "sensitive", score: bool = False) -> DataFrame:
+    """(keys, y_true, y_pred, sensitive[, y_prob]) -> n.  Rows are canonical text labels."""
     keys = as_list(keys)
-    cols = [*keys, "y_true", "y_pred"]
-    p = preds
-    if sensitive and sensitive in preds.columns:
-        p = p.withColumn("sensitive", F.col(sensitive).cast("string"))
-    else:
-        p = p.withColumn("sensitive", F.lit(None).cast("string"))
-    return p.groupBy(*cols, "sensitive").agg(F.count(F.lit(1)).alias("n"))
-
-
-def _runs(preds: DataFrame, keys, positive: str | None, sensitive: str | None):
-    """One linear chain over the contingency table:
-
-    contingency aggregate (the only pass over the predictions) -> label set
-    of each run by a window over that run's few contingency rows -> per
-    (run, group) counts -> per run counts, rates and disparities.  The window
-    and both aggregates share the hash partitioning on ``keys``.
-
-    Returns (canonical predictions, per-group table, per-run table)."""
+    has = sensitive and sensitive in preds.columns
+    p = preds.withColumn("sensitive", F.col(sensitive).cast("string") if has else F.lit(None).cast("string"))
+    if score:
+        p = p.withColumn("y_prob", nan_to_null(F.col("y_prob").cast("double")))
+    return p.groupBy(*keys, "y_true", "y_pred", "sensitive", *(["y_prob"] if score else [])).agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+def _labels(counts: DataFrame, keys, numeric: bool, positive: str | None) -> DataFrame:
+    """One row per run: positive_label and negative_label; an error for a run that has not
+    exactly two labels (a missing one is a third)."""
+    found = positive_labels(counts, keys, numeric, weight="n")
+    if positive is None:
+        return found
+    given = F.lit(str(positive))
+    other = F.when(F.col("negative_label") == given, F.col("positive_label")).otherwise(F.col("negative_label"))
+    return found.withColumn("negative_label", other).withColumn(
+        "positive_label", F.when(F.col("positive_label").isNotNull(), given))
+
+
+def _runs(preds: DataFrame, keys, positive: str | None, sensitive: str | None, score: bool = False):
+    """Count table -> labels of each run -> per (run, group) counts -> per run counts,
+    rates and disparities.
+
+    Returns (count table, labels, per-group table, per-run table)."""
     keys = as_list(keys)
     canon, numeric = canonical_predictions(preds)
-    ct = contingency(canon, keys, sensitive)
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    labels = F.array_distinct(F.array_union(F.collect_set("y_true").over(w), F.collect_set("y_pred").over(w)))
-    n_labels, pos, neg = resolve_label_set(F.col("_labels"), numeric)
-    n_labels = n_labels + F.col("_missing")       # a missing label is a third one: an error, as in check_binary
-    if positive is not None:
-        pos = F.lit(str(positive))
-        neg = F.try_element_at(F.filter(F.col("_labels"), lambda x: x != F.lit(str(positive))), F.lit(1))
-    missing = F.max((F.col("y_true").isNull() | F.col("y_pred").isNull()).cast("int")).over(w)
-    j = (ct.withColumns({"_labels": labels, "_missing": missing})
-           .select(*keys, "sensitive", "n", n_labels.alias("n_labels"), pos.alias("positive_label"),
-                   neg.alias("negative_label"),
-                   (F.col("y_true") == pos).alias("t_pos"), (F.col("y_pred") == pos).alias("p_pos")))
+    counts = contingency(canon, keys, sensitive, score)
+    ct = counts
+    if score:
+        ct = counts.groupBy(*keys, "y_true", "y_pred", "sensitive").agg(F.sum("n").alias("n"))
+    labels = _labels(counts, keys, numeric, positive)
+    j = join_on_keys(ct, labels, keys)
+    pos = F.col("positive_label")
+    j = j.withColumns({"t_pos": F.col("y_true") == pos, "p_pos": F.col("y_pred") == pos})
     n, t, p = F.col("n"), F.col("t_pos"), F.col("p_pos")
 
     def _sum(cond):
         return F.sum(F.when(cond, n).otherwise(0)).cast("long")
 
     groups = j.groupBy(*keys, "sensitive").agg(
-        F.max("n_labels").alias("n_labels"), F.max("positive_label").alias("positive_label"),
-        F.max("negative_label").alias("negative_label"),
         F.sum(n).cast("long").alias("group_n"), _sum(p).alias("pred_pos"), _sum(t).alias("actual_pos"),
         _sum(t & p).alias("tp"), _sum(~t & p).alias("fp"), _sum(~t & ~p).alias("tn"), _sum(t & ~p).alias("fn"))
     real = F.col("sensitive").isNotNull()
     rate = F.when(real, _ratio(F.col("pred_pos"), F.col("group_n")))
     tpr = F.when(real, _ratio(F.col("tp"), F.col("actual_pos")))
     runs = groups.groupBy(*keys).agg(
-        F.max("n_labels").alias("n_labels"), F.max("positive_label").alias("positive_label"),
-        F.max("negative_label").alias("negative_label"),
         *[F.sum(c).cast("long").alias(c) for c in ("tp", "fp", "tn", "fn")],
         F.sum("group_n").cast("long").alias("n"),
         F.count(rate).alias("_n_rate"), (F.max(rate) - F.min(rate)).alias("_dpd"),
         F.count(tpr).alias("_n_tpr"), (F.max(tpr) - F.min(tpr)).alias("_eod"))
-    msg = F.concat(F.lit("binary metrics need exactly two labels; run "),
-                   F.to_json(F.struct(*keys)) if keys else F.lit("(all)"),
-                   F.lit(" has "), F.col("n_labels").cast("string"))
     runs = runs.select(
-        *keys, "n_labels",
-        F.when(F.col("n_labels") == 2, F.col("positive_label"))
-         .otherwise(F.raise_error(msg).cast("string")).alias("positive_label"),
-        "negative_label", "tp", "fp", "tn", "fn", "n",
+        *keys, "tp", "fp", "tn", "fn", "n",
         F.when(F.col("_n_rate") >= 2, F.col("_dpd")).otherwise(0.0).alias("demographic_parity_difference"),
         F.when(F.col("_n_tpr") >= 2, F.col("_eod")).otherwise(0.0).alias("equal_opportunity_difference"))
-    return canon, groups, runs
+    return counts, labels, groups, runs
 
 
 def confusion(preds: DataFrame, keys, positive: str | None = None) -> DataFrame:
     """A1: TP, FP, TN, FN and n per run."""
     keys = as_list(keys)
-    _, _, runs = _runs(preds, keys, positive, None)
+    _, _, _, runs = _runs(preds, keys, positive, None)
     return runs.select(*keys, "tp", "fp", "tn", "fn", "n")
 
 
@@ -129,7 +121,7 @@ def binary_metrics(preds: DataFrame, keys, positive: str | None = None) -> DataF
     """A2-A4: accuracy, balanced accuracy (mean recall over classes present in
     y_true), F1 of the positive label (0 when undefined)."""
     keys = as_list(keys)
-    _, _, runs = _runs(preds, keys, positive, None)
+    _, _, _, runs = _runs(preds, keys, positive, None)
     return _binary_from_confusion(runs, keys)
 
 
@@ -138,7 +130,7 @@ def group_rates(preds: DataFrame, keys, positive: str | None = None,
     """Per run and sensitive group: n, selection rate, TPR (NULL without
     actual positives).  NULL sensitive values form no group."""
     keys = as_list(keys)
-    _, groups, _ = _runs(preds, keys, positive, sensitive)
+    _, _, groups, _ = _runs(preds, keys, positive, sensitive)
     g = groups.where(F.col("sensitive").isNotNull())
     return g.select(*keys, "sensitive", F.col("group_n").alias("n"),
                     _ratio(F.col("pred_pos"), F.col("group_n")).alias("selection_rate"),
@@ -149,7 +141,7 @@ def demographic_parity(preds: DataFrame, keys, positive: str | None = None,
                        sensitive: str = "sensitive") -> DataFrame:
     """Max - min selection rate over non-null groups; fewer than two groups -> 0.0."""
     keys = as_list(keys)
-    _, _, runs = _runs(preds, keys, positive, sensitive)
+    _, _, _, runs = _runs(preds, keys, positive, sensitive)
     return runs.select(*keys, "demographic_parity_difference")
 
 
@@ -157,26 +149,25 @@ def equal_opportunity(preds: DataFrame, keys, positive: str | None = None,
                       sensitive: str = "sensitive") -> DataFrame:
     """Max - min TPR over groups that have actual positives; fewer than two -> 0.0."""
     keys = as_list(keys)
-    _, _, runs = _runs(preds, keys, positive, sensitive)
+    _, _, _, runs = _runs(preds, keys, positive, sensitive)
     return runs.select(*keys, "equal_opportunity_difference")
 
 
-def _auc(canon: DataFrame, labels: DataFrame, keys, resolution: int | None) -> DataFrame:
+def _auc(counts: DataFrame, labels: DataFrame, keys) -> DataFrame:
     """Exact ROC AUC, ties counted half:
     sum_s pos(s) * (2 * neg_below(s) + neg(s)) / (2 * P * N).
     NULL when a run has one class in y_true or any missing score."""
-    scores = canon.groupBy(*keys, "y_true", "y_prob").agg(F.count(F.lit(1)).alias("n"))
-    j = join_on_keys(scores, labels.select(*keys, "positive_label"), keys)
-    j = j.withColumn("is_pos", F.col("y_true") == F.col("positive_label"))
+    j = join_on_keys(counts, labels.select(*keys, "positive_label"), keys)
     # one chain: rows without a score stay as their own (NULL) score group,
     # contribute nothing to the running sums and are counted as missing
     has = F.col("y_prob").isNotNull()
+    is_pos = F.col("y_true") == F.col("positive_label")
     per_score = (j.groupBy(*keys, "y_prob")
-                  .agg(F.sum(F.when(F.col("is_pos"), F.col("n")).otherwise(0)).cast("long").alias("pos"),
-                       F.sum(F.when(~F.col("is_pos"), F.col("n")).otherwise(0)).cast("long").alias("neg"))
+                  .agg(F.sum(F.when(is_pos, F.col("n")).otherwise(0)).cast("long").alias("pos"),
+                       F.sum(F.when(~is_pos, F.col("n")).otherwise(0)).cast("long").alias("neg"))
                   .withColumn("neg_nn", F.when(has, F.col("neg")).otherwise(F.lit(0).cast("long"))))
-    bucket = None if resolution is None else unit_interval_bucket("y_prob", resolution)
-    ranked = prefix_sums(per_score, keys, "y_prob", "neg_nn", bucket)
+    # the cuts are taken from the count table, whose shuffled rows are at hand
+    ranked = ranked_sums(per_score, keys, "y_prob", "neg_nn", cuts=range_cuts(counts, "y_prob", F.sum("n")))
     dec = "decimal(38,0)"
     term = F.col("pos").cast(dec) * (F.col("neg_nn_below").cast(dec) * 2 + F.col("neg").cast(dec))
     t = ranked.groupBy(*keys).agg(
@@ -189,45 +180,27 @@ def _auc(canon: DataFrame, labels: DataFrame, keys, resolution: int | None) -> D
     return t.select(*keys, auc.alias("roc_auc"))
 
 
-def _choose_resolution(runs: DataFrame, resolution):
-    """``'auto'``: cache the (one row per run) table, read the largest run and
-    split the score window into buckets only if some run exceeds
-    ``AUC_PLAIN_MAX_ROWS``.  The cached table is reused by the rest of the
-    plan, so the predictions are still aggregated once for counts."""
-    if resolution != "auto":
-        return runs, resolution
-    runs = runs.persist()
-    biggest = runs.agg(F.max("n")).first()[0] or 0
-    return runs, (AUC_BUCKETS if biggest > AUC_PLAIN_MAX_ROWS else None)
-
-
-def roc_auc(preds: DataFrame, keys, positive: str | None = None, resolution: int | str | None = "auto") -> DataFrame:
-    """A5: exact ROC AUC per run (``resolution``: number of score buckets,
-    ``None`` for one plain window per run, ``'auto'`` to decide by run size)."""
+def roc_auc(preds: DataFrame, keys, positive: str | None = None) -> DataFrame:
+    """A5: exact ROC AUC per run."""
     keys = as_list(keys)
-    canon, _, runs = _runs(preds, keys, positive, None)
-    runs, resolution = _choose_resolution(runs, resolution)
-    return _auc(canon.withColumn("y_prob", nan_to_null(F.col("y_prob").cast("double"))), runs, keys, resolution)
+    canon, numeric = canonical_predictions(preds)
+    counts = contingency(canon, keys, None, score=True)
+    return _auc(counts, _labels(counts, keys, numeric, positive), keys)
 
 
-def evaluate(preds: DataFrame, keys, positive: str | None = None,
-             sensitive: str | None = "sensitive", resolution: int | str | None = "auto") -> DataFrame:
+def evaluate(preds: DataFrame, keys, positive: str | None = None, sensitive: str | None = "sensitive") -> DataFrame:
     """The six metrics of every run.
 
     ``preds`` has the key columns, ``y_true``, ``y_pred``, ``y_prob`` (may be
     NULL -> roc_auc NULL) and optionally the ``sensitive`` column (absent ->
-    disparities 0.0).  Two aggregations read the predictions: the
-    contingency chain (``_runs``) and the score table (``_auc``).
+    disparities 0.0).
     """
     keys = as_list(keys)
     if sensitive and sensitive not in preds.columns:
         sensitive = None
-    canon, _, runs = _runs(preds, keys, positive, sensitive)
-    runs, resolution = _choose_resolution(runs, resolution)
-    canon = canon.withColumn("y_prob", nan_to_null(F.col("y_prob").cast("double")))
+    counts, labels, _, runs = _runs(preds, keys, positive, sensitive, score=True)
     binary = _binary_from_confusion(runs, keys, ["demographic_parity_difference", "equal_opportunity_difference"])
-    auc = _auc(canon, runs, keys, resolution)
-    return join_on_keys(binary, auc, keys).select(*keys, *METRICS)
+    return join_on_keys(binary, _auc(counts, labels, keys), keys).select(*keys, *METRICS)
 
 
 def mean_over_folds(run_metrics: DataFrame, keys, metrics=METRICS, prefix: str = "mean_") -> DataFrame:

@@ -3,8 +3,9 @@
 Pairs are built with one unpivot and one conditional aggregation (no
 self-join): rows of the two methods meet in the same group of the
 experimental identity.  Tests group pairs by any test keys, so one job runs
-every comparison family of every study.  Signed ranks use bucketed running
-counts, so a test with millions of pairs is spread over many tasks; only the
+every comparison family of every study.  Signed ranks use running counts over
+ranges cut at each test's own quantiles, so a test with millions of pairs is
+spread over many tasks; only the
 exact Wilcoxon branch collects ranks, and only for tests with n <= 50.
 """
 
@@ -16,13 +17,11 @@ from pyspark.sql import functions as F
 from evalframe.functions.columns import effect_label, nan_to_null
 from evalframe.functions.pvalues import t_pvalue_udf, wilcoxon_p_udf
 from evalframe.operators._keys import as_list, join_on_keys
-from evalframe.operators import quantiles
-from evalframe.operators.quantiles import checked_groups, exact_quantiles
-from evalframe.operators.ranking import prefix_sums
+from evalframe.operators.quantiles import exact_quantiles
+from evalframe.operators.ranking import ranked_sums
 from evalframe.operators.summary import FAIRNESS_METRICS, PERFORMANCE_METRICS, RUNTIME_METRIC, unpivot_metrics
 
 EXACT_MAX_N = 50          # no ties and no zeros: exact distribution up to this n
-PLAIN_WINDOW_MAX_N = 500_000   # tests up to this size rank in one window task
 ENUMERATE_MAX_N = 13      # ties or zeros: full enumeration up to this n
 
 
@@ -62,24 +61,17 @@ def _finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf")))
 
 
-def paired_summary(pairs: DataFrame, test_keys, bounded: bool | None = None) -> DataFrame:
+def paired_summary(pairs: DataFrame, test_keys) -> DataFrame:
     """N, means, mean and median of right - left, t statistic
     (left - right convention, so t = -dz * sqrt(n)) and Cohen's dz; t and dz
     are NULL unless n >= 2 and the sd of the differences is > 0."""
     keys = as_list(test_keys)
     p = pairs.where(_finite(F.col("left_value")) & _finite(F.col("right_value")))
-    d = F.col("right_value") - F.col("left_value")
+    p = p.select(*keys, "left_value", "right_value", (F.col("right_value") - F.col("left_value")).alias("_d"))
     base = [F.count(F.lit(1)).cast("long").alias("n"),
             F.avg("left_value").alias("mean_left"), F.avg("right_value").alias("mean_right"),
-            F.avg(d).alias("mean_difference"), F.stddev_samp(d).alias("_sd")]
-    if bounded is None:             # measure the largest test (input materialised once)
-        p, bounded = checked_groups(p, keys)
-    if bounded:                     # a pooled test too large for one percentile buffer
-        g = join_on_keys(p.groupBy(*keys).agg(*base),
-                         exact_quantiles(p.select(*keys, d.alias("d")), keys, "d", [0.5],
-                                         names=["median_difference"]), keys)
-    else:
-        g = p.groupBy(*keys).agg(*base, F.median(d).alias("median_difference"))
+            F.avg("_d").alias("mean_difference"), F.stddev_samp("_d").alias("_sd")]
+    g = exact_quantiles(p, keys, "_d", [0.5], names=["median_difference"], carry=base)
     g = g.select(*keys, "n", "mean_left", "mean_right", "mean_difference", "median_difference", "_sd")
     ok = (F.col("n") >= 2) & (F.col("_sd") > 0)
     # 0 - mean (not -mean): a zero mean gives t = +0.0, as left - right does
@@ -89,29 +81,15 @@ def paired_summary(pairs: DataFrame, test_keys, bounded: bool | None = None) ->
              .drop("_sd"))
 
 
-def _abs_bucket(c: Column, per_octave: int = 16) -> Column:
-    """Monotone bucket of a positive magnitude: 1/16-octave bins of log2."""
-    return F.floor(F.log2(c) * per_octave).cast("long")
-
-
-def signed_ranks(pairs: DataFrame, test_keys, tie_decimals: int | None = None,
-                 bucketed: bool | None = None) -> DataFrame:
+def signed_ranks(pairs: DataFrame, test_keys, tie_decimals: int | None = None) -> DataFrame:
     """T5: Wilcoxon signed-rank statistic per test.
 
     Differences right - left (rounded to ``tie_decimals`` if given, before the zero and
     tie tests; ``None`` keeps them as computed).  Zeros are dropped, tied
     |d| share their average rank, W = min(W+, W-).  Output per test: n, m
     (non-zero count), w2 (= 2 W, an exact integer), tie_term (sum t^3 - t),
-    ties flag and the exact flag.
-
-    ``bucketed=None`` measures the largest test first (one small aggregate)
-    and splits the rank window into |d| buckets only when some test has more
-    than ``PLAIN_WINDOW_MAX_N`` pairs; design-sized tests rank in one window
-    each, which costs fewer stages."""
+    ties flag and the exact flag."""
     keys = as_list(test_keys)
-    if bucketed is None:
-        biggest = pairs.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-        bucketed = biggest > PLAIN_WINDOW_MAX_N
     p = pairs.where(_finite(F.col("left_value")) & _finite(F.col("right_value")))
     d = F.col("right_value") - F.col("left_value")
     if tie_decimals is not None:
@@ -122,8 +100,7 @@ def signed_ranks(pairs: DataFrame, test_keys, tie_decimals: int | None = None,
         F.count(F.lit(1)).cast("long").alias("cnt"), F.count_if(d > 0).cast("long").alias("cnt_pos"))
     nz = F.col("a") != 0
     per_abs = per_abs.withColumn("cnt_nz", F.when(nz, F.col("cnt")).otherwise(F.lit(0).cast("long")))
-    bucket = F.when(nz, _abs_bucket(F.col("a"))).otherwise(F.lit(None).cast("long")) if bucketed else None
-    ranked = prefix_sums(per_abs, keys, "a", "cnt_nz", bucket)
+    ranked = ranked_sums(per_abs, keys, "a", "cnt_nz")
     rank2 = F.col("cnt_nz_below") * 2 + F.col("cnt") + 1          # twice the average rank
     ranked = ranked.withColumn("rank2", F.when(nz, rank2))
     out = ranked.groupBy(*keys).agg(
@@ -145,12 +122,11 @@ def signed_ranks(pairs: DataFrame, test_keys, tie_decimals: int | None = None,
     return join_on_keys(out, lists, keys, "left")
 
 
-def wilcoxon(pairs: DataFrame, test_keys, tie_decimals: int | None = None,
-             bucketed: bool | None = None) -> DataFrame:
+def wilcoxon(pairs: DataFrame, test_keys, tie_decimals: int | None = None) -> DataFrame:
     """T5 + T6: W and its two-sided p per test.  All differences zero -> W 0,
     p 1; a single non-zero difference -> NULL."""
     keys = as_list(test_keys)
-    s = signed_ranks(pairs, keys, tie_decimals, bucketed)
+    s = signed_ranks(pairs, keys, tie_decimals)
     p = wilcoxon_p_udf(F.col("m"), F.col("w2"), F.col("tie_term"), F.col("exact"), F.col("ranks2"))
     return s.select(
         *keys,
@@ -161,13 +137,10 @@ def wilcoxon(pairs: DataFrame, test_keys, tie_decimals: int | None = None,
 def paired_tests(pairs: DataFrame, test_keys, tie_decimals: int | None = None) -> DataFrame:
     """T1-T6 in one table per test."""
     keys = as_list(test_keys)
-    # one measurement of the largest test decides both the median path and
-    # the rank-window split (the pair table is small next to its source)
-    biggest = pairs.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    summ = paired_summary(pairs, keys, bounded=biggest > quantiles.BUFFER_MAX_ROWS)
+    summ = paired_summary(pairs, keys)
     summ = summ.withColumn("t_pvalue", nan_to_null(t_pvalue_udf(F.col("t_statistic"),
                                                                 (F.col("n") - 1).cast("double"))))
-    w = wilcoxon(pairs, keys, tie_decimals, bucketed=biggest > PLAIN_WINDOW_MAX_N)
+    w = wilcoxon(pairs, keys, tie_decimals)
     out = join_on_keys(summ, w, keys, "left")
     return out.select(*keys, "n", "mean_left", "mean_right", "mean_difference", "median_difference",
                       "t_statistic", "t_pvalue", "wilcoxon_statistic", "wilcoxon_pvalue", "cohens_dz")
@@ -235,11 +208,8 @@ TEST_KEYS = ("comparison", "scope", "metric", "left_method", "right_method", "pa
 def run_comparisons(results: DataFrame, fairness_datasets: Column | None = None, study_keys=(),
                     tie_decimals: int | None = None, **kw) -> DataFrame:
     """Every paired test of every family (44 per study in the reference design)."""
-    from pyspark import StorageLevel
     study_keys = as_list(study_keys)
-    # the pair table feeds several aggregates with different column sets;
-    # persist it once instead of rebuilding it from the results per branch
-    pairs = comparison_pairs(results, fairness_datasets, study_keys, **kw).persist(StorageLevel.MEMORY_AND_DISK)
+    pairs = comparison_pairs(results, fairness_datasets, study_keys, **kw)
     return paired_tests(pairs, study_keys + list(TEST_KEYS), tie_decimals)
 
 

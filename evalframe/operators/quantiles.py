@@ -1,124 +1,123 @@
 """Exact quantiles and modes without holding a group in one task.
 
 Spark's exact ``percentile``/``median`` and ``mode`` aggregates keep a
-value -> count map of the whole group in one buffer; for a global group over
-a large table that is every distinct value in one task.  Here:
-
-* quantiles: ``percentile_approx`` gives, per group, a bracket [L, U] around
-  each wanted rank (its rank error is at most n/accuracy, the bracket is two
-  errors wide); one pass counts the values below L; only the distinct values
-  inside the bracket (about 4n/accuracy of them) are ranked, exactly, and the
-  two neighbours of the wanted position are interpolated linearly (as NumPy
-  and pandas do);
-* mode: a distributed ``groupBy(keys, value).count()`` followed by a hash
-  aggregate ``min_by`` that keeps the most frequent, smallest value.
+value -> count map of the whole group in one buffer.  Here a quantile is
+selected in two passes over the input, the same way at every size:
+
+1. a sketch (``percentile_approx``) gives each group brackets of falling width
+   around each wanted rank; the narrowest that is still wider than the
+   sketch's error and two positions is taken (a small group's is everything);
+2. one aggregate counts the rows below the bracket as one and those inside it
+   by value, so only a bracket's distinct values are shuffled.
+
+The distinct values of a bracket (at most about 30, or 4 / ACCURACY of the
+group's) are then ranked in a window that sorts and spills, and the two
+neighbours of the wanted position are interpolated linearly, as NumPy and
+pandas do.  The input is neither cached nor checkpointed.
+
+The mode is a distributed ``groupBy(keys, value).count()`` followed by a hash
+aggregate ``min_by`` that keeps the most frequent, smallest value.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalframe.functions.columns import nan_to_null
 from evalframe.operators._keys import as_list, join_on_keys
 
+ACCURACY = 10_000      # the sketch's rank error is at most n / ACCURACY
+WIDEN = 4.0            # ratio of the widths of two brackets
+
+
+def _widths(accuracy: int) -> list[float]:
+    """Half widths of the brackets, from twice the sketch's error up."""
+    first = 2.0 / accuracy
+    return [first * WIDEN ** j for j in range(max(1, math.ceil(math.log(1.0 / first, WIDEN))))]
+
+
+def _bracket(q: Column, n: Column, probs: list[float], k: int, accuracy: int) -> tuple[Column, Column]:
+    """(lower, upper) bound of the ``k``-th wanted value, infinite where the bracket ends beyond
+    the group.  ``q`` holds, for each probability and width, the two ends."""
+    widths = _widths(accuracy)
+    low, high = F.lit(-math.inf), F.lit(math.inf)
+    for j in reversed(range(len(widths))):
+        fits = n * (widths[j] - 1.0 / accuracy) >= 2        # two positions of margin beyond the error
+        at = 2 * (k * len(widths) + j)
+        lo = q[at] if probs[k] - widths[j] > 0 else F.lit(-math.inf)
+        hi = q[at + 1] if probs[k] + widths[j] < 1 else F.lit(math.inf)
+        low, high = F.when(fits, lo).otherwise(low), F.when(fits, hi).otherwise(high)
+    return low, high
+
 
-def exact_quantiles(df: DataFrame, keys, value: str, probs, names=None, accuracy: int = 10000) -> DataFrame:
-    """One row per group: ``keys`` + one column per probability (linear
-    interpolation between the order statistics at floor/ceil of (n-1)p).
-    NULL and NaN values are ignored; a group without values gets NULLs."""
+def exact_quantiles(df: DataFrame, keys, value: str, probs, names=None, accuracy: int = ACCURACY,
+                    carry=()) -> DataFrame:
+    """One row per group: ``keys``, the aggregates ``carry`` (taken in the first pass, over all
+    rows of the group) and one column per probability (linear interpolation between the order
+    statistics at floor/ceil of (n-1)p).  NULL and NaN values are ignored; a group without
+    values gets NULLs."""
     keys = as_list(keys)
     probs = [float(p) for p in probs]
     names = list(names) if names else [f"q{int(round(p * 100))}" for p in probs]
-    eps = 2.0 / accuracy
-    lo_p = [max(0.0, p - eps) for p in probs]
-    hi_p = [min(1.0, p + eps) for p in probs]
-    base = df.select(*keys, nan_to_null(F.col(value).cast("double")).alias("__v")).where(F.col("__v").isNotNull())
-    # distinct values with multiplicity: ties collapse before anything is ranked
-    counted = base.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))
-    # the sketch has bounded memory per group (set by ``accuracy``)
-    stats = base.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__n"),
-        F.percentile_approx("__v", [float(x) for x in lo_p + hi_p], accuracy).alias("__br"))
-    k = len(probs)
-    # groups of at most 4 * accuracy rows are ranked whole (the sketch's rank
-    # error can exceed one position there); above, the bracket keeps at least
-    # two positions of margin on both sides of the wanted order statistics
-    small = F.col("__n") <= 4 * accuracy
-    inf = F.lit(float("inf"))
-    stats = stats.withColumn("__br", F.array(
-        *[F.when(small, -inf).otherwise(F.col("__br")[i]) for i in range(k)],
-        *[F.when(small, inf).otherwise(F.col("__br")[k + i]) for i in range(k)]))
-    j = join_on_keys(counted, stats, keys)
-    below = j.groupBy(*keys).agg(*[F.sum(F.when(F.col("__v") < F.col("__br")[i], F.col("__c")).otherwise(0))
-                                   .alias(f"__b{i}") for i in range(k)])
-    # rows inside each bracket, tagged with the probability index
-    tags = F.filter(F.array(*[F.when((F.col("__v") >= F.col("__br")[i]) & (F.col("__v") <= F.col("__br")[k + i]),
-                                     F.lit(i)) for i in range(k)]), lambda x: x.isNotNull())
-    inside = j.select(*keys, "__v", "__c", "__n", F.explode(tags).alias("__i"))
-    w = Window.partitionBy(*keys, "__i").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = inside.withColumn("__before", F.coalesce(F.sum("__c").over(w), F.lit(0)))
-    ranked = join_on_keys(ranked, below, keys)
-    b = F.element_at(F.array(*[F.col(f"__b{i}") for i in range(k)]), (F.col("__i") + 1).cast("int"))
-    p = F.element_at(F.array(*[F.lit(x) for x in probs]), (F.col("__i") + 1).cast("int"))
-    pos = (F.col("__n") - 1) * p
-    lo, hi = F.floor(pos), F.ceil(pos)
-    first = b + F.col("__before")                   # 0-based rank of this value's first copy
-    last = first + F.col("__c") - 1
-    picked = ranked.select(
-        *keys, "__i", pos.alias("__pos"),
-        F.when((first <= lo) & (lo <= last), F.col("__v")).alias("__vlo"),
-        F.when((first <= hi) & (hi <= last), F.col("__v")).alias("__vhi"))
-    per = picked.groupBy(*keys, "__i").agg(F.max("__vlo").alias("__vlo"), F.max("__vhi").alias("__vhi"),
-                                           F.max("__pos").alias("__pos"))
-    frac = F.col("__pos") - F.floor(F.col("__pos"))
-    q = F.when(frac == 0, F.col("__vlo")).otherwise(F.col("__vlo") + (F.col("__vhi") - F.col("__vlo")) * frac)
-    missed = F.col("__vlo").isNull() | F.col("__vhi").isNull()
+    carry = list(carry)
+    v = nan_to_null(F.col(value).cast("double"))
+    ends = [min(1.0, max(0.0, p + side * w)) for p in probs for w in _widths(accuracy) for side in (-1, 1)]
+    stats = df.groupBy(*keys).agg(*carry, F.count(v).alias("__n"), F.percentile_approx(v, ends, accuracy).alias("__q"))
+    carried = [c for c in stats.columns if c not in (*keys, "__n", "__q")]
+    bounds = [_bracket(F.col("__q"), F.col("__n"), probs, k, accuracy) for k in range(len(probs))]
+    # what is known of a group travels with its few bracket rows, so that it is computed once
+    known = stats.select(*keys, *carried, "__n", *[b.alias(f"__{side}{k}") for k, pair in enumerate(bounds)
+                                                   for side, b in zip(("lo", "hi"), pair)])
+    j = join_on_keys(df.select(*keys, v.alias("__v")), known, keys)
+    nothing = F.lit(None).cast("double")
+    place = lambda k, x: F.struct(F.lit(k).alias("k"), x.alias("v"))
+    # below the bracket: counted without its value; above it: not needed; a group without values stays
+    places = F.array(*[F.when((F.col("__v") < F.col(f"__lo{k}")) | ((F.col("__n") == 0) & (k == 0)), place(k, nothing))
+                       .when(F.col("__v") <= F.col(f"__hi{k}"), place(k, F.col("__v"))) for k in range(len(probs))])
+    of_group = [*keys, *carried, "__n"]
+    met = (j.select(*of_group, F.explode(F.filter(places, lambda x: x.isNotNull())).alias("__p"))
+            .groupBy(*of_group, F.col("__p.k").alias("__k"), F.col("__p.v").alias("__v")).agg(F.count(F.lit(1)).alias("__c")))
+    # dealt by group once: the window and both aggregates below need no exchange of their own
+    met = met.repartition(*keys) if keys else met.repartition(1)
+    earlier = Window.partitionBy(*keys, "__k").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.coalesce(F.sum("__c").over(earlier), F.lit(0))
+    position = (F.col("__n") - 1) * F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("__k") + 1)
+    ranked = met.select(*of_group, "__k", "__v", first.alias("__first"), (first + F.col("__c") - 1).alias("__last"),
+                        F.floor(position).alias("__at"), F.ceil(position).alias("__next"), (position - F.floor(position)).alias("__frac"))
+    own = lambda at: F.when(F.col("__v").isNotNull() & (F.col("__first") <= F.col(at)) & (F.col(at) <= F.col("__last")), F.col("__v"))
+    picked = ranked.groupBy(*of_group, "__k").agg(F.max(own("__at")).alias("__vlo"), F.max(own("__next")).alias("__vhi"),
+                                                  F.max("__frac").alias("__frac"))
+    q = F.when(F.col("__frac") == 0, F.col("__vlo")).otherwise(
+        F.col("__vlo") + (F.col("__vhi") - F.col("__vlo")) * F.col("__frac"))
+    missed = (F.col("__n") > 0) & (F.col("__vlo").isNull() | F.col("__vhi").isNull())
     q = F.when(missed, F.raise_error(F.lit("quantile bracket missed the wanted rank")).cast("double")).otherwise(q)
-    wide = per.groupBy(*keys).agg(*[F.max(F.when(F.col("__i") == i, q)).alias(n) for i, n in enumerate(names)])
-    groups = df.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
-    return join_on_keys(groups, wide, keys, "left")
+    return picked.groupBy(*of_group).agg(*[F.max(F.when(F.col("__k") == k, q)).alias(n) for k, n in enumerate(names)]
+                                         ).select(*keys, *carried, *names)
 
 
 def mode(df: DataFrame, keys, value: str, out: str = "mode") -> DataFrame:
-    """Most frequent non-null value per group, smallest on ties."""
+    """Most frequent non-null value per group, smallest on ties; NULL for a group without values."""
     keys = as_list(keys)
-    c = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
-    best = F.min_by(F.col(value), F.struct((-F.col("__c")).alias("neg"), F.col(value).alias("v")))
-    m = c.groupBy(*keys).agg(best.alias(out))
-    groups = df.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
-    return join_on_keys(groups, m, keys, "left")
-
-
-BUFFER_MAX_ROWS = 1_000_000   # Spark's exact percentile is used only below this group size
-
-
-def needs_bounded(df: DataFrame, keys, limit: int | None = None) -> bool:
-    """True when some group has more than ``limit`` rows (one small aggregate
-    job).  Below the limit Spark's single-buffer exact ``percentile`` has a
-    proven size bound; above it ``exact_quantiles`` is used."""
-    keys = as_list(keys)
-    limit = BUFFER_MAX_ROWS if limit is None else limit
-    biggest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] if keys else df.count()
-    return (biggest or 0) > limit
-
+    c = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
+    seen = F.col(value).isNotNull()
+    best = F.min_by(F.when(seen, F.col(value)), F.when(seen, F.struct((-F.col("__c")).alias("neg"), F.col(value).alias("v"))))
+    return c.groupBy(*keys).agg(best.alias(out))
 
-def checked_groups(df: DataFrame, keys, limit: int | None = None) -> tuple[DataFrame, bool]:
-    """Materialise ``df`` once (reliable checkpoint) and report whether a
-    group exceeds the single-buffer limit.  The check and the computation
-    that follows read the checkpoint, so the input's lineage runs once."""
-    from evalframe.session import cut_lineage
-    m = cut_lineage(df)
-    return m, needs_bounded(m, keys, limit)
 
+def wide_quantiles(df: DataFrame, keys, cols, probs, names, carry=()) -> DataFrame:
+    """``exact_quantiles`` of several columns at once: the columns are unpivoted (column name as
+    one more key) and pivoted back to ``names[i].format(col=c)`` columns, one row per group.
 
-def wide_quantiles(df: DataFrame, keys, cols, probs, names) -> DataFrame:
-    """``exact_quantiles`` of several columns at once: the columns are
-    unpivoted (column name as one more key) and pivoted back to
-    ``names[i].format(col=c)`` columns, one row per group."""
+    ``carry``: (name with ``{col}``, function of a column) pairs, aggregates of each column taken
+    in the same pass."""
     keys = as_list(keys)
     cols = list(cols)
-    long = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(keys, cols, "__col", "__val")
-    q = exact_quantiles(long, keys + ["__col"], "__val", probs, names=[f"__q{i}" for i in range(len(probs))])
-    return q.groupBy(*keys).agg(*[F.max(F.when(F.col("__col") == c, F.col(f"__q{i}"))).alias(n.format(col=c))
-                                  for c in cols for i, n in enumerate(names)])
+    long = df.select(*keys, *[nan_to_null(F.col(c).cast("double")).alias(c) for c in cols]).unpivot(keys, cols, "__col", "__val")
+    q = exact_quantiles(long, keys + ["__col"], "__val", probs, names=[f"__q{i}" for i in range(len(probs))],
+                        carry=[f(F.col("__val")).alias(f"__a{i}") for i, (_, f) in enumerate(carry)])
+    own = lambda c, x: F.max(F.when(F.col("__col") == c, F.col(x)))
+    return q.groupBy(*keys).agg(*[own(c, f"__q{i}").alias(n.format(col=c)) for c in cols for i, n in enumerate(names)],
+                                *[own(c, f"__a{i}").alias(n.format(col=c)) for c in cols for i, (n, _) in enumerate(carry)])

@@ -10,6 +10,9 @@ split the ordered domain into monotone buckets:
 4. the offsets are joined back and a window on ``(keys, bucket)`` finishes
    the running sum inside each bucket.
 
+Where the order is a number, ``ranked_sums`` cuts it at quantiles of the data
+(a sketch), so buckets are even whatever range the values lie in.
+
 The result is exact: it equals the plain window (see tests).
 """
 
@@ -20,12 +23,47 @@ from pyspark.sql import functions as F
 
 from evalframe.operators._keys import as_list, join_on_keys
 
+CUTS = 256             # the order is cut into so many ranges at most
+CUT_ACCURACY = 10      # sketch samples per range
 
-def unit_interval_bucket(c: Column | str, resolution: int = 1 << 16) -> Column:
-    """Monotone bucket of a score in [0, 1]; values outside are clamped."""
-    c = F.col(c) if isinstance(c, str) else c
-    b = F.floor(c.cast("double") * resolution).cast("long")
-    return F.greatest(F.lit(0).cast("long"), F.least(F.lit(resolution).cast("long"), b))
+
+def below(cuts: Column, x: Column) -> Column:
+    """How many entries of the sorted array ``cuts`` (fewer than CUTS) are less than ``x``."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range((CUTS - 1).bit_length()))])
+    # the largest position whose entry is still less, found bit by bit; beyond the end is null
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.try_element_at(cuts, at + step) < x, at + step).otherwise(at))
+
+
+def range_cuts(df: DataFrame, order: str, size: Column | None = None, out: str = "__cuts") -> DataFrame:
+    """One row: about sqrt(n) - 1 quantiles (at most CUTS - 1) of the non-null values of ``order``;
+    n is ``size``, an aggregate (the number of values if it is not given).
+
+    Taken over all groups at once: quantiles are weighed by rows, so a range
+    holds about n / CUTS rows at most, however the rows of it are grouped and
+    however narrow a group's values are."""
+    probs = [i / CUTS for i in range(1, CUTS)]
+    value = F.col(order).cast("double")
+    g = df.agg((F.count(order) if size is None else size).alias("__rows"),
+               F.percentile_approx(value, probs, CUTS * CUT_ACCURACY).alias("__quantiles"))
+    ranges = F.least(F.ceil(F.sqrt("__rows")), F.lit(CUTS)).cast("int")
+    at = F.transform(F.sequence(F.lit(1), F.greatest(ranges - 1, F.lit(1))), lambda i: F.floor(i * CUTS / ranges).cast("int"))
+    return g.select(F.when(ranges > 1, F.transform(at, lambda i: F.element_at("__quantiles", i))).alias(out))
+
+
+def ranked_sums(df: DataFrame, keys, order: str, value_cols, suffix: str = "_below", cuts: DataFrame | None = None) -> DataFrame:
+    """``prefix_sums`` over a numeric ``order`` column, split at quantiles of the data.
+
+    One way at every size.  ``order`` is unique within ``keys``; a null order
+    comes first.  ``cuts`` (of ``range_cuts``) may come from the table that
+    ``df`` was made of, where that saves computing ``df`` once more.
+    """
+    keys = as_list(keys)
+    one_row = range_cuts(df, order) if cuts is None else cuts
+    j = df.withColumn("__cuts", one_row.scalar())
+    bucket = F.when(F.col(order).isNotNull(), F.coalesce(below(F.col("__cuts"), F.col(order).cast("double")), F.lit(0)) + 1
+                    ).otherwise(F.lit(0))
+    placed = j.withColumn("__range", bucket).drop("__cuts")
+    return prefix_sums(placed, keys, order, value_cols, F.col("__range"), suffix).drop("__range")
 
 
 def hex_prefix_bucket(c: Column | str, digits: int = 3) -> Column:

@@ -1,11 +1,10 @@
 """Grouped summaries of experiment results.
 
-Each is one aggregation (partial + final) over the results table, plus a
-join back to the fact rows where a per-group fence is needed (G3, G4, G10).
-Percentiles are exact (linear interpolation as pandas and NumPy): Spark's
-single-buffer ``percentile``/``median`` when the largest group is measured
-below ``quantiles.BUFFER_MAX_ROWS`` rows, ``quantiles.exact_quantiles``
-(no group held in one task) above it.
+Each is two aggregations over the results table, plus a join back to the fact
+rows where a per-group fence is needed (G3, G4, G10).  Percentiles are exact
+(linear interpolation as pandas and NumPy) and selected by
+``quantiles.exact_quantiles``, whose first pass takes the other statistics
+too; no group is held in one task and nothing is cached.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 from evalframe.functions.columns import fixed, nan_to_null
 from evalframe.operators._keys import as_list, join_on_keys
 from evalframe.operators.fairness import flag_fairness
-from evalframe.operators.quantiles import checked_groups, exact_quantiles, wide_quantiles
+from evalframe.operators.quantiles import exact_quantiles, wide_quantiles
 
 # Metric families of the results table.
 PERFORMANCE_METRICS = ("accuracy", "balanced_accuracy", "f1", "roc_auc")
@@ -27,31 +26,30 @@ ALL_METRICS = PERFORMANCE_METRICS + FAIRNESS_METRICS + (RUNTIME_METRIC,)
 STATS = ("count", "mean", "std", "median", "min", "max")
 
 
-def _stat(stat: str, c: Column) -> Column:
-    return {
-        "count": lambda: F.count(c).cast("long"),
-        "mean": lambda: F.avg(c),
-        "std": lambda: F.stddev_samp(c),
-        "median": lambda: F.median(c),
-        "min": lambda: F.min(c),
-        "max": lambda: F.max(c),
-    }[stat]()
+_AGGREGATES = {
+    "count": lambda c: F.count(c).cast("long"),
+    "mean": F.avg,
+    "std": F.stddev_samp,
+    "min": F.min,
+    "max": F.max,
+}
+
+
+def _statistics(rows: DataFrame, keys, metrics, stats) -> DataFrame:
+    """``{metric}_{stat}`` columns, one row per group."""
+    carry = [(f"{{col}}_{s}", _AGGREGATES[s]) for s in stats if s != "median"]
+    probs = [0.5] if "median" in stats else []
+    if probs:
+        return wide_quantiles(rows, keys, metrics, probs, ["{col}_median"], carry)
+    return rows.groupBy(*keys).agg(*[f(nan_to_null(F.col(m).cast("double"))).alias(n.format(col=m))
+                                     for m in metrics for n, f in carry])
 
 
 def summarize(results: DataFrame, keys=("dataset", "model", "optimizer"), metrics=ALL_METRICS,
               stats=STATS) -> DataFrame:
     """G1: ``<metric>_<stat>`` for count, mean, sample std, median, min, max."""
     keys = as_list(keys)
-    bounded = False
-    if "median" in stats:
-        results, bounded = checked_groups(results, keys)
-    aggs = [_stat(s, nan_to_null(F.col(m).cast("double"))).alias(f"{m}_{s}") for m in metrics for s in stats
-            if not (bounded and s == "median")]
-    out = results.groupBy(*keys).agg(*aggs)
-    if bounded:
-        clean = results.select(*keys, *[nan_to_null(F.col(m).cast("double")).alias(m) for m in metrics])
-        out = join_on_keys(out, wide_quantiles(clean, keys, metrics, [0.5], ["{col}_median"]), keys)
-    return out.select(*keys, *[f"{m}_{s}" for m in metrics for s in stats])
+    return _statistics(results, keys, metrics, stats).select(*keys, *[f"{m}_{s}" for m in metrics for s in stats])
 
 
 def fairness_summary(results: DataFrame, dim: DataFrame, keys=("dataset", "model", "optimizer"),
@@ -60,45 +58,27 @@ def fairness_summary(results: DataFrame, dim: DataFrame, keys=("dataset", "model
     fairness-applicable; elsewhere every statistic is NULL except the count,
     which is the group size."""
     keys = as_list(keys)
-    bounded = False
-    if "median" in stats:
-        results, bounded = checked_groups(results, keys)
     flagged = flag_fairness(results, dim)
     app = F.col("fairness_applicable")
     gkeys = keys + ["fairness_applicable", "fairness_status", "methodology_note"]
-    aggs = []
-    for m in metrics:
-        v = nan_to_null(F.col(m).cast("double"))
-        for s in stats:
-            if s == "count":
-                aggs.append(F.when(F.max(app), F.count(v)).otherwise(F.count(F.lit(1))).cast("long")
-                            .alias(f"{m}_count"))
-            elif not (bounded and s == "median"):
-                aggs.append(_stat(s, F.when(app, v)).alias(f"{m}_{s}"))
-    out = flagged.groupBy(*gkeys).agg(*aggs)
-    if bounded:
-        clean = flagged.select(*keys, *[F.when(app, nan_to_null(F.col(m).cast("double"))).alias(m) for m in metrics])
-        out = join_on_keys(out, wide_quantiles(clean, keys, metrics, [0.5], ["{col}_median"]), keys, "left")
-    return out.select(*gkeys, *[f"{m}_{s}" for m in metrics for s in stats])
-
-
-def _quartiles(results: DataFrame, keys, value: str) -> tuple[DataFrame, DataFrame]:
-    """(materialised results, per-group count/mean/std/min/max/Q1/median/Q3/IQR/fences)."""
+    # the group size rides along as a metric of its own: it is there for every row
+    rows = flagged.select(*gkeys, *[F.when(app, F.col(m).cast("double")).alias(m) for m in metrics],
+                          F.lit(1.0).alias("__rows"))
+    out = _statistics(rows, gkeys, [*metrics, "__rows"], [*stats, *(["count"] if "count" not in stats else [])])
+    size = F.col("__rows_count")
+    return out.select(*gkeys, *[F.when(app, F.col(f"{m}_{s}")).otherwise(size).alias(f"{m}_{s}") if s == "count"
+                                else F.col(f"{m}_{s}") for m in metrics for s in stats])
+
+
+def _quartiles(results: DataFrame, keys, value: str) -> DataFrame:
+    """Per group: count (of rows), mean, std, min, max, Q1, median, Q3, IQR and fences."""
     v = nan_to_null(F.col(value).cast("double"))
     base = [F.count(F.lit(1)).cast("long").alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
             F.min(v).alias("min"), F.max(v).alias("max")]
-    results, bounded = checked_groups(results, keys)
-    if bounded:
-        q = join_on_keys(results.groupBy(*keys).agg(*base),
-                         exact_quantiles(results, keys, value, [0.25, 0.5, 0.75], names=["q1", "median", "q3"]),
-                         keys)
-    else:
-        q = results.groupBy(*keys).agg(*base, F.median(v).alias("median"),
-                                       F.percentile(v, F.lit(0.25)).alias("q1"),
-                                       F.percentile(v, F.lit(0.75)).alias("q3"))
-    return results, (q.withColumn("iqr", F.col("q3") - F.col("q1"))
-                      .withColumn("upper_bound", F.col("q3") + F.lit(1.5) * F.col("iqr"))
-                      .withColumn("lower_bound", F.col("q1") - F.lit(1.5) * F.col("iqr")))
+    q = exact_quantiles(results, keys, value, [0.25, 0.5, 0.75], names=["q1", "median", "q3"], carry=base)
+    return (q.withColumn("iqr", F.col("q3") - F.col("q1"))
+             .withColumn("upper_bound", F.col("q3") + F.lit(1.5) * F.col("iqr"))
+             .withColumn("lower_bound", F.col("q1") - F.lit(1.5) * F.col("iqr")))
 
 
 def runtime_profile(results: DataFrame, keys=("dataset", "model", "optimizer"),
@@ -106,7 +86,7 @@ def runtime_profile(results: DataFrame, keys=("dataset", "model", "optimizer"),
     """Count (group size), mean, std, median, min, max, Q1, Q3, IQR,
     upper fence Q3 + 1.5 IQR and the number of values strictly above it."""
     keys = as_list(keys)
-    results, q = _quartiles(results, keys, value)
+    q = _quartiles(results, keys, value)
     j = join_on_keys(results.select(*keys, value), q.select(*keys, "upper_bound"), keys)
     n_out = j.groupBy(*keys).agg(F.count_if(F.col(value) > F.col("upper_bound")).cast("long").alias("outlier_count"))
     out = join_on_keys(q, n_out, keys)
@@ -128,7 +108,7 @@ def iqr_outliers(results: DataFrame, keys=("dataset", "model", "optimizer"), val
     category (``extreme`` is the caller's predicate) and a description."""
     keys = as_list(keys)
     keep = [c for c in as_list(keep) if c not in keys]
-    results, q = _quartiles(results, keys, value)
+    q = _quartiles(results, keys, value)
     q = q.select(*keys, F.col("q3").alias("group_q3"), F.col("iqr").alias("group_iqr"),
                  F.col("upper_bound").alias("iqr_upper_bound"))
     j = join_on_keys(results, q, keys).where(F.col(value) > F.col("iqr_upper_bound"))
@@ -158,28 +138,17 @@ def compare_methods(results: DataFrame, factor: str, left: str, right: str, by=(
     """Per (by, metric): mean, sample std and median of each method and
     the right-minus-left differences of means and medians."""
     by = as_list(by)
-    long = unpivot_metrics(results, by + [factor], metrics)
+    long = unpivot_metrics(results.where(F.col(factor).isin(left, right)), by + [factor], metrics)
     v = nan_to_null(F.col("value"))
-    lv = F.when(F.col(factor) == left, v)
-    rv = F.when(F.col(factor) == right, v)
-    long, bounded = checked_groups(long, by + ["metric"])
-    if bounded:
-        g = long.groupBy(*by, "metric").agg(
-            F.avg(lv).alias(f"{left}_mean"), F.stddev_samp(lv).alias(f"{left}_std"),
-            F.avg(rv).alias(f"{right}_mean"), F.stddev_samp(rv).alias(f"{right}_std"))
-        sides = long.where(F.col(factor).isin(left, right)).select(*by, "metric", factor, v.alias("value"))
-        med = exact_quantiles(sides, by + ["metric", factor], "value", [0.5], names=["m"])
-        med = med.groupBy(*by, "metric").agg(F.max(F.when(F.col(factor) == left, F.col("m"))).alias(f"{left}_median"),
-                                             F.max(F.when(F.col(factor) == right, F.col("m"))).alias(f"{right}_median"))
-        g = join_on_keys(g, med, by + ["metric"], "left").select(
-            *by, "metric", f"{left}_mean", f"{left}_std", f"{left}_median",
-            f"{right}_mean", f"{right}_std", f"{right}_median")
-    else:
-        g = long.groupBy(*by, "metric").agg(
-            F.avg(lv).alias(f"{left}_mean"), F.stddev_samp(lv).alias(f"{left}_std"),
-            F.median(lv).alias(f"{left}_median"),
-            F.avg(rv).alias(f"{right}_mean"), F.stddev_samp(rv).alias(f"{right}_std"),
-            F.median(rv).alias(f"{right}_median"))
+    per_side = exact_quantiles(long, by + ["metric", factor], "value", [0.5], names=["median"],
+                               carry=[F.avg(v).alias("mean"), F.stddev_samp(v).alias("std")])
+    g = per_side.groupBy(*by, "metric").agg(*[
+        F.max(F.when(F.col(factor) == side, F.col(s))).alias(f"{side}_{s}") for side in (left, right)
+        for s in ("mean", "std", "median")])
+    # a group with neither method has a row too
+    groups = unpivot_metrics(results.select(*by, *metrics).groupBy(*by).agg(*[F.lit(0.0).alias(m) for m in metrics]),
+                             by, metrics).drop("value")
+    g = join_on_keys(groups, g, by + ["metric"], "left")
     return (g.withColumn("diff_mean", F.col(f"{right}_mean") - F.col(f"{left}_mean"))
              .withColumn("diff_median", F.col(f"{right}_median") - F.col(f"{left}_median")))
 
@@ -197,7 +166,7 @@ def box_data(results: DataFrame, keys, value: str) -> DataFrame:
     """Box plot numbers per group: Q1, median, Q3, whiskers (most extreme
     values within 1.5 IQR of the box) and the count beyond them."""
     keys = as_list(keys)
-    results, q = _quartiles(results, keys, value)
+    q = _quartiles(results, keys, value)
     j = join_on_keys(results.select(*keys, value), q.select(*keys, "lower_bound", "upper_bound"), keys)
     v = F.col(value)
     inside = (v >= F.col("lower_bound")) & (v <= F.col("upper_bound"))

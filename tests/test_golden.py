@@ -155,14 +155,6 @@ def test_compare_methods(results, factor, left, right, gold_name, dm, dmed):
     assert _compare(ours, gold, ["dataset", "metric"], cols) == []
 
 
-def test_bucketed_signed_ranks_equal_plain(results):
-    pairs = PA.comparison_pairs(results, F.col("dataset") == "adult")
-    keys = list(PA.TEST_KEYS)
-    a = PA.signed_ranks(pairs, keys, None, bucketed=True).drop("ranks2")
-    b = PA.signed_ranks(pairs, keys, None, bucketed=False).drop("ranks2")
-    assert sorted(a.collect()) == sorted(b.collect())
-
-
 def test_paired_aggregate_equals_inner_join(results):
     keys = ["dataset", "optimizer", "outer_fold"]
     agg = PA.paired(results, "model", "random_forest", "xgboost", keys, ["accuracy", "f1"])
@@ -173,21 +165,3 @@ def test_paired_aggregate_equals_inner_join(results):
     cols = ["metric"] + keys + ["left_value", "right_value"]
     assert sorted(agg.select(*cols).collect()) == sorted(join.select(*cols).collect())
     assert agg.count() == 60
-
-
-@pytest.fixture()
-def bounded_quantiles(monkeypatch):
-    from evalframe.operators import quantiles
-    monkeypatch.setattr(quantiles, "BUFFER_MAX_ROWS", 1)   # every group takes the bounded path
-
-
-def test_bounded_path_matches_published_tables(spark, results, bounded_quantiles):
-    test_summary(results)
-    test_runtime_profile(results)
-    test_iqr_outliers(results)
-    test_fairness_summary(spark, results)
-    test_compare_methods(results, "model", "random_forest", "xgboost", "model_comparison",
-                         "diff_mean_xgb_minus_rf", "diff_median_xgb_minus_rf")
-    ours = _tests(results, None)
-    gold = pd.read_csv(GOLD / "statistical_tests.csv")
-    assert _compare(ours, gold, KEYS, STAT_COLS) == []

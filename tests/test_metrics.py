@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from evalframe.operators import metrics as M
 from evalframe.operators.labels import canonical_predictions, positive_labels
-from evalframe.operators.ranking import prefix_sums, unit_interval_bucket
+from evalframe.operators.ranking import below, prefix_sums, range_cuts, ranked_sums
 from evalframe.plans import fixtures as fx
 from tests.conftest import SF_MID
 
@@ -107,21 +107,64 @@ def test_three_labels_fail(spark):
         positive_labels(df, [], numeric=False).collect()
 
 
-def test_bucketed_prefix_sums_equal_plain_window(spark):
-    df = fx.predictions_fx(spark, SF_MID)
-    per = df.groupBy("run_id", "y_prob").agg(F.count(F.lit(1)).alias("neg"))
-    plain = prefix_sums(per, ["run_id"], "y_prob", "neg", None)
-    for res in (16, 4096):
-        split = prefix_sums(per, ["run_id"], "y_prob", "neg", unit_interval_bucket("y_prob", res))
-        assert sorted(split.collect()) == sorted(plain.collect())
+def _shifted(df, how):
+    """Scores in one narrow range, outside [0, 1], or spread over many magnitudes."""
+    p = F.col("y_prob")
+    return df.withColumn("y_prob", {"plain": p, "narrow": 0.7 + p * 1e-9, "outside": p * 2e6 - 1e6,
+                                    "magnitudes": F.exp((p - 0.5) * 400)}[how])
 
 
-def test_bucketed_auc_equals_plain(spark):
-    df = fx.predictions_fx(spark, SF_MID)
-    a = sorted(M.roc_auc(df, ["run_id"], resolution=None).collect())
-    b = sorted(M.roc_auc(df, ["run_id"], resolution=8).collect())
-    assert a == b
-    assert all(0 < r["roc_auc"] < 1 and not math.isnan(r["roc_auc"]) for r in a)
+@pytest.mark.parametrize("how", ["plain", "narrow", "outside", "magnitudes"])
+def test_ranked_sums_equal_the_plain_window(spark, how):
+    df = _shifted(fx.predictions_fx(spark, SF_MID), how)
+    hot = df.where("run_id = '1-URGENT'").withColumn("y_prob", F.col("y_prob") + F.col("row_id") * 1e-13)
+    per = (df.unionByName(hot).withColumn("run_id", F.when(F.col("run_id") != "5-LOW", F.col("run_id")))
+           .groupBy("run_id", "y_prob").agg(F.count(F.lit(1)).alias("neg")))
+    per = per.unionByName(spark.createDataFrame([("alone", 0.5, 3), ("none", None, 2), ("1-URGENT", None, 7)],
+                                                "run_id string, y_prob double, neg long"))
+    plain = prefix_sums(per, ["run_id"], "y_prob", "neg", None)
+    split = ranked_sums(per, ["run_id"], "y_prob", "neg")
+    key = lambda r: (str(r["run_id"]), r["y_prob"] is not None, r["y_prob"] or 0)     # noqa: E731
+    assert sorted(split.collect(), key=key) == sorted(plain.collect(), key=key)
+
+
+def test_ranges_are_even_whatever_the_scores(spark):
+    df = spark.range(40_000).select((F.col("id") % 3).alias("k"), F.exp(F.randn(3) * 20).alias("v"))
+    cuts = range_cuts(df, "v", out="cuts").first()["cuts"]
+    n = df.groupBy(below(F.lit(cuts), F.col("v")).alias("b")).count().toPandas()["count"]
+    assert len(n) == 200 and n.max() < 4 * 200          # sqrt(n) ranges of about sqrt(n) values
+    # a hot group in one narrow range gets its share of the cuts
+    df = df.unionByName(spark.range(40_000).select(F.lit(7).alias("k"), (0.5 + F.col("id") * 1e-12).alias("v")))
+    cuts = range_cuts(df, "v", out="cuts").first()["cuts"]
+    n = df.groupBy("k", below(F.lit(cuts), F.col("v")).alias("b")).count().toPandas()["count"]
+    assert n.max() < 2.5 * 80_000 / 256
+
+
+@pytest.mark.parametrize("how", ["plain", "narrow", "outside"])
+def test_auc_by_pairs(spark, how):
+    df = _shifted(fx.predictions_fx(spark, SF_MID).where("row_id % 40 = 0"), how)
+    rows = df.collect()
+    for r in M.roc_auc(df, ["run_id"]).collect():
+        pos = [x["y_prob"] for x in rows if x["run_id"] == r["run_id"] and x["y_true"] == ">50K"]
+        neg = [x["y_prob"] for x in rows if x["run_id"] == r["run_id"] and x["y_true"] != ">50K"]
+        want = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / (len(pos) * len(neg))
+        assert r["roc_auc"] == pytest.approx(want, rel=1e-12) and not math.isnan(want)
+
+
+def test_label_column_of_many_values_is_counted_not_collected(spark):
+    df = spark.range(20_000).select(F.lit("r").alias("run"), F.concat(F.lit("v"), "id").alias("y_true"),
+                                    F.lit("v1").alias("y_pred"), F.lit(0.5).alias("y_prob"))
+    with pytest.raises(Exception, match="has 20000"):
+        M.evaluate(df, ["run"]).collect()
+    assert "collect_set" not in M.evaluate(df, ["run"])._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_evaluate_scans_its_input_twice_at_most(spark, tmp_path):
+    fx.predictions_fx(spark, SF_MID).write.parquet(str(tmp_path / "p"))
+    out = M.evaluate(spark.read.parquet(str(tmp_path / "p")), ["run_id"])
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("FileScan") <= 2
 
 
 def test_given_positive_label(spark):

@@ -48,3 +48,27 @@ def test_exact_quantiles_small_groups(spark):
     assert set(got) == set(ref)
     for k in ref:
         assert got[k] == pytest.approx(ref[k])
+
+
+@pytest.mark.parametrize("accuracy", [200, 10000])
+def test_exact_quantiles_at_every_size(spark, accuracy):
+    # group g has about 3^g rows: some take the narrowest bracket, some all of the group, some one in between
+    df = spark.range(1, 200_000).select(F.floor(F.log(F.col("id").cast("double")) / F.log(F.lit(3.0))).alias("k"),
+                                        F.when(F.col("id") % 50 > 0, F.exp(F.randn(7) * 5)).alias("v"))
+    df = df.unionByName(spark.createDataFrame([(99, float("nan")), (99, None)], "k long, v double"))
+    probs = [0.0, 0.001, 0.5, 0.75, 1.0]
+    ours = exact_quantiles(df, ["k"], "v", probs, names=list("abcde"), accuracy=accuracy, carry=[F.count(F.lit(1)).alias("n")])
+    ref = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"), *[
+        F.percentile(F.when(~F.isnan("v"), F.col("v")), p).alias(c) for p, c in zip(probs, "abcde")])
+    a, b = ({r["k"]: r for r in x.collect()} for x in (ours, ref))
+    assert set(a) == set(b)
+    for k in b:
+        assert a[k]["n"] == b[k]["n"]
+        for c in "abcde":
+            assert a[k][c] == (None if b[k][c] is None else pytest.approx(b[k][c], rel=1e-12))
+
+
+def test_exact_quantiles_neither_cache_nor_checkpoint(spark):
+    q = exact_quantiles(spark.range(1000).selectExpr("id % 3 as k", "rand(1) as v"), ["k"], "v", [0.5])
+    text = q._jdf.queryExecution().analyzed().toString()
+    assert "InMemoryRelation" not in text and "LogicalRDD" not in text
