@@ -10,11 +10,17 @@ across 4096 hash-prefix buckets instead of one task.
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalframe.operators._keys import as_list, join_on_keys
 from evalframe.operators.ranking import hex_prefix_bucket, prefix_sums
+from evalframe.session import cut_lineage
+from evalframe.sources import paths
 
 
 def fold_hash(id_col: str, seed: int) -> F.Column:
@@ -54,26 +60,69 @@ def inner_folds(outer: DataFrame, label: str = "y_true", id_col: str = "row_id",
 
 def fold_split(examples: DataFrame, folds: DataFrame, fold: int, id_col: str = "row_id",
                fold_col: str = "outer_fold", keys=()) -> tuple[DataFrame, DataFrame]:
-    """(train, test) rows of one outer fold: equi-join on the row id."""
+    """(train, test) rows of one outer fold: equi-join on the row id.
+
+    The joined table is written once (checkpoint): both sides, and the several
+    passes of a fit over the training side, read it instead of joining again."""
     keys = as_list(keys)
     f = folds.select(*keys, id_col, fold_col)
-    j = join_on_keys(examples, f, keys + [id_col])
+    j = cut_lineage(join_on_keys(examples, f, keys + [id_col]))
     return j.where(F.col(fold_col) != fold), j.where(F.col(fold_col) == fold)
 
 
-def save_folds(folds: DataFrame, path: str, partition_by=("dataset", "outer_fold")) -> str:
-    """S3: persist fold assignment as Parquet partitioned by dataset and fold,
-    so a reload of one fold reads only its partition."""
+SPEC = "_spec"       # beside the data; Spark skips names that start with _
+
+
+def save_folds(folds: DataFrame, path: str, partition_by=("dataset", "outer_fold"), buckets: int | None = None,
+               id_col: str = "row_id") -> str:
+    """S3: persist fold assignment as Parquet partitioned by dataset and fold, so a reload of
+    one fold reads only its partition.  With ``buckets`` the rows of a partition
+    are dealt into that many buckets by ``id_col`` and sorted, so that a join on
+    the row id with a table of as many buckets needs no exchange."""
     cols = [c for c in as_list(partition_by) if c in folds.columns]
-    folds.write.mode("errorifexists").partitionBy(*cols).parquet(path)
+    return save_rows(folds, path, buckets, id_col, cols)
+
+
+def save_rows(rows: DataFrame, path: str, buckets: int | None = None, id_col: str = "row_id", partition_by=()) -> str:
+    """Write a keyed table (fold assignment or examples), bucketed by its id if ``buckets`` is given."""
+    writer = rows.write.mode("errorifexists").format("parquet")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    if not buckets:
+        writer.save(path)
+        return path
+    spark, name = rows.sparkSession, f"bucketed_{uuid.uuid4().hex}"
+    # the catalog entry is only how Spark writes buckets: the folder stays when it goes
+    writer.bucketBy(buckets, id_col).sortBy(id_col).option("path", path).saveAsTable(name)
+    spark.sql(f"drop table {name}")
+    spec = json.dumps({"buckets": buckets, "id": id_col, "partition_by": list(partition_by),
+                       "columns": [[f.name, f.dataType.simpleString()] for f in rows.schema.fields]})
+    spark.createDataFrame([(spec,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path.rstrip('/')}/{SPEC}")
     return path
 
 
+def load_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Read what ``save_rows`` wrote; a missing path is an error.  A bucketed table is
+    entered into the session's catalog under a name derived from its path, which is
+    how Spark learns of the buckets."""
+    if not paths.exists(spark, f"{path.rstrip('/')}/{SPEC}"):
+        return spark.read.parquet(path)      # raises when the path does not exist
+    spec = json.loads(spark.read.text(f"{path.rstrip('/')}/{SPEC}").first()[0])
+    name = "bucketed_" + hashlib.md5(path.encode()).hexdigest()
+    if not spark.catalog.tableExists(name):
+        parts = f"partitioned by ({', '.join(f'`{c}`' for c in spec['partition_by'])}) " if spec["partition_by"] else ""
+        spark.sql(f"create table {name} ({', '.join(f'`{c}` {t}' for c, t in spec['columns'])}) using parquet {parts}"
+                  f"clustered by (`{spec['id']}`) sorted by (`{spec['id']}`) into {spec['buckets']} buckets location '{path}'")
+        if spec["partition_by"]:
+            spark.sql(f"alter table {name} recover partitions")
+    return spark.table(name)
+
+
 def load_folds(spark: SparkSession, path: str, dataset: str | None = None,
                fold: int | None = None) -> DataFrame:
     """S3: reload fold assignment; a missing path is an error (folds are
     never regenerated mid-experiment).  Filters prune partitions."""
-    df = spark.read.parquet(path)  # raises when the path does not exist
+    df = load_rows(spark, path)
     if dataset is not None:
         df = df.where(F.col("dataset") == dataset)
     if fold is not None:

@@ -1,20 +1,17 @@
-"""Model jobs on Spark ML.
+"""Model jobs on Spark ML.
 
 The driver only orchestrates: a handful of folds times tens of configurations.
 Every fit, prediction and metric is a distributed Spark job.  Work that does
 not depend on hyperparameters (folds, imputation, one-hot, label encoding)
-is done once per fold and cached, then shared by all configurations; the
+is done once per fold and stored, then shared by all configurations; the
 predictions of all inner folds of a configuration are evaluated with one
 grouped ``evaluate``.
 """
 
 from __future__ import annotations
 
-import json
-import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +21,6 @@ from evalframe.operators import metrics as M
 from evalframe.operators import prep as PR
 from evalframe.operators._keys import as_list
 from evalframe.operators.labels import encode_target, label_is_numeric, positive_labels
-from evalframe.operators.trials import best_trial, objective_score
 from evalframe.session import cut_lineage
 
 MAX_TREE_DEPTH = 30   # Spark ML's limit
@@ -76,7 +72,7 @@ def spark_params(model: str, params: dict) -> dict:
         if p.get("min_child_weight") is not None:
             out["minInstancesPerNode"] = max(1, int(round(float(p["min_child_weight"]))))
         return out
-    raise ValueError(f"Unknown model: {model}")
+    raise ValueError(f"no estimator for model {model!r}")
 
 
 def build_estimator(model: str, params: dict, seed: int = 1000, features: str = "features",
@@ -95,7 +91,6 @@ class PreparedFold:
     train: DataFrame        # row_id, features, label, y_true
     score: DataFrame        # row_id, features, y_true, sensitive
     mapping: DataFrame      # label_0, label_1 (+ positive_label)
-    feature_cols: list
 
 
 def prepare_split(train: DataFrame, score: DataFrame, id_col: str = "row_id", label: str = "y_true",
@@ -109,11 +104,10 @@ def prepare_split(train: DataFrame, score: DataFrame, id_col: str = "row_id", la
     num = [c for c, r in roles.items() if r == "numeric"]
     cat = [c for c, r in roles.items() if r == "categorical"]
     model = PR.fit_prep(train, num, cat, one_hot=True)
-    cols = PR.feature_columns(model)
     keep_tr = [id_col, label]
     keep_sc = [id_col, label] + ([sensitive] if sensitive else [])
-    tr = PR.assemble(PR.apply_prep(model, train, keep=keep_tr), cols)
-    sc = PR.assemble(PR.apply_prep(model, score, keep=keep_sc), cols)
+    tr = PR.encode_features(model, train, keep=keep_tr)
+    sc = PR.encode_features(model, score, keep=keep_sc)
     tr_enc, _, mapping = encode_target(tr.select(id_col, label, "features"), None, [], label, "label")
     numeric = label_is_numeric(train, label)
     pos = positive_labels(mapping.select(F.col("label_0").alias("y_true"), F.col("label_1").alias("y_pred")),
@@ -123,7 +117,7 @@ def prepare_split(train: DataFrame, score: DataFrame, id_col: str = "row_id", la
     sc = sc.withColumnRenamed(sensitive, "sensitive") if sensitive else sc.withColumn("sensitive", F.lit(None).cast("string"))
     # reliable checkpoints: short plans for every fit, and a lost executor
     # does not replay fold assignment and preparation
-    return PreparedFold(cut_lineage(tr_enc), cut_lineage(sc), cut_lineage(mapping), cols)
+    return PreparedFold(cut_lineage(tr_enc), cut_lineage(sc), cut_lineage(mapping))
 
 
 def predict(fitted, fold: PreparedFold, keys: dict | None = None, id_col: str = "row_id",
@@ -197,103 +191,3 @@ def refit_outer(model: str, params: dict, examples: DataFrame, outer: DataFrame,
     keys = dict(keys or {"outer_fold": outer_fold})
     preds = cut_lineage(predict(fitted, fold, keys))
     return preds, M.evaluate(preds, list(keys))
-
-
-def run_search(examples: DataFrame, outer: DataFrame, outer_fold: int, model: str, configs: list,
-               optimizer: str = "random", metric: str = "mean_balanced_accuracy", fairness_weight: float = 0.0,
-               sensitive: str | None = None, seed: int = 1000, parallel: int = 4,
-               dataset: str = "dataset") -> DataFrame:
-    """Inner-CV every configuration (independent Spark jobs submitted
-    from a small driver thread pool), score (P11), pick the best (W4), refit
-    on the outer fold (M9).  ``configs`` is the parameter-sized list of
-    configurations (tens), not data."""
-    t0 = time.time()
-    splits = inner_splits(examples, outer, outer_fold, sensitive=sensitive)
-    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
-        futs = [pool.submit(lambda i_c: evaluate_config(model, i_c[1], splits, i_c[0], seed).first(),
-                            (i, c)) for i, c in enumerate(configs, start=1)]
-        rows = [f.result() for f in futs]
-    spark = examples.sparkSession
-    hist = spark.createDataFrame(
-        [(i, json.dumps(c), *[r[f"mean_{m}"] for m in M.METRICS]) for i, (c, r) in enumerate(zip(configs, rows), 1)],
-        "iteration int, params string, " + ", ".join(f"mean_{m} double" for m in M.METRICS))
-    hist = objective_score(hist, metric, fairness_weight).withColumn("run", F.lit(1))
-    best = best_trial(hist, ["run"]).first()
-    if best["error"]:
-        raise RuntimeError(best["error"])
-    best_params = configs[best["iteration"] - 1]
-    _, outer_metrics = refit_outer(model, best_params, examples, outer, outer_fold, seed, sensitive=sensitive)
-    res = outer_metrics.select(
-        F.lit(dataset).alias("dataset"), F.lit(outer_fold).alias("outer_fold"), F.lit(model).alias("model"),
-        F.lit(optimizer).alias("optimizer"), *[F.col(m) for m in M.METRICS],
-        F.lit(float(best["objective_score"])).alias("best_objective_score"),
-        F.lit(json.dumps(best_params)).alias("best_params"))
-    return res.withColumn("runtime_seconds", F.lit(time.time() - t0))
-
-
-def run_experiments(plan: list, examples: DataFrame, outer: DataFrame, configs_for, **kw):
-    """M10 + M11 over plan rows (dataset, outer_fold, model, optimizer): a
-    failing experiment becomes a failure row and the others continue.
-    Returns (results, failures)."""
-    spark = examples.sparkSession
-    results, failures = None, []
-    for row in plan:
-        try:
-            r = run_search(examples, outer, row["outer_fold"], row["model"], configs_for(row),
-                           optimizer=row["optimizer"], dataset=row["dataset"], **kw)
-            r = r.cache()
-            r.count()
-            results = r if results is None else results.unionByName(r)
-        except Exception as e:  # noqa: BLE001 - isolation is the feature
-            failures.append((row["dataset"], int(row["outer_fold"]), row["model"], row["optimizer"], str(e)))
-    fail_df = spark.createDataFrame(failures, "dataset string, outer_fold int, model string, optimizer string, "
-                                              "error string")
-    return results, fail_df
-
-
-def propose(history: DataFrame, candidates: DataFrame, param_cols, k: int = 5, kappa: float = 1.96,
-            score: str = "objective_score", num_trees: int = 20, seed: int = 7) -> DataFrame:
-    """H6: model-guided proposals.  A random-forest surrogate is fitted on
-    the valid trials; every candidate is scored by the per-tree mean plus
-    ``kappa`` times the per-tree standard deviation; already-tried
-    configurations are removed (anti join) and the top ``k`` are returned."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import RandomForestRegressor
-    cols = as_list(param_cols)
-    s = F.col(score).cast("double")
-    valid = history.where(s.isNotNull() & ~F.isnan(s) & (s != F.lit(float("-inf"))))
-    # text parameters become the number of their value (parameter spaces are small); a NULL is a value of its own
-    text = [c for c in cols if dict(candidates.dtypes)[c] == "string"]
-    codes = {c: sorted(r[0] for r in candidates.select(c).union(valid.select(c)).distinct().collect() if r[0] is not None)
-             for c in text}
-
-    def encoded(df):
-        value = lambda c: (F.array_position(F.array(*[F.lit(v) for v in codes[c]]), F.col(c)) if c in codes
-                           else F.col(c)).cast("double")
-        return df.withColumns({f"__x_{c}": F.coalesce(value(c), F.lit(-1.0)) for c in cols}
-                              | {f"__null_{c}": F.col(c).isNull().cast("double") for c in cols})
-
-    inputs = [f"__{kind}_{c}" for c in cols for kind in ("x", "null")]
-    va = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="error")
-    train = va.transform(encoded(valid).withColumn("label", s))
-    rf = RandomForestRegressor(numTrees=num_trees, maxDepth=8, seed=seed, featureSubsetStrategy="all",
-                               subsamplingRate=1.0, bootstrap=True).fit(train)
-    as_given = {c: F.col(c).cast("double") for c in cols if c not in text}
-    cand = va.transform(encoded(candidates.withColumns(as_given).dropDuplicates(cols)))
-    preds = []
-    scored = cand
-    for i, tree in enumerate(rf.trees):
-        scored = tree.setPredictionCol(f"__t{i}").transform(scored)
-        preds.append(F.col(f"__t{i}"))
-    arr = F.array(*preds)
-    n = float(len(preds))
-    mean = F.aggregate(arr, F.lit(0.0), lambda a, x: a + x) / n
-    scored = scored.withColumn("surrogate_mean", mean)
-    var = F.aggregate(arr, F.lit(0.0), lambda a, x: a + (x - F.col("surrogate_mean")) * (x - F.col("surrogate_mean"))) / n
-    scored = scored.withColumn("surrogate_sd", F.sqrt(var)).withColumn(
-        "acquisition", F.col("surrogate_mean") + F.lit(kappa) * F.col("surrogate_sd"))
-    tried = history.withColumns(as_given).select(*[F.col(c).alias(f"__h_{c}") for c in cols]).distinct()
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__h_{c}")) for c in cols])
-    fresh = scored.join(tried, same, "left_anti")
-    out = fresh.drop("features", *inputs, *[f"__t{i}" for i in range(len(preds))])
-    return out.orderBy(F.col("acquisition").desc(), *cols).limit(k)

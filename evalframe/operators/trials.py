@@ -2,9 +2,9 @@
 incumbents (W3), best trial (W4), and search spaces and plans (H1-H5).
 
 Configuration tables are generated by arithmetic on row indices, never by
-joining value lists against each other: random configurations are a seeded
-permutation of the grid index (affine map with a multiplier prime to the
-grid size, so distinct by construction), decoded digit by digit.
+joining value lists against each other: random configurations are the first
+entries of a keyed random permutation of the grid index, decoded digit by
+digit, so they are distinct and none is likelier than another.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from evalframe.functions.columns import nan_to_null
 from evalframe.operators._keys import as_list
 from evalframe.operators.ranking import prefix_sums, running_max
+from evalframe.operators.vocab import dense_positions
 
 # --- P11 --------------------------------------------------------------------
 
@@ -29,7 +30,7 @@ def objective_score(trials: DataFrame, metric: str = "balanced_accuracy", fairne
     -inf; a missing (absent or NULL) disparity counts as 0; an unknown metric
     is an error."""
     if metric not in trials.columns:
-        raise ValueError(f"Unknown objective metric: {metric}")
+        raise ValueError(f"the trials have no metric column {metric!r}")
     m = nan_to_null(F.col(metric).cast("double"))
     score = F.coalesce(m, F.lit(float("-inf")))
     if fairness_weight > 0:
@@ -46,8 +47,11 @@ def objective_score(trials: DataFrame, metric: str = "balanced_accuracy", fairne
 def number_trials(df: DataFrame, keys, order_cols, out: str = "iteration",
                   bucket: Column | None = None) -> DataFrame:
     """1-based trial number per run in the given order (``order_cols``
-    must be unique per run).  With ``bucket`` (monotone in the order) a hot
-    run is numbered across many tasks."""
+    must be unique per run).  A hot run is numbered across many tasks: by the
+    ranges of ``dense_positions``, or by ``bucket`` where the caller knows one
+    that is monotone in the order (it saves writing the rows once)."""
+    if bucket is None:
+        return dense_positions(df, keys, order_cols, "__at").withColumn(out, (F.col("__at") + 1).cast("int")).drop("__at")
     one = df.withColumn("__one", F.lit(1))
     r = prefix_sums(one, keys, order_cols, "__one", bucket)
     return r.withColumn(out, (F.col("__one_below") + 1).cast("int")).drop("__one", "__one_below")
@@ -94,17 +98,46 @@ def best_trial(trials: DataFrame, keys, iteration: str = "iteration", score: str
 
 # --- H1 ---------------------------------------------------------------------
 
-def _primes_above(n: int, count: int = 64) -> list[int]:
-    out, p = [], max(2, n + 1)
-    while len(out) < count:
-        if all(p % d for d in range(2, int(math.isqrt(p)) + 1)):
-            out.append(p)
-        p += 1
-    return out
+ROUNDS = 8
 
 
-def _hex_int(h: Column, start: int, digits: int) -> Column:
-    return F.conv(F.substring(h, start, digits), 16, 10).cast("long")
+def _halves(grid: int) -> tuple[int, int]:
+    """a x b cells that cover the grid: exactly where it has a divisor near its root, else the
+    next rectangle (fewer than a cells too many)."""
+    root = math.isqrt(grid)
+    exact = next((d for d in range(root, 0, -1) if grid % d == 0), 1)
+    if exact * exact * 16 >= grid:
+        return exact, grid // exact
+    a = root + (root * root < grid)
+    return a, -(-grid // a)
+
+
+def _permuted(index: Column, grid: int, key: Column) -> Column:
+    """A keyed permutation of 0 .. grid-1: a Feistel network whose halves are counted modulo a
+    and b, walked on while it points beyond the grid.
+
+    The walk stays on one cycle of the permutation of all a x b cells, of which
+    fewer than a lie beyond the grid, so that many steps always suffice."""
+    a, b = _halves(grid)
+
+    def mix(i, x, size):
+        h = F.md5(F.concat_ws("|", key, i.cast("string"), x.cast("string")))
+        return F.pmod(F.conv(F.substring(h, 1, 12), 16, 10).cast("long"), F.lit(size))
+
+    def turn(acc, i):
+        left = F.pmod(acc["l"] + mix(i, acc["r"], a), F.lit(a))
+        right = F.pmod(acc["r"] + mix(i, acc["l"], b), F.lit(b))
+        return F.when(i % 2 == 0, F.struct(left.alias("l"), acc["r"].alias("r"))).otherwise(
+            F.struct(acc["l"].alias("l"), right.alias("r")))
+
+    def step(x):
+        start = F.struct(F.floor(x / b).cast("long").alias("l"), F.pmod(x, F.lit(b)).cast("long").alias("r"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn, lambda acc: acc["l"] * b + acc["r"])
+
+    x = step(index.cast("long"))
+    if a * b == grid:
+        return x
+    return F.aggregate(F.sequence(F.lit(1), F.lit(a * b - grid)), x, lambda acc, _: F.when(acc >= grid, step(acc)).otherwise(acc))
 
 
 def _text(v) -> str | None:
@@ -113,27 +146,21 @@ def _text(v) -> str | None:
 
 def random_configs(spark: SparkSession, space: dict, n: int, seed: int = 42,
                    studies: DataFrame | None = None, keys=()) -> DataFrame:
-    """H1: ``n`` distinct configurations of a discrete grid per study (n is
-    capped at the grid size; n <= 0 is an error).  Output: keys,
-    ``config_rank`` 1..n, ``config_index`` in the grid, one text column per
-    parameter."""
+    """H1: ``n`` distinct configurations of a discrete grid per study, drawn
+    without replacement (n is capped at the grid size; n <= 0 is an error).
+    Output: keys, ``config_rank`` 1..n, ``config_index`` in the grid, one text
+    column per parameter."""
     if n <= 0:
-        raise ValueError("n_iter must be greater than zero.")
+        raise ValueError("at least one configuration must be drawn")
     keys = as_list(keys)
     names = list(space)
     sizes = [len(space[p]) for p in names]
     grid = math.prod(sizes)
     take = min(n, grid)
-    primes = _primes_above(grid)
     base = studies.select(*keys).distinct() if studies is not None else spark.range(1).select()
-    salt = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
-    h = F.md5(salt)
-    pr = F.array(*[F.lit(p).cast("long") for p in primes])
-    a = F.element_at(pr, (F.pmod(_hex_int(h, 1, 8), F.lit(len(primes))) + 1).cast("int"))
-    b = F.pmod(_hex_int(h, 9, 8), F.lit(grid))
-    rows = base.select(*keys, a.alias("__a"), b.alias("__b"),
-                       F.explode(F.sequence(F.lit(0), F.lit(take - 1))).alias("__j"))
-    idx = F.pmod(F.col("__a") * F.col("__j") + F.col("__b"), F.lit(grid))
+    key = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
+    rows = base.select(*keys, key.alias("__key"), F.explode(F.sequence(F.lit(0), F.lit(take - 1))).alias("__j"))
+    idx = _permuted(F.col("__j"), grid, F.col("__key"))
     rows = rows.select(*keys, (F.col("__j") + 1).cast("int").alias("config_rank"), idx.alias("config_index"))
     stride = 1
     cols = {}
@@ -161,7 +188,7 @@ def sample_space(spark: SparkSession, space: dict, n: int, seed: int = 42,
     log-uniform (``prior``), ``categorical`` uniform over ``values``.
     Unknown kinds are an error."""
     if n <= 0:
-        raise ValueError("n must be greater than zero.")
+        raise ValueError("at least one candidate must be drawn")
     keys = as_list(keys)
     base = studies.select(*keys).distinct() if studies is not None else spark.range(1).select()
     rows = base.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("candidate"))
@@ -182,7 +209,7 @@ def sample_space(spark: SparkSession, space: dict, n: int, seed: int = 42,
             vals = F.array(*[F.lit(_text(v)).cast("string") for v in spec["values"]])
             cols.append(F.element_at(vals, (F.floor(u * len(spec["values"])) + 1).cast("int")).alias(p))
         else:
-            raise ValueError(f"Unknown parameter type: {kind}")
+            raise ValueError(f"parameter {p!r} has no known type: {kind!r}")
     return rows.select(*keys, F.col("candidate").cast("int").alias("candidate"), *cols)
 
 

@@ -137,12 +137,10 @@ RESULTS_FAIRNESS_DIM = (("A", True, "sensitive", "group_1", "group_0", "1"),)
 # --- B4: trials over events -------------------------------------------------
 
 def trials_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-    ev = _t(spark, sf_dir, "events")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return ev.select(F.col("user_id").alias("run_id"),
-                     F.row_number().over(w).cast("int").alias("iteration"),
-                     F.col("event_id"),
+    from evalframe.operators.trials import number_trials
+    hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(3_600_000_000)).cast("long")
+    ev = number_trials(_t(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], bucket=hour)
+    return ev.select(F.col("user_id").alias("run_id"), "iteration", F.col("event_id"),
                      F.when(F.col("event_type") == "error", F.lit(None).cast("double"))
                       .otherwise(F.col("value")).alias("objective_score"),
                      F.col("props").alias("params"))

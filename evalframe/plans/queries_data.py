@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from evalframe.functions.columns import clean_number, normalize_label
@@ -12,6 +14,7 @@ from evalframe.operators.fairness import fairness_dim, flag_fairness, split_sens
 from evalframe.operators.labels import encode_target
 from evalframe.plans import fixtures as fx
 from evalframe.plans.catalog import register
+from evalframe.session import ensure_checkpoint_dir
 from evalframe.sources import ingest as IN
 from evalframe.sources.tables import read_table
 
@@ -226,6 +229,20 @@ def q_fold_membership(spark, sf):
     return w.groupBy("outer_fold", "y_true").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("fold_store", f"""
+select f.row_id, f.num_a, f.cat_b, w.outer_fold from ({FEAT}) f join ({_W1_SQL}) w on f.row_id = w.row_id
+where w.outer_fold = 2""")
+def q_fold_store(spark, sf):
+    """S3 + J1: examples and folds stored in as many buckets, one fold read back and joined."""
+    ex = fx.features_fx(spark, sf)
+    w = FO.stratified_folds(ex, "y_true", "row_id", k=5, seed=42)
+    at = f"{ensure_checkpoint_dir(spark).rstrip('/')}/folds-{uuid.uuid4().hex}"
+    FO.save_folds(w.drop("y_true").withColumn("dataset", F.lit("part")), f"{at}/folds", buckets=8)
+    FO.save_rows(ex.select("row_id", "num_a", "cat_b"), f"{at}/examples", buckets=8)
+    folds = FO.load_folds(spark, f"{at}/folds", "part", 2)
+    return FO.load_rows(spark, f"{at}/examples").join(folds, "row_id").select("row_id", "num_a", "cat_b", "outer_fold")
+
+
 @register("inner_folds", f"""
 with o as ({_W1_SQL}),
 x as (select o.row_id, o.y_true, f.f as outer_fold from o, (select unnest([1, 2, 3, 4, 5]) as f) f
@@ -284,17 +301,58 @@ def q_impute_mode(spark, sf):
     return PR.apply_prep(model, ex, keep=["row_id"]).select("row_id", "cat_a")
 
 
+_CAT_A = [f"Brand#{i}" for i in range(1, 26)]
 _CAT_B = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 
 
 @register("one_hot", f"""
-select row_id, {', '.join(f"cast(case when cat_b = '{v}' then 1 else 0 end as double) as cat_b_{v}" for v in _CAT_B[1:])},
+with t as ({_TRAIN_SQL}),
+c as (select cat_a as v, count(*) as n from t where cat_a is not null group by cat_a),
+m as (select v from (select v, row_number() over (order by n desc, v) as r from c) x where r = 1),
+g as (select f.*, coalesce(f.cat_a, m.v) as a, (select min(v) from c) as first_a from ({FEAT}) f, m)
+select row_id, {', '.join(f"case when a = '{v}' and a != first_a and a in (select v from c) then 1.0::double else 0.0::double end as hot_{v[6:]}" for v in _CAT_A)},
+       {', '.join(f"cast(case when cat_b = '{v}' then 1 else 0 end as double) as cat_b_{v}" for v in _CAT_B[1:])},
        cast(case when cast(flag as integer) = 1 then 1 else 0 end as double) as flag_1
-from ({FEAT}) f""")
+from g""")
 def q_one_hot(spark, sf):
     ex, model = _prep_fit(spark, sf, one_hot=True)
     out = PR.apply_prep(model, ex, keep=["row_id"])
-    return out.select("row_id", *[c for c in out.columns if c.startswith("cat_b_") or c.startswith("flag_")])
+    # a column for every possible brand: those the training rows lack, and their first one, are all zero
+    hot = [(F.col(f"`cat_a_{v}`") if f"cat_a_{v}" in out.columns else F.lit(0.0)).alias(f"hot_{v[6:]}") for v in _CAT_A]
+    return out.select("row_id", *hot, *[c for c in out.columns if c.startswith("cat_b_") or c.startswith("flag_")])
+
+
+_CUST_SQL = """select c_custkey as row_id, c_acctbal as num, c_name as name, c_mktsegment as segment,
+    case when c_custkey % 5 = 0 then 'test' else 'train' end as split from customer"""
+
+
+@register("one_hot_sparse", f"""
+with f as ({_CUST_SQL}),
+p as (select 1 as c, name as v, row_number() over (order by name) - 1 as pos from (select distinct name from f where split = 'train')
+      union all
+      select 2, segment, row_number() over (order by segment) - 1 from (select distinct segment from f where split = 'train')),
+k as (select count(*) filter (c = 1) as k1, count(*) filter (c = 2) as k2 from p),
+e as (select row_id, split, num, a.pos as a, b.pos as b, k1, k2 from f left join p a on a.c = 1 and a.v = f.name
+      left join p b on b.c = 2 and b.v = f.segment cross join k)
+select row_id, split, k1 - 1 + k2 - 1 + 1 as n_features, num,
+       concat_ws(',', case when a > 0 then cast(a as varchar) end, case when b > 0 then cast(k1 - 1 + b as varchar) end) as active
+from e""")
+def q_one_hot_sparse(spark, sf):
+    """M3 + M4 with one category per customer (unseen in the test rows) as sparse vectors."""
+    c = read_table(spark, sf, "customer")
+    rows = c.select(F.col("c_custkey").alias("row_id"), F.col("c_acctbal").alias("num"), F.col("c_name").alias("name"),
+                    F.col("c_mktsegment").alias("segment"),
+                    F.when(F.col("c_custkey") % 5 == 0, "test").otherwise("train").alias("split"))
+    model = PR.fit_prep(rows.where("split = 'train'"), ["num"], ["name", "segment"])
+    out = PR.encode_features(model, rows, keep=["row_id", "split"])
+    v = F.from_json(F.to_json(F.struct("features")), "features struct<type: int, size: int, indices: array<int>, values: array<double>>")
+    n = 1 + sum(k - 1 for k in model.sizes.values())
+    pairs = F.filter(F.arrays_zip(F.col("v.indices").alias("i"), F.col("v.values").alias("x")), lambda p: p["x"] != 0.0)
+    # the number is slot 0; the others are indicators
+    number = F.coalesce(F.get(F.transform(F.filter(pairs, lambda p: p["i"] == 0), lambda p: p["x"]), 0), F.lit(0.0))
+    active = F.array_join(F.transform(F.filter(pairs, lambda p: p["i"] > 0), lambda p: p["i"].cast("string")), ",")
+    return out.withColumn("v", v["features"]).select(
+        "row_id", "split", F.lit(n).cast("long").alias("n_features"), number.alias("num"), active.alias("active"))
 
 
 @register("split_sensitive", f"select row_id, num_a, num_b, cat_a, flag, y_true, cat_b as sensitive from ({FEAT}) f")
@@ -310,6 +368,16 @@ def q_load_examples(spark, sf):
     return IN.load_examples(spark, ex.drop("y_true"), ex.select("row_id", "y_true"), key="row_id")
 
 
+@register("load_examples_positional", """
+with f as (select row_number() over (order by o_orderkey) - 1 as row_id, o_custkey, o_totalprice, o_orderdate from orders),
+t as (select row_number() over (order by o_orderkey) - 1 as row_id, o_orderstatus as y_true from orders)
+select f.row_id, f.o_custkey, f.o_totalprice, t.y_true from f join t using (row_id)""")
+def q_load_examples_positional(spark, sf):
+    """S1 without a key: rows of two scans are paired by their place (``orders`` is stored by o_orderkey)."""
+    o = read_table(spark, sf, "orders")
+    return IN.load_examples(spark, o.select("o_custkey", "o_totalprice"), o.select("o_orderstatus"))
+
+
 @register("encode_target", f"""
 with w as ({_W1_SQL}),
 m as (select min(y_true) as l0, max(y_true) as l1 from ({FEAT}) f join w using (row_id, y_true) where w.outer_fold != 1)

@@ -4,12 +4,15 @@ trial, random and mixed-space configurations per study, experiment plan."""
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import functions as F
 
 from evalframe.operators import trials as TR
 from evalframe.plans import fixtures as fx
 from evalframe.plans.catalog import register, round_doubles, round_sql
+from evalframe.session import ensure_checkpoint_dir
+from evalframe.sources import ingest as IN
 from evalframe.sources.tables import read_table
 
 TRI = fx.TRIALS_FX_SQL
@@ -46,8 +49,7 @@ select user_id as run_id, event_id,
        cast(row_number() over (partition by user_id order by ts, event_id) as integer) as iteration from events""")
 def q_number_trials(spark, sf):
     ev = read_table(spark, sf, "events").select(F.col("user_id").alias("run_id"), "event_id", "ts")
-    hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(3_600_000_000)).cast("long")
-    return TR.number_trials(ev, RUN, ["ts", "event_id"], bucket=hour).drop("ts")
+    return TR.number_trials(ev, RUN, ["ts", "event_id"]).drop("ts")
 
 
 _VALID = "objective_score is not null and not isnan(objective_score) and objective_score != cast('-inf' as double)"
@@ -81,7 +83,8 @@ def q_best_trial(spark, sf):
 
 # --- configurations per study (one study per trial run) -----------------------
 
-_SPACE_H1 = TR.SEARCH_SPACES[("random_forest", "random")]
+# a grid of 106 = 2 x 53 cells has no divisor near its root: the permutation walks over 11 x 10
+_SPACE_H1 = {"n_estimators": list(range(10, 540, 10)), "max_features": ["sqrt", "log2"]}
 _N_H1 = 20
 
 
@@ -89,28 +92,24 @@ def _sql_list(vals):
     return "[" + ", ".join("NULL" if v is None else f"'{v}'" for v in vals) + "]"
 
 
-def _random_configs_sql():
-    names = list(_SPACE_H1)
-    sizes = [len(_SPACE_H1[p]) for p in names]
-    grid = math.prod(sizes)
-    primes = TR._primes_above(grid)
-    strides, s = {}, 1
-    for p, size in reversed(list(zip(names, sizes))):
-        strides[p] = s
-        s *= size
-    cols = ", ".join(f"{_sql_list([TR._text(v) for v in _SPACE_H1[p]])}[((config_index // {strides[p]}) % "
-                     f"{len(_SPACE_H1[p])}) + 1] as {p}" for p in names)
-    return f"""
-with s as (select distinct user_id as run_id from events),
-h as (select run_id, md5(concat_ws('|', '42', cast(run_id as varchar))) as h from s),
-ab as (select run_id, {list(primes)}[(('0x' || substr(h, 1, 8))::bigint % {len(primes)}) + 1] as a,
-              ('0x' || substr(h, 9, 8))::bigint % {grid} as b from h),
-j as (select run_id, a, b, unnest(range(0, {min(_N_H1, grid)})) as j from ab),
-c as (select run_id, cast(j + 1 as integer) as config_rank, cast((a * j + b) % {grid} as bigint) as config_index from j)
-select run_id, config_rank, config_index, {cols} from c"""
-
-
-@register("random_configs", _random_configs_sql())
+_RANDOM_CONFIGS_SQL = f"""
+with recursive s as (select distinct user_id as run_id from events),
+w as (
+  select run_id, j, j // 10 as l, j % 10 as r, 0 as i, false as done from s cross join range(0, {_N_H1}) t(j)
+  union all
+  select run_id, j, case when i = 8 then l else case when i % 2 = 0 then (l + ('0x' || substr(h, 1, 12))::bigint % 11) % 11 else l end end,
+         case when i = 8 then r else case when i % 2 = 1 then (r + ('0x' || substr(h, 1, 12))::bigint % 10) % 10 else r end end,
+         case when i = 8 then 0 else i + 1 end, i = 8 and l * 10 + r < 106
+  from (select *, md5(concat_ws('|', '42', cast(run_id as varchar), cast(i as varchar),
+                                cast(case when i % 2 = 0 then r else l end as varchar))) as h from w) x
+  where not done)
+select run_id, cast(j + 1 as integer) as config_rank, cast(l * 10 + r as bigint) as config_index,
+       {_sql_list(list(range(10, 540, 10)))}[(l * 10 + r) // 2 + 1] as n_estimators,
+       ['sqrt', 'log2'][(l * 10 + r) % 2 + 1] as max_features
+from w where done"""
+
+
+@register("random_configs", _RANDOM_CONFIGS_SQL)
 def q_random_configs(spark, sf):
     studies = read_table(spark, sf, "events").select(F.col("user_id").alias("run_id"))
     return TR.random_configs(spark, _SPACE_H1, _N_H1, 42, studies, RUN)
@@ -173,3 +172,14 @@ from r, c"""
 @register("experiment_plan", _plan_sql())
 def q_experiment_plan(spark, sf):
     return TR.experiment_plan(fx.results_fx(spark, sf), _FOLDS, _MODELS, _METHODS)
+
+
+@register("search_documents", f"""
+select run_id, iteration, event_id, objective_score, params from ({TRI}) t""")
+def q_search_documents(spark, sf):
+    """Trials folded into one JSON document per run, written, read back and unfolded."""
+    trials = fx.trials_fx(spark, sf)
+    documents = IN.search_documents(trials, RUN, trials_per_document=16)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/search-documents-{uuid.uuid4().hex}"
+    IN.write_search_documents(documents, path)
+    return IN.explode_history(IN.read_search_documents(spark, path, documents.schema, multi_line=False), RUN)

@@ -10,24 +10,39 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from evalframe.functions.columns import lower_trim, parse_number
 from evalframe.operators._keys import as_list
+from evalframe.session import cut_lineage
 
 ROW_ID = "row_id"
 
 
 # --- S1 ---------------------------------------------------------------------
 
-def with_position(df: DataFrame, name: str = ROW_ID) -> DataFrame:
-    """Dense 0-based position of each row in file order (``zipWithIndex``).
+SPLIT = ("__file", "__start")
+
 
-    Only for inputs that have no key at all; ``monotonically_increasing_id``
-    is not dense, so it cannot pair two files by position."""
-    schema = StructType(df.schema.fields + [StructField(name, LongType(), False)])
-    rdd = df.rdd.zipWithIndex().map(lambda rv: tuple(rv[0]) + (rv[1],))
-    return df.sparkSession.createDataFrame(rdd, schema)
+def with_position(df: DataFrame, name: str = ROW_ID) -> DataFrame:
+    """Dense 0-based position of each row of a file source in file order.
+
+    Files in the order of their paths, splits of a file by their start, rows
+    as they stand.  A split is read by one task from its start to its end, so
+    a row's place in it is its running id minus the split's least one; the
+    splits before it are counted in a table of one row per split.  ``df`` is
+    a file scan with column operations at most (no filter, join or shuffle,
+    which would lose the file's order).  It is written once (checkpoint), so
+    that ids and counts are of the same reading.
+    """
+    from pyspark.sql import Window
+    read = cut_lineage(df.select(*df.columns, F.col("_metadata.file_path").alias("__file"),
+                                 F.col("_metadata.file_block_start").alias("__start"),
+                                 F.monotonically_increasing_id().alias("__id")))
+    splits = read.groupBy(*SPLIT).agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    earlier = Window.orderBy(*SPLIT).rowsBetween(Window.unboundedPreceding, -1)      # one row per split
+    starts = splits.select(*SPLIT, (F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first")).alias("__shift"))
+    return read.join(starts, list(SPLIT)).withColumn(name, F.col("__id") + F.col("__shift")).drop(*SPLIT, "__id", "__shift")
 
 
 def load_examples(spark: SparkSession, features, target, schema: StructType | None = None,
@@ -36,8 +51,9 @@ def load_examples(spark: SparkSession, features, target, schema: StructType | No
     """Features + target -> one table with ``row_id``, features, ``y_true``.
 
     ``features``/``target`` are DataFrames or paths (both required).  With a
-    ``key`` column present on both sides they are joined on it; otherwise the
-    rows are paired by position.  Only the first target column is used unless
+    ``key`` column present on both sides they are joined on it; otherwise both
+    must be file scans and their rows are paired by position (a different
+    number of rows is an error).  Only the first target column is used unless
     ``target_col`` names one."""
     if features is None or target is None:
         raise ValueError("both features and target are required")
@@ -54,8 +70,10 @@ def load_examples(spark: SparkSession, features, target, schema: StructType | No
     if key:
         t = y.select(F.col(key).alias(ROW_ID), F.col(tcol).alias("y_true"))
         return X.withColumnRenamed(key, ROW_ID).join(t, ROW_ID)
-    Xp = with_position(X)
-    yp = with_position(y.select(F.col(tcol).alias("y_true")))
+    Xp, yp = with_position(X), with_position(y.select(F.col(tcol).alias("y_true")))
+    n_x, n_y = (p.agg(F.max(ROW_ID)).first()[0] for p in (Xp, yp))
+    if n_x != n_y:
+        raise ValueError(f"features and target differ in length: last positions {n_x} and {n_y}")
     return Xp.join(yp, ROW_ID)
 
 
@@ -158,9 +176,33 @@ def parse_params(c, names=None, as_double: bool = True):
 
 # --- S8 ---------------------------------------------------------------------
 
-def read_search_documents(spark: SparkSession, path: str) -> DataFrame:
-    """S8 source: one JSON document per file (multi-line)."""
-    return spark.read.option("multiLine", True).json(path)
+def search_documents(trials: DataFrame, keys, iteration: str = "iteration", history: str = "history",
+                     trials_per_document: int = 4096) -> DataFrame:
+    """S8 writer: one document per run, its trials as an array in the order of ``iteration``.
+
+    ``keys`` + ``part`` + ``history`` (all other columns of a trial).  A run
+    with more than ``trials_per_document`` trials is continued in documents
+    with ``part`` 1, 2, ..., so that no document and no task holds an
+    unbounded run."""
+    keys = as_list(keys)
+    rest = [iteration] + [c for c in trials.columns if c not in (*keys, iteration)]
+    part = F.floor((F.col(iteration) - 1) / trials_per_document).cast("int")
+    return (trials.groupBy(*keys, part.alias("part"))
+            .agg(F.array_sort(F.collect_list(F.struct(*rest)), lambda a, b: a[iteration] - b[iteration]).alias(history)))
+
+
+def write_search_documents(documents: DataFrame, path: str) -> str:
+    """One JSON object per document and line; null fields are written, so every trial keeps its shape."""
+    documents.write.mode("errorifexists").option("ignoreNullFields", False).json(path)
+    return path
+
+
+def read_search_documents(spark: SparkSession, path: str, schema: StructType | None = None,
+                          multi_line: bool = True) -> DataFrame:
+    """S8 source: one JSON document per file (``multi_line``) or per line; with the writer's
+    ``schema`` nothing is inferred and every type comes back."""
+    r = spark.read.option("multiLine", multi_line)
+    return (r.schema(schema) if schema is not None else r).json(path)
 
 
 def explode_history(doc: DataFrame, keys=(), history: str = "history") -> DataFrame:

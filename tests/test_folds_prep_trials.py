@@ -42,6 +42,47 @@ def test_save_and_load_folds_prunes_partitions(spark):
         FO.load_folds(spark, d + "_missing").count()
 
 
+def test_bucketed_folds_join_without_an_exchange(spark, tmp_path):
+    ex = fx.features_fx(spark, SF_MID)
+    w = FO.stratified_folds(ex, "y_true", "row_id", k=5).drop("y_true").withColumn("dataset", F.lit("part"))
+    FO.save_folds(w, str(tmp_path / "folds"), buckets=8)
+    FO.save_rows(ex, str(tmp_path / "examples"), buckets=8)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        folds = FO.load_folds(spark, str(tmp_path / "folds"), "part", 3)
+        joined = FO.load_rows(spark, str(tmp_path / "examples")).join(folds, "row_id")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SortMergeJoin" in plan
+        assert "PartitionFilters: [isnotnull(dataset" in plan and "outer_fold" in plan.split("PartitionFilters")[-1]
+        got = sorted(r["row_id"] for r in joined.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == sorted(r["row_id"] for r in w.where("outer_fold = 3").collect())
+    # round trip of everything, and a second load of the same path
+    assert sorted(map(str, FO.load_rows(spark, str(tmp_path / "examples")).collect())) == sorted(map(str, ex.collect()))
+    assert FO.load_folds(spark, str(tmp_path / "folds")).count() == w.count()
+
+
+def test_sparse_features_of_a_large_vocabulary(spark):
+    train = spark.range(3000).select(F.col("id").alias("row_id"), F.col("id").cast("double").alias("x"),
+                                     F.format_string("v%05d", "id").alias("big"), F.lit("only").alias("one"),
+                                     F.when(F.col("id") % 3 > 0, F.concat(F.lit("s"), (F.col("id") % 2).cast("string"))).alias("small"))
+    test = spark.createDataFrame([(1, 0.5, "v00000", "only", "s1"), (2, None, "new", "new", "new"), (3, 0.0, "v02999", None, None)],
+                                 "row_id long, x double, big string, one string, small string")
+    m = PR.fit_prep(train, ["x"], ["big", "one", "small"])
+    assert m.sizes == {"big": 3000, "one": 1, "small": 2}
+    with pytest.raises(ValueError, match="use vectors"):
+        PR.feature_columns(m)
+    v = {r["row_id"]: r["features"] for r in PR.encode_features(m, test, keep=["row_id"]).collect()}
+    assert {v[i].size for i in v} == {1 + 2999 + 1}
+    active = lambda x: {int(i): float(x[int(i)]) for i in range(x.size) if x[int(i)]}
+    assert active(v[1]) == {0: 0.5, 3000: 1.0}          # first category of big: no entry
+    assert active(v[2]) == {0: 1499.5}                  # median; unknown values: no entry
+    assert active(v[3]) in ({2999: 1.0}, {2999: 1.0, 3000: 1.0})
+    assert active(v[3]) == {2999: 1.0}                  # the mode of small is s0 (ties: smaller), its first category
+
+
 def test_prep_learns_on_train_only_and_unknown_is_zero(spark):
     train = spark.createDataFrame([(1, 1.0, "a", True), (2, None, "b", False), (3, 3.0, None, True)],
                                   "row_id long, x double, c string, f boolean")
@@ -49,7 +90,7 @@ def test_prep_learns_on_train_only_and_unknown_is_zero(spark):
     roles = PR.feature_roles(train.schema, exclude=["row_id"])
     assert roles == {"x": "numeric", "c": "categorical", "f": "categorical"}
     m = PR.fit_prep(train, ["x"], ["c", "f"])
-    assert m.vocab == {"c": ["a", "b"], "f": ["0", "1"]}
+    assert m.vocabulary() == {"c": ["a", "b"], "f": ["0", "1"]}
     out = PR.apply_prep(m, test, keep=["row_id"]).first().asDict()
     assert out["x"] == 2.0               # median of the training values
     assert out["c_b"] == 0.0             # unknown -> all zeros (first category dropped)
@@ -72,6 +113,30 @@ def test_random_configs_distinct_and_capped(spark):
     assert per.groupBy("s").agg(F.count_distinct("config_index").alias("n")).where("n != 4").count() == 0
 
 
+@pytest.mark.parametrize("grid", [1, 2, 3, 7, 106, 211, 432, 1009])
+def test_permutation_of_any_grid(spark, grid):
+    j = spark.range(grid).withColumn("key", F.lit("k"))
+    got = [r[0] for r in j.select(TR._permuted(F.col("id"), grid, F.col("key"))).collect()]
+    assert sorted(got) == list(range(grid))
+    if grid > 100:
+        assert sum(a + 1 == b for a, b in zip(got, got[1:])) < grid / 10      # no run of neighbours, as a fixed step has
+
+
+def test_random_configs_are_uniform(spark):
+    """Chi-square over 4000 studies: each cell as first draw, and each pair of first draws."""
+    studies = spark.range(4000).withColumnRenamed("id", "s")
+    space = {"a": [1, 2, 3, 4, 5], "b": [1, 2, 3, 4, 5, 6, 7]}
+    rows = TR.random_configs(spark, space, 2, 42, studies, ["s"]).select("s", "config_rank", "config_index").collect()
+    first = {r["s"]: r["config_index"] for r in rows if r["config_rank"] == 1}
+    second = {r["s"]: r["config_index"] for r in rows if r["config_rank"] == 2}
+    count = lambda values, n: [sum(v == i for v in values) for i in range(n)]     # noqa: E731
+    chi2 = lambda seen: sum((o - sum(seen) / len(seen)) ** 2 / (sum(seen) / len(seen)) for o in seen)
+    assert chi2(count(first.values(), 35)) < 65.2 and chi2(count(second.values(), 35)) < 65.2    # 34 degrees, 0.1 %
+    # the step from the first to the second draw takes every value (a fixed walk has one per study)
+    steps = count([(second[s] - first[s]) % 35 for s in first], 35)[1:]
+    assert min(steps) > 0 and chi2(steps) < 63.9                                                # 33 degrees, 0.1 %
+
+
 def test_sample_space_ranges(spark):
     space = {"n": {"type": "integer", "low": 3, "high": 5},
              "lr": {"type": "real", "low": 0.01, "high": 0.2, "prior": "log-uniform"},
@@ -79,7 +144,7 @@ def test_sample_space_ranges(spark):
     r = TR.sample_space(spark, space, 500, 1).agg(F.min("n"), F.max("n"), F.min("lr"), F.max("lr"),
                                                   F.count_distinct("c")).first()
     assert (r[0], r[1]) == (3, 5) and 0.01 <= r[2] < r[3] <= 0.2 and r[4] == 2
-    with pytest.raises(ValueError, match="Unknown parameter type"):
+    with pytest.raises(ValueError, match="no known type"):
         TR.sample_space(spark, {"z": {"type": "weird"}}, 3)
 
 

@@ -6,6 +6,7 @@ from pyspark.errors import PySparkException
 from evalframe.functions.columns import clean_number
 from evalframe.operators import metrics as M
 from evalframe.operators import models as MO
+from evalframe.operators import search as SE
 from evalframe.operators.labels import check_binary
 
 
@@ -45,6 +46,6 @@ def test_proposals_are_distinct_and_keep_null_and_text_parameters(spark):
                                     "n int, depth int, mf string, objective_score double")
     cands = spark.createDataFrame([(55, None, "sqrt"), (55, None, "sqrt"), (50, None, "sqrt"), (65, 5, "log2"),
                                    (65, 5, "sqrt"), (90, 10, None)], "n int, depth int, mf string")
-    got = [(r["n"], r["depth"], r["mf"]) for r in MO.propose(history, cands, ["n", "depth", "mf"], k=10).collect()]
+    got = [(r["n"], r["depth"], r["mf"]) for r in SE.propose(history, cands, ["n", "depth", "mf"], k=10).collect()]
     assert sorted(map(str, got)) == sorted(map(str, [(55.0, None, "sqrt"), (65.0, 5.0, "log2"), (65.0, 5.0, "sqrt"),
                                                      (90.0, 10.0, None)]))

@@ -28,16 +28,6 @@ def test_param_mapping():
                  "minInstancesPerNode": 3}
 
 
-def test_failures_are_isolated(spark):
-    ex = fx.features_fx(spark, SF_MID)
-    outer = FO.stratified_folds(ex, "y_true", "row_id", k=5, seed=42)
-    plan = [{"dataset": "part", "outer_fold": 1, "model": "no_such_model", "optimizer": "random"}]
-    res, fails = MO.run_experiments(plan, ex, outer, lambda row: [{"n_estimators": 5}], sensitive="cat_b")
-    assert res is None
-    f = fails.collect()
-    assert len(f) == 1 and "Unknown model" in f[0]["error"]
-
-
 def test_probability_is_for_the_resolved_positive_label(spark):
     # 'yes' is the positive label by rule, but it sorts before 'zzz', so the
     # model's class-1 probability belongs to 'zzz' and must be flipped
