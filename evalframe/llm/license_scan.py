@@ -25,7 +25,7 @@ CONTAINMENT = 0.8
 ROWS = 2
 MISS = 1e-6
 MAX_TEMPLATES = 2_000      # bound of the template table, which is broadcast
-WORD = r"[a-z0-9]+(?:[.\x2D][a-z0-9]+)*"
+WORD = r"[a-z0-9]++(?:[.\x2D][a-z0-9]++)*+"     # possessive: a long dotted token is one loop, no recursion
 
 # short notices that name a license
 TEMPLATES = (

@@ -284,6 +284,14 @@ def test_licenses(spark, texts, messy):
     assert len(license_scan.scan_licenses(messy).collect()) == len(MESSY)
 
 
+def test_license_scan_of_a_long_dotted_token(spark):
+    notice = "Licensed under the Apache License, Version 2.0."
+    df = spark.createDataFrame([(1, notice + " " + ".".join(["1"] * 100_000)), (2, notice), (3, "-".join(["a1"] * 50_000))],
+                               "doc_id long, text string")
+    got = {r["doc_id"]: [x["license"] for x in r["licenses"]] for r in license_scan.scan_licenses(df).collect()}
+    assert got == {1: ["Apache-2.0"], 2: ["Apache-2.0"], 3: []}
+
+
 def test_mixing(spark, docs, messy):
     got = queries.op10_mixing(spark, SF_SMALL).join(docs.select("doc_id", "source"), "doc_id").toPandas()
     per = got.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
