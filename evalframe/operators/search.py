@@ -223,8 +223,9 @@ def propose_batch(history: DataFrame, candidates: DataFrame, param_cols, k: int,
 def search(candidates: DataFrame, param_cols, evaluate: Callable[[DataFrame], DataFrame], n_trials: int,
            method: str = "guided", batch: int = 4, n_initial: int | None = None,
            metric: str = "mean_balanced_accuracy", fairness_weight: float = 0.0, seed: int = 42, kappa: float = 1.0,
-           spread: float = 0.1, store: TrialStore | None = None, run: str = "search") -> DataFrame:
-    """M10's loop: the trial table (iteration, optimizer, origin, params, parameters, metrics, objective_score).
+           spread: float = 0.1, store: TrialStore | None = None, run: str = "search",
+           tags: dict | None = None) -> DataFrame:
+    """M10's loop: the trial table (``tags`` as columns, iteration, optimizer, origin, params, parameters, metrics, objective_score).
 
     ``evaluate`` maps the rows of a batch (``iteration`` and the parameters) to
     rows of ``iteration`` and metrics, in one job for the whole batch.  Ends
@@ -262,7 +263,7 @@ def search(candidates: DataFrame, param_cols, evaluate: Callable[[DataFrame], Da
         scored = objective_score(evaluate(picks), metric, fairness_weight)
         metrics = [c for c in scored.columns if c != "iteration"]
         trials = picks.join(scored, "iteration", "left").select(
-            "iteration", F.lit(method).alias("optimizer"), F.lit("guided" if guided else "random").alias("origin"),
+            *[F.lit(v).alias(k) for k, v in (tags or {}).items()], "iteration", F.lit(method).alias("optimizer"), F.lit("guided" if guided else "random").alias("origin"),
             _params(cols).alias("params"), *cols,
             *[F.coalesce(F.col(c), F.lit(NO_SCORE)).alias(c) if c == "objective_score" else F.col(c) for c in metrics])
         store.append(trials.coalesce(1).sortWithinPartitions("iteration"), run, len(store.batches(run)))
@@ -315,7 +316,8 @@ def run_search(examples: DataFrame, outer: DataFrame, outer_fold: int, model: st
     n_trials = n_trials or candidates.distinct().count()
     splits = MO.inner_splits(examples, outer, outer_fold, sensitive=sensitive)
     trials = search(candidates, cols, model_evaluator(model, splits, cols, seed, parallel), n_trials, optimizer, batch,
-                    metric=metric, fairness_weight=fairness_weight, store=store, run=run, **kw)
+                    metric=metric, fairness_weight=fairness_weight, store=store, run=run,
+                    tags={"dataset": dataset, "outer_fold": outer_fold, "model": model}, **kw)
     best = best_trial(trials.withColumn("run", F.lit(1)), ["run"]).first()
     if best["error"]:
         raise RuntimeError(best["error"])
@@ -327,6 +329,4 @@ def run_search(examples: DataFrame, outer: DataFrame, outer_fold: int, model: st
         F.lit(optimizer).alias("optimizer"), *[F.col(m) for m in M.METRICS],
         F.lit(float(best["objective_score"])).alias("best_objective_score"),
         F.lit(json.dumps(params)).alias("best_params"))
-    keys = {"dataset": dataset, "outer_fold": outer_fold, "model": model}
-    trials = trials.select(*[F.lit(v).alias(k) for k, v in keys.items()], *trials.columns)
     return SearchResult(result.withColumn("runtime_seconds", F.lit(time.time() - t0)), trials, params)

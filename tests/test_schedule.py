@@ -102,6 +102,7 @@ def test_real_search_in_a_plan(spark, tmp_path):
     assert 0.5 < best["roc_auc"] <= 1
     assert "no estimator for model" in store.failures().first()["error"]
     trials = store.history().collect()
+    assert {(t["dataset"], t["outer_fold"], t["model"]) for t in trials} == {("part", 1, "random_forest")}
     top = max(trials, key=lambda t: (t["objective_score"], -t["iteration"]))
     assert len(trials) == 2 and top["objective_score"] == best["best_objective_score"]
     assert json.loads(top["params"]) == json.loads(best["best_params"])
