@@ -1,11 +1,13 @@
 """Checked queries over fold-level experiment results: summaries, outliers,
 chart data, paired joins and paired tests.  The oracles use self-joins and
-unsplit windows, the library uses conditional aggregation and bucketed ranks."""
+unsplit windows, the library uses conditional aggregation and ranks by ranges."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evalframe.functions.columns import nan_to_null
+from evalframe.functions.pvalues import t_pvalue_udf
 from evalframe.operators import pairs as PA
 from evalframe.operators import summary as S
 from evalframe.operators.fairness import fairness_dim
@@ -286,6 +288,27 @@ def q_comparison_families(spark, sf):
     return round_doubles(t.drop("t_pvalue", "wilcoxon_pvalue"))
 
 
+# Student's t for whole degrees of freedom: the finite cosine series of its distribution function
+_T_TAIL_SQL = f"""
+with t as (select study, {_TK}, n, t_statistic as t from ({_tests_sql(RES_S, True, False)}) x),
+a as (select *, n - 1 as df, atan(abs(t) / sqrt(n - 1)) as x from t),
+b as (select *, case when df % 2 = 1
+    then 2 / pi() * (x + sin(x) * coalesce(list_sum(list_transform(range(0, (df - 1) // 2), lambda j:
+           sqrt(pi()) / 2 * exp(lgamma(j + 1.0::double) - lgamma(j + 1.5::double)) * pow(cos(x), 2 * j + 1))), 0))
+    else sin(x) * list_sum(list_transform(range(0, df // 2), lambda j:
+           exp(lgamma(j + 0.5::double) - lgamma(j + 1.0::double)) / sqrt(pi()) * pow(cos(x), 2 * j))) end as inner_mass
+  from a)
+select study, {_TK}, n, 1 - inner_mass as t_pvalue from b"""
+
+
+@register("t_pvalues", round_sql(_T_TAIL_SQL, ["t_pvalue"]))
+def q_t_pvalues(spark, sf):
+    """T3 per test and study."""
+    t = PA.paired_summary(_families(spark, sf), _TKEYS)
+    p = t_pvalue_udf(F.col("t_statistic"), (F.col("n") - 1).cast("double"))
+    return round_doubles(t.select(*_TKEYS, "n", nan_to_null(p).alias("t_pvalue")))
+
+
 @register("paired_pvalues")
 def q_paired_pvalues(spark, sf):
     """T3 + T6 per test and study (rows-only; p-values are gold-checked in tests)."""
