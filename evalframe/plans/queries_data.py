@@ -11,7 +11,7 @@ from evalframe.operators import folds as FO
 from evalframe.operators import prep as PR
 from evalframe.operators import quality as Q
 from evalframe.operators.fairness import fairness_dim, flag_fairness, split_sensitive
-from evalframe.operators.labels import encode_target
+from evalframe.operators.labels import check_binary, decode_predictions, encode_target, positive_probability
 from evalframe.plans import fixtures as fx
 from evalframe.plans.catalog import register
 from evalframe.session import ensure_checkpoint_dir
@@ -404,3 +404,63 @@ from ({fx.RESULTS_FX_SQL}) r""")
 def q_flag_fairness(spark, sf):
     dim = fairness_dim(spark, fx.RESULTS_FAIRNESS_DIM)
     return flag_fairness(fx.results_fx(spark, sf), dim)
+
+
+# --- operators between the tables and the model jobs ---------------------------
+
+_NUMERIC = ["accuracy", "balanced_accuracy", "f1", "roc_auc", "demographic_parity_difference",
+            "equal_opportunity_difference", "runtime_seconds"]
+
+
+@register("write_results", f"select * replace (lower(dataset) as dataset) from ({fx.RESULTS_FX_SQL}) r")
+def q_write_results(spark, sf):
+    """S2 + S4 + S5: results written as CSV and read back as numbers."""
+    at = f"{ensure_checkpoint_dir(spark).rstrip('/')}/results-{uuid.uuid4().hex}"
+    results = fx.results_fx(spark, sf)
+    back = IN.read_results(spark, IN.write_results(results, at), _NUMERIC)
+    return back.select(results.columns)
+
+
+@register("label_violations", """
+with l as (select user_id as run_id, event_type as v from events
+           union select user_id, case when event_id % 7 = 0 then 'click' else event_type end from events)
+select run_id, count(*) as n_labels from l group by run_id having count(*) != 2""")
+def q_label_violations(spark, sf):
+    """V8: users whose observed and predicted event types are not exactly two values."""
+    ev = read_table(spark, sf, "events")
+    preds = ev.select(F.col("user_id").alias("run_id"), F.col("event_type").alias("y_true"),
+                      F.when(F.col("event_id") % 7 == 0, "click").otherwise(F.col("event_type")).alias("y_pred"))
+    return check_binary(preds, ["run_id"])
+
+
+@register("decode_predictions", f"""
+with p as ({fx.PREDICTIONS_FX_SQL}),
+m as (select run_id, min(y_true) as l0, max(y_true) as l1 from p group by run_id)
+select p.run_id, p.row_id, case when y_prob >= 0.5 then l1 else l0 end as y_pred, y_prob
+from p join m on p.run_id = m.run_id""")
+def q_decode_predictions(spark, sf):
+    """P5 + P6: model output (class number, probability vector) back to labels and the probability of class 1."""
+    from pyspark.ml.functions import array_to_vector
+    p = fx.predictions_fx(spark, sf)
+    _, _, mapping = encode_target(p.select("run_id", "y_true"), None, ["run_id"], "y_true")
+    scored = p.select("run_id", "row_id", F.when(F.col("y_prob") >= 0.5, 1.0).otherwise(0.0).alias("prediction"),
+                      array_to_vector(F.array(1.0 - F.col("y_prob"), F.col("y_prob"))).alias("probability"))
+    out = positive_probability(decode_predictions(scored, mapping, ["run_id"]))
+    return out.select("run_id", "row_id", "y_pred", "y_prob")
+
+
+_ROLES = {"num_a": "numeric", "num_b": "numeric", "cat_a": "categorical", "cat_b": "categorical", "flag": "categorical"}
+
+
+@register("feature_roles", " union all ".join(
+    f"select '{c}' as name, '{r}' as role, count({c}) as n_values, count(distinct {c}) as n_distinct from ({FEAT}) f"
+    for c, r in _ROLES.items()))
+def q_feature_roles(spark, sf):
+    """The role of each feature column, with its values counted as that role reads them."""
+    ex = fx.features_fx(spark, sf)
+    roles = PR.feature_roles(ex.schema, exclude=["row_id", "y_true"])
+    long = ex.select(*[F.col(c).cast("string").alias(c) for c in roles]).unpivot([], list(roles), "name", "value")
+    role = F.element_at(F.create_map(*[F.lit(x) for pair in roles.items() for x in pair]), F.col("name"))
+    per = long.groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("name").agg(F.sum(F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0)).cast("long").alias("n_values"),
+                                   F.count("value").alias("n_distinct")).select("name", role.alias("role"), "n_values", "n_distinct")
