@@ -246,10 +246,8 @@ TIES = 12
 
 
 def _families(spark, sf, study=True):
-    from pyspark import StorageLevel
     r = fx.results_fx(spark, sf, study=study)
-    pairs = PA.comparison_pairs(r, F.col("dataset") == "A", ["study"] if study else [])
-    return pairs.persist(StorageLevel.MEMORY_AND_DISK)   # read by several aggregates
+    return PA.comparison_pairs(r, F.col("dataset") == "A", ["study"] if study else [])
 
 
 _TKEYS = ["study"] + list(PA.TEST_KEYS)
@@ -309,11 +307,55 @@ def q_t_pvalues(spark, sf):
     return round_doubles(t.select(*_TKEYS, "n", nan_to_null(p).alias("t_pvalue")))
 
 
-@register("paired_pvalues")
+# exact tests: the number of sign assignments per rank sum, one rank after the other; the others:
+# the normal tail by the series of the error function
+_W_TAIL_SQL = f"""
+with recursive {_pairs_sql(RES_S, True)},
+d as (select study, {_TK}, round(right_value - left_value, 12) as d from f),
+tests as (select row_number() over () as tid, x.* from (
+  select study, {_TK}, count(*) as n, count(*) filter (d != 0) as m from d group by all) x),
+rk as (select tid, d, cast(2 * rank() over (partition by tid order by abs(d)) as bigint)
+                      + count(*) over (partition by tid, abs(d)) - 1 as r2
+       from d join tests using (study, {_TK}) where d != 0),
+w as (select tid, least(sum(r2) filter (d > 0), sum(r2) filter (d < 0), coalesce(sum(r2) filter (d > 0), 0),
+                        coalesce(sum(r2) filter (d < 0), 0)) as w2 from rk group by tid),
+ties as (select tid, sum(c * c * c - c) as tie_term, max(c) > 1 as tied from (
+  select tid, r2, count(*)::double as c from rk group by tid, r2) x group by tid),
+t as (select tests.*, w2, tie_term, (n = m and not tied and n <= 50) or n <= 13 as exact
+      from tests left join w using (tid) left join ties using (tid)),
+ranks as (select tid, r2, row_number() over (partition by tid order by r2) as i from rk join t using (tid) where exact and m >= 2),
+dp as (
+  select tid, 0::bigint as i, 0::bigint as s, 1::double as c from t where exact and m >= 2
+  union all
+  select tid, i, s, sum(c) from (
+    select dp.tid, ranks.i, dp.s + x * ranks.r2 as s, dp.c from dp join ranks on ranks.tid = dp.tid and ranks.i = dp.i + 1
+    cross join (values (0::bigint), (1::bigint)) sign(x)) step group by tid, i, s),
+exact_p as (select t.tid, least(1.0, 2 * sum(c) / pow(2, any_value(m))) as p
+            from t join dp on dp.tid = t.tid and dp.i = t.m and dp.s <= t.w2 group by t.tid),
+z as (select tid, abs(w2 / 2.0 - m * (m + 1) / 4.0) / sqrt(m * (m + 1) * (2 * m + 1) / 24.0 - tie_term / 48.0) / sqrt(2) as x
+      from t where not exact and m >= 2),
+normal_p as (select tid, case when x = 0 then 1.0 else 1 - exp(-x * x) * x * list_sum(list_transform(range(0, 300),
+               lambda k: exp(2 * k * ln(x) - lgamma(k + 1.5::double)))) end as p from z)
+select study, {_TK}, cast(n as bigint) as n,
+       cast(case when m = 0 then 1.0 when m >= 2 then coalesce(exact_p.p, normal_p.p) end as double) as wilcoxon_pvalue
+from t left join exact_p using (tid) left join normal_p using (tid)"""
+
+
+@register("wilcoxon_pvalues", round_sql(_W_TAIL_SQL, ["wilcoxon_pvalue"]))
+def q_wilcoxon_pvalues(spark, sf):
+    """T6 per test and study."""
+    pairs = _families(spark, sf)
+    n = pairs.groupBy(*_TKEYS).agg(F.count(F.lit(1)).alias("n"))
+    return round_doubles(n.join(PA.wilcoxon(pairs, _TKEYS, TIES), _TKEYS).select(*_TKEYS, "n", "wilcoxon_pvalue"))
+
+
+@register("paired_pvalues", round_sql(f"""
+select a.*, b.wilcoxon_pvalue from ({_T_TAIL_SQL}) a
+join (select study, {_TK}, wilcoxon_pvalue from ({_W_TAIL_SQL}) w) b using (study, {_TK})""", ["t_pvalue", "wilcoxon_pvalue"]))
 def q_paired_pvalues(spark, sf):
-    """T3 + T6 per test and study (rows-only; p-values are gold-checked in tests)."""
+    """T3 + T6 per test and study, from one table of paired tests."""
     t = PA.paired_tests(_families(spark, sf), _TKEYS, TIES)
-    return t.select(*_TKEYS, "n", "t_pvalue", "wilcoxon_pvalue")
+    return round_doubles(t.select(*_TKEYS, "n", "t_pvalue", "wilcoxon_pvalue"))
 
 
 @register("effect_label", round_sql(f"""
