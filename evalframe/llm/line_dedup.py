@@ -29,6 +29,7 @@ from evalframe.llm._store import BROADCAST_BYTES, FEW_ROWS, settled, stored, wit
 EDITS = 2
 MIN_CHARS = 24
 BROADCAST_ROWS = 500_000     # ids: 4 MB
+LOOK = 16                    # columns of the edit distance between two looks at what can still match
 _BASE = 0x9E3779B97F4A7C15
 _MAX_BLOCK = 1 << 21        # characters hashed at a time
 _cache: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -125,59 +126,70 @@ def within(a: list[str], b: list[str], edits: int) -> np.ndarray:
     """Which pairs are at most ``edits`` edits apart.
 
     Bit-parallel columns (Myers) in a band of 2 * edits + 1 diagonals, which
-    moves down one row a column (Hyyro); all pairs run side by side, and a
-    pair stops when its length is done.
+    moves down one row a column (Hyyro); all pairs run side by side.  A pair
+    leaves when its length is done, or at the next look (every ``LOOK``
+    columns) after all of its band is beyond ``edits``: it can't come back.
     """
     n = len(a)
     if not n:
         return np.empty(0, bool)
     la, lb = np.fromiter(map(len, a), np.int64, n), np.fromiter(map(len, b), np.int64, n)
-    order = np.argsort(-lb, kind="stable")
-    la, lb = la[order], lb[order]
-    ok = np.abs(la - lb) <= edits
-    flat = lambda x: np.frombuffer("".join(x[i] for i in order).encode("utf-32-le", "surrogatepass"), np.uint32)
+    out = np.zeros(n, bool)
+    out[(lb == 0) & (la <= edits)] = True
+    pair = np.flatnonzero((np.abs(la - lb) <= edits) & (lb > 0))
+    pair = pair[np.argsort(-lb[pair], kind="stable")]
+    la, lb = la[pair], lb[pair]
+    flat = lambda x: np.frombuffer("".join(x[i] for i in pair).encode("utf-32-le", "surrogatepass"), np.uint32)
     fa, fb = np.append(flat(a), np.uint32(0)), flat(b)
     sa, sb = np.cumsum(la) - la, np.cumsum(lb) - lb
     # row r of the band at column j is a[j - edits + r]; dist[r] is D[j - edits + r, j]
     width = 2 * edits + 1
-    far = np.int64(edits + 1)
     top = np.uint64(1 << (width - 1))
-    vp = np.full(n, sum(1 << r for r in range(edits, width)), np.uint64)    # column 0: rows count up from row 0
-    vn = np.zeros(n, np.uint64)
-    at = np.full(n, edits, np.int64)          # D of the band's lowest row, which is row j + edits
-    result = np.where(lb == 0, la, far)
-    longest = int(lb.max(initial=0))
-    active = np.searchsorted(-lb, -np.arange(longest), side="left")
+    vp = np.full(pair.size, sum(1 << r for r in range(edits, width)), np.uint64)    # column 0: rows count up from row 0
+    vn = np.zeros(pair.size, np.uint64)
+    at = np.full(pair.size, edits, np.int64)          # D of the band's lowest row, which is row j + edits
     one, band = np.uint64(1), np.uint64((1 << width) - 1)
-    for j in range(longest):
-        m = active[j]
-        ch = fb[sb[:m] + j]
-        eq = np.zeros(m, np.uint64)
+
+    def upward(own):
+        """(band row, D there) from the lowest row up."""
+        d = at[own].copy()
+        for r in range(width - 1, -1, -1):
+            yield r, d
+            if r:
+                bit = np.uint64(r - 1)
+                d = d - (((vp[own] >> bit) & one).astype(np.int64) - ((vn[own] >> bit) & one).astype(np.int64))
+
+    def only(keep):
+        return [x[keep] for x in (pair, la, lb, sa, sb, vp, vn, at)]
+
+    j = 0
+    while pair.size:
+        ch = fb[sb + j]
+        eq = np.zeros(pair.size, np.uint64)
         for r in range(width):
             i = j - edits + r                  # the new column's row i + 1 compares a[i]
             if i >= 0:
-                inside = i < la[:m]
-                eq |= (((fa[np.minimum(sa[:m] + i, fa.size - 1)] == ch) & inside).astype(np.uint64)) << np.uint64(r)
-        p, v = vp[:m], vn[:m]
-        d0 = ((((eq & p) + p) ^ p) | eq | v) & band
-        hp = v | ~(d0 | p)
-        hn = d0 & p
-        at[:m] += 1 - ((d0 & top) != 0).astype(np.int64)     # along the diagonal
+                eq |= (((fa[np.minimum(sa + i, fa.size - 1)] == ch) & (i < la)).astype(np.uint64)) << np.uint64(r)
+        d0 = ((((eq & vp) + vp) ^ vp) | eq | vn) & band
+        hp = vn | ~(d0 | vp)
+        hn = d0 & vp
+        at = at + 1 - ((d0 & top) != 0).astype(np.int64)     # along the diagonal
         x = d0 >> one
-        vp[:m] = (hn | ~(x | hp)) & band      # already in line with the next column's rows
-        vn[:m] = hp & x
-        done = np.flatnonzero(lb[:m] == j + 1)
-        if done.size:
-            # walk up from the lowest row (j + 1 + edits) to row la
-            d = at[done].copy()
-            for r in range(width - 1, -1, -1):
-                row = j + 1 - edits + r
-                here = la[done] == row
-                result[done[here]] = d[here]
-                bit = np.uint64(max(0, r - 1))
-                d -= ((vp[done] >> bit) & one).astype(np.int64) - ((vn[done] >> bit) & one).astype(np.int64)
-    out = np.empty(n, bool)
-    out[order] = ok & (result <= edits)
+        vp = (hn | ~(x | hp)) & band      # already in line with the next column's rows
+        vn = hp & x
+        j += 1
+        done = np.flatnonzero(lb == j)
+        for r, d in upward(done) if done.size else ():
+            here = la[done] == j - edits + r
+            out[pair[done[here]]] = d[here] <= edits
+        keep = lb > j
+        if j % LOOK == 0:
+            near = np.zeros(pair.size, bool)
+            for _, d in upward(slice(None)):
+                near |= d <= edits
+            keep &= near
+        if not keep.all():
+            pair, la, lb, sa, sb, vp, vn, at = only(keep)
     return out
 
 
