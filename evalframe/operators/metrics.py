@@ -73,7 +73,8 @@ def _runs(preds: DataFrame, keys, positive: str | None, sensitive: str | None, s
     if score:
         ct = counts.groupBy(*keys, "y_true", "y_pred", "sensitive").agg(F.sum("n").alias("n"))
     labels = _labels(counts, keys, numeric, positive)
-    j = join_on_keys(ct, labels, keys)
+    # a run's few counts are dealt by run once: the aggregates below need no exchange of their own
+    j = join_on_keys(ct.repartition(*keys) if keys else ct.repartition(1), labels, keys)
     pos = F.col("positive_label")
     j = j.withColumns({"t_pos": F.col("y_true") == pos, "p_pos": F.col("y_pred") == pos})
     n, t, p = F.col("n"), F.col("t_pos"), F.col("p_pos")

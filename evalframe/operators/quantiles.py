@@ -54,11 +54,11 @@ def _bracket(q: Column, n: Column, probs: list[float], k: int, accuracy: int) ->
 
 
 def exact_quantiles(df: DataFrame, keys, value: str, probs, names=None, accuracy: int = ACCURACY,
-                    carry=()) -> DataFrame:
+                    carry=(), deal_by=None) -> DataFrame:
     """One row per group: ``keys``, the aggregates ``carry`` (taken in the first pass, over all
     rows of the group) and one column per probability (linear interpolation between the order
     statistics at floor/ceil of (n-1)p).  NULL and NaN values are ignored; a group without
-    values gets NULLs."""
+    values gets NULLs.  ``deal_by``: some of the keys, by which the caller aggregates next."""
     keys = as_list(keys)
     probs = [float(p) for p in probs]
     names = list(names) if names else [f"q{int(round(p * 100))}" for p in probs]
@@ -81,7 +81,8 @@ def exact_quantiles(df: DataFrame, keys, value: str, probs, names=None, accuracy
     met = (j.select(*of_group, F.explode(F.filter(places, lambda x: x.isNotNull())).alias("__p"))
             .groupBy(*of_group, F.col("__p.k").alias("__k"), F.col("__p.v").alias("__v")).agg(F.count(F.lit(1)).alias("__c")))
     # dealt by group once: the window and both aggregates below need no exchange of their own
-    met = met.repartition(*keys) if keys else met.repartition(1)
+    deal_by = keys if deal_by is None else as_list(deal_by)
+    met = met.repartition(*deal_by) if deal_by else met.repartition(1)
     earlier = Window.partitionBy(*keys, "__k").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
     first = F.coalesce(F.sum("__c").over(earlier), F.lit(0))
     position = (F.col("__n") - 1) * F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("__k") + 1)
@@ -117,7 +118,7 @@ def wide_quantiles(df: DataFrame, keys, cols, probs, names, carry=()) -> DataFra
     cols = list(cols)
     long = df.select(*keys, *[nan_to_null(F.col(c).cast("double")).alias(c) for c in cols]).unpivot(keys, cols, "__col", "__val")
     q = exact_quantiles(long, keys + ["__col"], "__val", probs, names=[f"__q{i}" for i in range(len(probs))],
-                        carry=[f(F.col("__val")).alias(f"__a{i}") for i, (_, f) in enumerate(carry)])
+                        deal_by=keys, carry=[f(F.col("__val")).alias(f"__a{i}") for i, (_, f) in enumerate(carry)])
     own = lambda c, x: F.max(F.when(F.col("__col") == c, F.col(x)))
     return q.groupBy(*keys).agg(*[own(c, f"__q{i}").alias(n.format(col=c)) for c in cols for i, n in enumerate(names)],
                                 *[own(c, f"__a{i}").alias(n.format(col=c)) for c in cols for i, (n, _) in enumerate(carry)])

@@ -140,7 +140,7 @@ def compare_methods(results: DataFrame, factor: str, left: str, right: str, by=(
     by = as_list(by)
     long = unpivot_metrics(results.where(F.col(factor).isin(left, right)), by + [factor], metrics)
     v = nan_to_null(F.col("value"))
-    per_side = exact_quantiles(long, by + ["metric", factor], "value", [0.5], names=["median"],
+    per_side = exact_quantiles(long, by + ["metric", factor], "value", [0.5], names=["median"], deal_by=by + ["metric"],
                                carry=[F.avg(v).alias("mean"), F.stddev_samp(v).alias("std")])
     g = per_side.groupBy(*by, "metric").agg(*[
         F.max(F.when(F.col(factor) == side, F.col(s))).alias(f"{side}_{s}") for side in (left, right)
