@@ -32,6 +32,7 @@ BATCH = 13                # signature values compared at a time
 MISS = 1e-7               # posterior probability below which a pair is dropped
 BROADCAST_ROWS = 100_000  # (id, text key) pairs: under 10 MB
 SHINGLE_BLOCK = 1 << 18   # shingles hashed at a time
+WHOLE = 128               # sets up to this size are compared whole inside the last join
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -278,20 +279,28 @@ def _in_components(docs: DataFrame, shingle: int, percent: int, id_col: str, tex
     def prefixes(ids: DataFrame) -> DataFrame:
         """The rarest shingles of each set, so many that two sets above the
         threshold have one in common (any order that all sets share will do;
-        rarity here counts within ``ids``)."""
+        rarity here counts within ``ids``); and small sets whole, as the upper
+        halves of their hashes.  (The sets of a family just below the threshold
+        agree in prefixes and sketches: only the sets themselves tell.)"""
         rows = stored(texts_of(ids).mapInPandas(_shingle_rows(shingle), "id long, h long"), "near-shingles")
         ranked = rows.join(rows.groupBy("h").agg(F.count("*").alias("n")), "h").groupBy("id").agg(
             F.array_sort(F.collect_list(F.struct("n", "h"))).alias("s"))
         size = F.size("s")
         return ranked.select("id", F.transform(F.slice("s", F.lit(1), size - F.ceil(size * percent / 100).cast("int") + 1),
-                                               lambda x: x["h"]).alias("prefix"))
+                                               lambda x: x["h"]).alias("prefix"),
+                             F.when(size <= WHOLE, F.transform("s", lambda x: F.shiftright(x["h"], 32).cast("int"))).alias("whole"))
 
     def agree(i, p):
         """Prefixes meet, and early enough: what both sets hold from their first
-        common shingle on must suffice for the threshold."""
+        common shingle on must suffice for the threshold.  Small sets must meet
+        the threshold themselves, so that only survivors become rows."""
         first = F.get(F.array_intersect(i("prefix"), p("prefix")), F.lit(0))
         most = F.least(i("n") - F.array_position(i("prefix"), first), p("n") - F.array_position(p("prefix"), first)) + 1
-        return F.arrays_overlap(i("prefix"), p("prefix")) & (most * (100 + percent) >= percent * (i("n") + p("n")))
+        # one more is granted: two hashes of a set may have equal upper halves
+        both = F.size(F.array_intersect(i("whole"), p("whole"))) + 1
+        small = i("whole").isNotNull() & p("whole").isNotNull()
+        return (F.arrays_overlap(i("prefix"), p("prefix")) & (most * (100 + percent) >= percent * (i("n") + p("n")))
+                & (~small | (both * (100 + percent) >= percent * (i("n") + p("n")))))
 
     def verify(pairs: DataFrame) -> DataFrame:
         return settled(docs.sparkSession, lambda: compared(pairs), "near-links", rows=FEW_ROWS)

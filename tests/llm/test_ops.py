@@ -284,6 +284,21 @@ def test_licenses(spark, texts, messy):
     assert len(license_scan.scan_licenses(messy).collect()) == len(MESSY)
 
 
+def test_near_duplicates_of_a_family_just_below_the_threshold(spark):
+    """Texts of 60 words with 3 of them changed, each: nearly all pairs are just below 0.8, few are linked."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(150):
+        t = [f"w{k}" for k in range(60)]
+        for at in rng.choice(60, 3, replace=False):
+            t[at] = f"x{rng.integers(10 ** 6)}"
+        rows.append((i, " ".join(t)))
+    rows += [(200 + i, rows[i][1].replace("w7 ", "y7 ")) for i in range(0, 150, 10)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()
+    want = brute.near_duplicates(rows, 2, 80)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
 def test_license_scan_of_a_long_dotted_token(spark):
     notice = "Licensed under the Apache License, Version 2.0."
     df = spark.createDataFrame([(1, notice + " " + ".".join(["1"] * 100_000)), (2, notice), (3, "-".join(["a1"] * 50_000))],
