@@ -34,6 +34,8 @@ from evalframe.sources import paths
 
 METHODS = ("random", "guided", "bayesian")     # bayesian: the guided search under its usual name
 NO_SCORE = float("-inf")
+FIT_ROWS = 500_000     # trials that one task of the surrogate's fit reads, on average
+SAME_ROWS = 10_000     # equal trials that go to one task together
 
 
 # --- trial store --------------------------------------------------------------
@@ -120,6 +122,21 @@ def _valid(score: str) -> Column:
     return s.isNotNull() & ~F.isnan(s) & (s != F.lit(NO_SCORE))
 
 
+def _training_rows(rows: DataFrame) -> DataFrame:
+    """The same rows, dealt to tasks of about ``FIT_ROWS`` in an order that only the rows decide.
+
+    Equal rows travel as one row with a count, in pieces of ``SAME_ROWS``, and
+    are copies again where they arrive: neither a long history nor a trial
+    repeated millions of times meets in one task."""
+    cols = rows.columns
+    counted = cut_lineage(rows.groupBy(*cols).agg(F.count(F.lit(1)).alias("__n")))
+    n = counted.agg(F.sum("__n")).first()[0] or 0
+    pieces = counted.withColumn("__piece", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(__n - 1) div {SAME_ROWS}"))))
+    dealt = pieces.repartition(max(1, -(-n // FIT_ROWS)), *cols, "__piece")
+    copies = F.least(F.lit(SAME_ROWS).cast("long"), F.col("__n") - F.col("__piece") * SAME_ROWS).cast("int")
+    return dealt.select(*cols, F.explode(F.array_repeat(F.lit(True), copies))).select(*cols).sortWithinPartitions(*cols)
+
+
 def surrogate_scores(history: DataFrame, candidates: DataFrame, cols, kappa: float, score: str, num_trees: int,
                      seed: int) -> DataFrame:
     """``candidates`` with surrogate_mean, surrogate_sd, acquisition, and the inputs ``__x_{c}``.
@@ -146,9 +163,10 @@ def surrogate_scores(history: DataFrame, candidates: DataFrame, cols, kappa: flo
 
     inputs = [f"__{kind}_{c}" for c in cols for kind in ("x", "null")]
     va = VectorAssembler(inputCols=inputs, outputCol="__features", handleInvalid="error")
-    # trials are few: one partition in a fixed order makes the fit repeatable
-    train = va.transform(encoded(valid.withColumn("label", F.col(score).cast("double")))).select(
-        "label", "__features", *inputs).coalesce(1).sortWithinPartitions(*inputs, "label")
+    # fixed partitions in a fixed order make the fit repeatable (up to FIT_ROWS trials to the
+    # last bit: one task sums them; beyond, tasks' sums may meet in another order)
+    train = va.transform(_training_rows(encoded(valid.withColumn("label", F.col(score).cast("double"))).select(
+        *inputs, "label")))
     rf = RandomForestRegressor(numTrees=num_trees, maxDepth=8, seed=seed, featureSubsetStrategy="all",
                                featuresCol="__features", subsamplingRate=1.0, bootstrap=True).fit(train)
     scored = va.transform(encoded(candidates))

@@ -1,6 +1,7 @@
 """Guided search over a growing trial table, and its store."""
 
 import json
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -128,3 +129,25 @@ def test_dense_positions_of_a_hot_group(spark):
         own = sorted((r["v"], r["position"]) for r in rows if r["g"] == g)
         assert [p for _, p in own] == list(range(len(own)))
     assert dense_positions(df.limit(0), ["g"], ["v"]).isEmpty()
+
+
+def test_surrogate_fit_is_dealt_out(spark, monkeypatch):
+    """A long history is fitted by several tasks, half of it copies of one trial; no row is lost."""
+    from pyspark.ml.regression import RandomForestRegressor
+    monkeypatch.setattr(SE, "FIT_ROWS", 500, raising=False)
+    monkeypatch.setattr(SE, "SAME_ROWS", 30, raising=False)
+    seen, fit = [], RandomForestRegressor.fit
+
+    def spy(self, df, *args):
+        seen.extend(df.select("label", F.spark_partition_id().alias("at")).collect())
+        return fit(self, df, *args)
+
+    monkeypatch.setattr(RandomForestRegressor, "fit", spy)
+    rows = [(0, 1.0)] * 2000 + [(i % 50, float(i % 400)) for i in range(2000)] + [(3, None)]
+    history = spark.createDataFrame(rows, "k long, objective_score double")
+    got = SE.propose(history, spark.createDataFrame([(k,) for k in range(40, 70)], "k long"), ["k"], k=5).collect()
+    tasks = Counter(r["at"] for r in seen)
+    print("rows by task", sorted(tasks.values()))
+    assert Counter(r["label"] for r in seen) == Counter(s for _, s in rows if s is not None)
+    assert len(tasks) >= 4 and max(tasks.values()) <= 1200
+    assert len(got) == 5 and all(r["k"] >= 50 for r in got)
