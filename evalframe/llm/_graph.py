@@ -48,14 +48,14 @@ def _is_star(e: DataFrame) -> bool:
 
 
 def linked_components(index: DataFrame, probe: DataFrame, possible, verify: Callable[[DataFrame], DataFrame],
-                      prefixes: Callable[[DataFrame], DataFrame] | None = None, agree=None) -> DataFrame:
+                      sketches: Callable[[DataFrame], DataFrame] | None = None, agree=None) -> DataFrame:
     """Components of all verified links between bucket mates.
 
     ``index`` and ``probe`` have (key, id, *facts): a link (i, p) can only be
     between an index and a probe entry of one key.  ``possible(i, p)`` is a
     cheap necessary condition on the facts of two aliases, ``verify`` maps
-    distinct pairs (a, b) to the linked ones.  ``prefixes`` may give, for a
-    table of ids, (id, prefix), and ``agree(i, p)`` a necessary condition on
+    distinct pairs (a, b) to the linked ones.  ``sketches`` may give, for a
+    table of ids, (id, sketch), and ``agree(i, p)`` a necessary condition on
     these; they keep step 3 from forming pairs just below the threshold.
 
     Pairs are tried in three steps, and a pair whose ends are connected
@@ -95,18 +95,18 @@ def linked_components(index: DataFrame, probe: DataFrame, possible, verify: Call
     mixed = (wide.select("key", "comp").union(open_probe.select("key", "comp")).groupBy("key")
              .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key"))
     wide, open_probe = wide.join(mixed, "key", "left_semi"), open_probe.join(mixed, "key", "left_semi")
-    if prefixes is not None:
+    if sketches is not None:
         wide, open_probe = stored(wide, "link-index"), stored(open_probe, "link-probe")
-        prefix = stored(prefixes(wide.select("id").union(open_probe.select("id")).distinct()), "link-prefix")
-        wide, open_probe = wide.join(prefix, "id"), open_probe.join(prefix, "id")
+        sketch = stored(sketches(wide.select("id").union(open_probe.select("id")).distinct()), "link-sketch")
+        wide, open_probe = wide.join(sketch, "id"), open_probe.join(sketch, "id")
     # a pair counts under the smallest key that it shares, so that it comes once
     keys = lambda df: df.groupBy("id").agg(F.collect_set("key").alias("keys"))
     i, p = wide.join(keys(wide), "id").alias("i"), open_probe.join(keys(open_probe), "id").alias("p")
     i_row = lambda c: F.col(f"i.{c}")
     p_row = lambda c: F.col(f"p.{c}")
     left = (i.join(p, (F.col("i.key") == F.col("p.key")) & (F.col("i.comp") != F.col("p.comp"))
-                   & possible(i_row, p_row) & (agree(i_row, p_row) if agree else F.lit(True))
-                   & (F.col("i.key") == F.array_min(F.array_intersect("i.keys", "p.keys"))))
+                   & possible(i_row, p_row) & (F.col("i.key") == F.array_min(F.array_intersect("i.keys", "p.keys")))
+                   & (agree(i_row, p_row) if agree else F.lit(True)))
             .select(F.greatest("i.id", "p.id").alias("a"), F.least("i.id", "p.id").alias("b")).distinct())
     third = stored(verify(left), "link-third")
     if third.isEmpty():

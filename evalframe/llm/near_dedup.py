@@ -32,7 +32,7 @@ BATCH = 13                # signature values compared at a time
 MISS = 1e-7               # posterior probability below which a pair is dropped
 BROADCAST_ROWS = 100_000  # (id, text key) pairs: under 10 MB
 SHINGLE_BLOCK = 1 << 18   # shingles hashed at a time
-WHOLE = 128               # sets up to this size are compared whole inside the last join
+CELLS = 8                 # sketch bits for each shingle of a set, at least
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -181,12 +181,23 @@ def _features(size: int):
     return run
 
 
-def _shingle_rows(size: int):
+def parity_sketch(hashes: np.ndarray) -> np.ndarray:
+    """Parities of how many hashes fall into each cell, 64 cells in a long.
+
+    A hash that only one of two sets holds flips one cell, so two sketches
+    differ in no more cells than the sets differ in hashes.  The cells are the
+    least power of two that gives ``CELLS`` to each hash (64 at least); halves
+    of a sketch, one xor the other, are the sketch of half as many cells.
+    """
+    cells = max(64, 1 << (CELLS * hashes.size - 1).bit_length())
+    odd = np.bincount((hashes & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _sketch_rows(size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for key, text in zip(batch["id"], batch["text"]):
-                h = _shingle_hashes(text, size)
-                yield pd.DataFrame({"id": np.full(h.size, key, np.int64), "h": h.view(np.int64)})
+            yield pd.DataFrame({"id": batch["id"], "sketch": [parity_sketch(_shingle_hashes(t, size)) for t in batch["text"]]})
     return run
 
 
@@ -276,31 +287,23 @@ def _in_components(docs: DataFrame, shingle: int, percent: int, id_col: str, tex
         keys = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
         return raw.select("text_key", "text").join(keys, "text_key").dropDuplicates(["id"]).select("id", "text")
 
-    def prefixes(ids: DataFrame) -> DataFrame:
-        """The rarest shingles of each set, so many that two sets above the
-        threshold have one in common (any order that all sets share will do;
-        rarity here counts within ``ids``); and small sets whole, as the upper
-        halves of their hashes.  (The sets of a family just below the threshold
-        agree in prefixes and sketches: only the sets themselves tell.)"""
-        rows = stored(texts_of(ids).mapInPandas(_shingle_rows(shingle), "id long, h long"), "near-shingles")
-        ranked = rows.join(rows.groupBy("h").agg(F.count("*").alias("n")), "h").groupBy("id").agg(
-            F.array_sort(F.collect_list(F.struct("n", "h"))).alias("s"))
-        size = F.size("s")
-        return ranked.select("id", F.transform(F.slice("s", F.lit(1), size - F.ceil(size * percent / 100).cast("int") + 1),
-                                               lambda x: x["h"]).alias("prefix"),
-                             F.when(size <= WHOLE, F.transform("s", lambda x: F.shiftright(x["h"], 32).cast("int"))).alias("whole"))
+    def sketches(ids: DataFrame) -> DataFrame:
+        """(id, sketch): see ``parity_sketch``.  The sets of a family just below
+        the threshold agree in signatures and in their rarest shingles: a bound
+        on the difference of the whole sets tells them apart at any size."""
+        return texts_of(ids).mapInPandas(_sketch_rows(shingle), "id long, sketch array<long>")
 
     def agree(i, p):
-        """Prefixes meet, and early enough: what both sets hold from their first
-        common shingle on must suffice for the threshold.  Small sets must meet
-        the threshold themselves, so that only survivors become rows."""
-        first = F.get(F.array_intersect(i("prefix"), p("prefix")), F.lit(0))
-        most = F.least(i("n") - F.array_position(i("prefix"), first), p("n") - F.array_position(p("prefix"), first)) + 1
-        # one more is granted: two hashes of a set may have equal upper halves
-        both = F.size(F.array_intersect(i("whole"), p("whole"))) + 1
-        small = i("whole").isNotNull() & p("whole").isNotNull()
-        return (F.arrays_overlap(i("prefix"), p("prefix")) & (most * (100 + percent) >= percent * (i("n") + p("n")))
-                & (~small | (both * (100 + percent) >= percent * (i("n") + p("n")))))
+        """The cells that differ leave enough in common for the threshold.  No
+        link fails; sizes apart by more than one halving of cells are not judged."""
+        def as_short(x, like):
+            half = (F.size(x) / 2).cast("int")
+            return F.when(F.size(x) > F.size(like), F.zip_with(
+                F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda u, v: u.bitwiseXOR(v))).otherwise(x)
+
+        x, y = as_short(i("sketch"), p("sketch")), as_short(p("sketch"), i("sketch"))
+        differ = F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda n, k: n + k)
+        return F.coalesce(differ * (100 + percent) <= (i("n") + p("n")) * (100 - percent), F.lit(True))
 
     def verify(pairs: DataFrame) -> DataFrame:
         return settled(docs.sparkSession, lambda: compared(pairs), "near-links", rows=FEW_ROWS)
@@ -313,7 +316,7 @@ def _in_components(docs: DataFrame, shingle: int, percent: int, id_col: str, tex
         full = stored(texts_of(left.select("a").union(left.select("b")).distinct().withColumnRenamed("a", "id")), "near-texts")
         return with_texts(left, full, "text").mapInPandas(_confirm(shingle, percent), "a long, b long")
 
-    comp = linked_components(shared, shared, possible, verify, prefixes, agree)
+    comp = linked_components(shared, shared, possible, verify, sketches, agree)
     named = classes.select("id", "text_key", "n", "doc_id").join(comp, "id", "left").withColumn(
         "comp", F.coalesce("comp", "id"))
     smallest = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))

@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from evalframe.llm import (ann, decontam, language, license_scan, line_dedup, mixing, near_dedup, pii, queries, secret_scan,
-                           sharding)
+from evalframe.llm import (_graph, ann, decontam, language, license_scan, line_dedup, mixing, near_dedup, pii, queries,
+                           secret_scan, sharding)
 from evalframe.sources.tables import read_table
 from tests.conftest import SF_SMALL
 from tests.llm import brute
@@ -299,6 +299,52 @@ def test_near_duplicates_of_a_family_just_below_the_threshold(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
 
 
+def _family(rng, count: int, size: int, change: int) -> list[str]:
+    out = []
+    for _ in range(count):
+        t = [f"w{k}" for k in range(size)]
+        for at in rng.choice(size, change, replace=False):
+            t[at] = f"x{rng.integers(10 ** 6)}"
+        out.append(" ".join(t))
+    return out
+
+
+def test_near_duplicates_of_long_texts_just_below_the_threshold(spark, monkeypatch):
+    """Texts of 300 words, 10 of them changed: nearly all pairs share a bucket and few are linked; only those become rows."""
+    monkeypatch.setattr(_graph, "HUB_ROUNDS", 0)        # leaves the pairs to the last step
+    texts = _family(np.random.default_rng(6), 120, 300, 10)
+    rows = list(enumerate(texts)) + [(200 + i, texts[i].replace("w7 ", "y7 ")) for i in range(0, 120, 10)]
+    counts, stored = {}, near_dedup.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        if name == "near-pruned":
+            counts[len(counts)] = out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "stored", counted)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()
+    want = brute.near_duplicates(rows, 2, 80)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+    print("pairs compared in each step", counts)
+    assert counts[len(counts) - 1] <= 400      # of 132 * 131 / 2 pairs
+
+
+def test_parity_sketches_never_exceed_the_difference():
+    """Sketches of sets differ in at most as many cells as the sets do, at equal and halved sizes."""
+    rng = np.random.default_rng(7)
+    bits = lambda x: int(np.bitwise_count(x.view(np.uint64)).sum())
+    for n in (1, 7, 8, 9, 100, 128, 129, 1000, 5000):
+        a = np.unique(rng.integers(0, 2 ** 63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate((a[n // 9:], rng.integers(0, 2 ** 63, n // 8, dtype=np.uint64))))
+        x, y = sorted((near_dedup.parity_sketch(a), near_dedup.parity_sketch(b)), key=len)
+        while y.size > x.size:
+            y = y[:y.size // 2] ^ y[y.size // 2:]
+        differ = len(np.setxor1d(a, b))
+        assert 0.9 * differ <= bits(x ^ y) <= differ
+    assert near_dedup.parity_sketch(np.empty(0, np.uint64)).tolist() == [0]
+
+
 def test_license_scan_of_a_long_dotted_token(spark):
     notice = "Licensed under the Apache License, Version 2.0."
     df = spark.createDataFrame([(1, notice + " " + ".".join(["1"] * 100_000)), (2, notice), (3, "-".join(["a1"] * 50_000))],
